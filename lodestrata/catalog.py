@@ -1,9 +1,572 @@
-"""Registered queries."""
+"""The registered queries of the retrieval and analysis engine, each beside its SQL twin where SQL can express it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from lodestrata.functions import metrics as M
+from lodestrata.functions import text as T
+from lodestrata.functions import vectors as V
+from lodestrata.operators import chunking, context, generate, prepare
+from lodestrata.operators import retrieval as R
+from lodestrata.plans import analysis, experiments, summary
+from lodestrata.sources import html as H
+from lodestrata.sources.readers import entries_of_documents
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+WORDS = "list_distinct(regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_]+)', 1))"
+TOKENS = "list_filter(regexp_split_to_array({}, '[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')"
+
+
+def w(c: str) -> str:
+    return WORDS.format(c)
+
+
+def ws(c: str) -> str:
+    return TOKENS.format(c)
+
+
+def sqlist(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").withColumnRenamed("doc_id", "doc_seq")
+
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    return entries_of_documents(table(spark, sf, "documents"))
+
+
+ENTRIES = """entries AS (SELECT doc_id AS doc_seq, 'doc_' || doc_id AS id, text, coalesce(try_cast(regexp_extract(source, '(\\d+)', 1) AS INTEGER), 0) AS kapitel_nr, 'Kapitel ' || source AS kapitel_name,
+    CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 ELSE 0 END AS abschnitt_nr, CAST(doc_id // 7 AS INTEGER) AS artikel_nr, 'Titel ' || (doc_id // 7) AS artikel_name,
+    CAST((doc_id % 7) // 2 AS INTEGER) AS absatz_nr, CAST(doc_id % 3 AS INTEGER) AS unterabsatz_nr, 1 AS satz_nr FROM documents)"""
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns with the assistant's next turn; the document of the conversation's number is the expected answer and the context."""
+    c = table(spark, sf, "conversations")
+    user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("actual"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.left("text", F.lit(400)).alias("expected"), F.col("text").alias("context"))
+    return user.join(reply, ["conv_id", "turn"]).join(d, "conv_id", "left").fillna("", ["expected", "context"])
+
+
+ANSWERS = """qa AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS actual, coalesce(left(d.text, 400), '') AS expected, coalesce(d.text, '') AS context
+    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' LEFT JOIN documents d ON d.doc_id = u.conv_id WHERE u.role = 'user')"""
+
+
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as experiment rows: flag and status as kinds, quantities as metrics."""
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_returnflag").alias("llm_model"), F.when(F.col("l_linestatus") == "O", "fixedsize").otherwise("recursive").alias("chunking_type"), F.col("l_linenumber").alias("top_k"), F.round(F.col("l_tax"), 2).alias("similarity_threshold"), (F.col("l_partkey") % 5 * 500).alias("chunk_size"), F.col("l_discount").alias("avg_f1"), (F.col("l_quantity") / 50).alias("avg_dsgvo_score"))
+
+
+OUTCOMES = """runs AS (SELECT l_returnflag AS llm_model, CASE WHEN l_linestatus = 'O' THEN 'fixedsize' ELSE 'recursive' END AS chunking_type, l_linenumber AS top_k, round(l_tax, 2) AS similarity_threshold,
+    l_partkey % 5 * 500 AS chunk_size, l_discount AS avg_f1, l_quantity / 50 AS avg_dsgvo_score FROM lineitem)"""
+#: Means are compared after rounding to six places: sums of doubles depend on their order.
+STATS = ", ".join(f"round(avg({m}), 6) AS {m}__mean, round(coalesce(stddev_samp({m}), 0), 6) AS {m}__std, CAST(count({m}) AS INTEGER) AS {m}__count" for m in ("avg_f1", "avg_dsgvo_score"))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# scans and projections
+
+
+@query("jsonl_document_scan", f"WITH {ENTRIES} SELECT doc_seq, id, kapitel_nr, kapitel_name, abschnitt_nr, artikel_nr, artikel_name, absatz_nr, unterabsatz_nr, satz_nr, length(text) AS n FROM entries")
+def _(spark, sf):
+    return entries(spark, sf).withColumn("n", F.length("text").cast("long")).drop("text")
+
+
+@query("grouped_scan", f"WITH {ENTRIES} SELECT artikel_nr, count(*) AS n_entries, min(doc_seq) AS first_seq FROM entries GROUP BY artikel_nr")
+def _(spark, sf):
+    return entries(spark, sf).groupBy("artikel_nr").agg(F.count("*").alias("n_entries"), F.min("doc_seq").alias("first_seq"))
+
+
+@query("entry_ids", f"WITH {ENTRIES} SELECT doc_seq, 'law_art_' || artikel_nr || '_abs_' || absatz_nr || CASE WHEN unterabsatz_nr > 0 THEN '(' || unterabsatz_nr || ')' ELSE '' END || '_satz_' || satz_nr AS entry_id FROM entries")
+def _(spark, sf):
+    return entries(spark, sf).select("doc_seq", T.entry_id("law", F.col("artikel_nr"), F.col("absatz_nr"), F.col("unterabsatz_nr"), F.col("satz_nr")).alias("entry_id"))
+
+
+@query("nested_path", "SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(nullif(json_extract_string(props, '$.missing.x'), ''), event_type) AS fallback FROM events")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), T.truthy_or(F.get_json_object("props", "$.missing.x"), F.col("event_type")).alias("fallback"))
+
+
+@query("short_labels", """SELECT DISTINCT p_type, CASE WHEN contains(lower(p_type), 'semantic') THEN 'semantic' WHEN contains(lower(p_type), 'recursive') THEN 'recursive' WHEN contains(lower(p_type), 'fixed') THEN 'fixedsize' ELSE p_type END AS kind,
+    CASE WHEN contains(p_name, 'MiniLM') THEN 'st-mini' WHEN contains(p_name, 'mpnet') THEN 'mpnet' ELSE 'emb' END AS abbr, 's' || lpad(CAST(p_size % 10 * 10 AS VARCHAR), 2, '0') AS thr FROM part""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_type", T.chunking_type(F.col("p_type")).alias("kind"), T.model_abbreviation(F.col("p_name"), "emb").alias("abbr"), T.short_threshold((F.col("p_size") % 10) / 10).alias("thr")).distinct()
+
+
+@query("rename_and_label", f"WITH {OUTCOMES} SELECT DISTINCT concat_ws('-', CASE chunking_type WHEN 'fixedsize' THEN 'fs' ELSE 'rec' END, chunk_size, 'k' || top_k, 's' || lpad(CAST(CAST(round_even(similarity_threshold * 100, 0) AS INTEGER) AS VARCHAR), 2, '0'), llm_model) AS combo FROM runs")
+def _(spark, sf):
+    df = outcomes(spark, sf).withColumnsRenamed({"top_k": "retrieval_top_k", "chunking_type": "chunking_name"}).withColumnsRenamed(analysis.SHORT_NAMES)
+    return df.select(analysis.combination(df).alias("combo")).distinct()
+
+
+@query("status_filter", "SELECT o_orderstatus AS status, count(*) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS failed FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
+
+
+@query("length_filter", f"WITH {ENTRIES} SELECT doc_seq FROM entries WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 100")
+def _(spark, sf):
+    return entries(spark, sf).where(F.length(T.strip(F.col("text"))) >= 100).select("doc_seq")
+
+
+@query("nav_filter", f"SELECT page_id, list_bool_or(list_transform({sqlist(T.NAVIGATION)}, lambda k: contains(lower(html), k))) AS nav, list_bool_or(list_transform({sqlist(T.NAVIGATION_ACT)}, lambda k: contains(lower(html), k))) AS nav_act FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.any_of(F.col("html"), T.NAVIGATION).alias("nav"), T.any_of(F.col("html"), T.NAVIGATION_ACT).alias("nav_act"))
+
+
+TOPIC_WORDS = ["der", "die", "und", "the", "ing", "tion", "la", "el", "que", "les", "Daten", "Schutz"]
+
+
+@query("topic_extract", f"SELECT doc_id, array_to_string(list_filter({sqlist(T.TOPICS)}, lambda k: contains(lower(text || ' Verarbeitung der Rechte und ' || source), lower(k)))[1:3], '|') AS topics FROM documents")
+def _(spark, sf):
+    text = F.concat("text", F.lit(" Verarbeitung der Rechte und "), "source")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.topics(text), "|").alias("topics"))
+
+
+@query("first_paragraph", "SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10))[1] AS para, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS cut FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.first_paragraph(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("para"), T.ellipsis(F.col("text")).alias("cut"))
+
+
+@query("number_extract", """SELECT page_id, coalesce(try_cast(nullif(regexp_extract(url, '(\\d+)', 1), '') AS INTEGER), 0) AS n, coalesce(try_cast(nullif(regexp_extract(h, '\\((\\d+)\\)', 1), '') AS INTEGER), 0) AS para,
+    CASE WHEN regexp_extract(h, '(?i)\\(([a-z])\\)', 1) <> '' THEN ascii(lower(regexp_extract(h, '(?i)\\(([a-z])\\)', 1))) - 96 ELSE 0 END AS letter FROM (SELECT *, '(' || page_id || ') (' || chr(CAST(97 + page_id % 26 AS INTEGER)) || ') x' AS h FROM pages)""")
+def _(spark, sf):
+    h = F.concat(F.lit("("), F.col("page_id").cast("string"), F.lit(") ("), F.char(97 + F.col("page_id") % 26), F.lit(") x"))
+    return table(spark, sf, "pages").select("page_id", T.first_number(F.col("url")).alias("n"), T.paragraph_number(h).alias("para"), T.letter_number(h).alias("letter"))
+
+
+_HEADERS = ["Artikel {}: Titel {}", "Art. {}", "KAPITEL {}", "Section {} x", "Teil {}", "Art {} Name {}", "Article {}", "im Artikel {}"]
+_HEADER_SQL = "replace(" + sqlist(_HEADERS) + "[CAST(page_id % 8 + 1 AS INTEGER)], '{}', CAST(page_id AS VARCHAR))"
+
+
+@query("header_classifiers", f"""SELECT page_id, regexp_matches(h, '(?i)^(artikel\\s+\\d+|article\\s+\\d+|art\\.\\s*\\d+|art\\s+\\d+)') AS article, regexp_matches(h, '(?i)^(kapitel|chapter|abschnitt|section)\\s+\\d+') AS section, regexp_matches(h, '(?i)^(unterabschnitt|subsection|teil|part)\\s+\\d+') AS subsection,
+    nullif(regexp_extract(h, '(?i)^(?:artikel\\s+|article\\s+|art\\.\\s*|art\\s+)(\\d+)(?:[:\\s]+.+|\\s*$)', 1), '') AS number, trim(regexp_extract(h, '(?i)^(?:artikel\\s+|article\\s+|art\\.\\s*|art\\s+)\\d+[:\\s]+(.+)', 1)) AS title FROM (SELECT page_id, {_HEADER_SQL} AS h FROM pages)""")
+def _(spark, sf):
+    h = F.replace(F.get(F.array(*map(F.lit, _HEADERS)), (F.col("page_id") % 8).cast("int")), F.lit("{}"), F.col("page_id").cast("string"))
+    p = table(spark, sf, "pages").select("page_id", h.alias("h"))
+    c = F.col("h")
+    return p.select("page_id", T.is_article_header(c).alias("article"), T.is_section_header(c).alias("section"), T.is_subsection_header(c).alias("subsection"), T.article_number(c).alias("number"), T.article_title(c).alias("title"))
+
+
+@query("html_strip", "SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.strip_tags(F.col("html")).alias("text"))
+
+
+@query("html_links", "SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1) AS l FROM pages)")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.links(F.col("html")).alias("l")).select("page_id", F.size("l").cast("long").alias("n_links"), F.array_join("l", " ").alias("links"))
+
+
+@query("html_elements")
+def _(spark, sf):
+    return H.parse_pages(table(spark, sf, "pages"), H.elements, "pos int, tag string, text string")
+
+
+@query("article_pages")
+def _(spark, sf):
+    return H.parse_pages(table(spark, sf, "pages"), H.article_entries, "artikel_nr int, artikel_name string, absatz_nr int, unterabsatz_nr int, satz_nr int, text string")
+
+
+@query("sup_sentences")
+def _(spark, sf):
+    marked = F.regexp_replace("html", "<li>", "<sup>1</sup>")
+    return table(spark, sf, "pages").select("page_id", F.posexplode(H.sentences(marked)).alias("pos", "s")).select("page_id", "pos", "s.nr", "s.text")
+
+
+@query("digit_sentences")
+def _(spark, sf):
+    return docs(spark, sf).select("doc_seq", F.posexplode(H.digit_sentences(F.col("text"))).alias("pos", "s")).select("doc_seq", "pos", "s.nr", "s.text")
+
+
+@query("act_walk")
+def _(spark, sf):
+    return H.act_rows(H.parse_pages(table(spark, sf, "pages"), H.elements, "pos int, tag string, text string"))
+
+
+@query("carry_forward", """WITH e AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'chapter' WHEN 1 THEN 'section' ELSE 'article' END AS kind, CAST(event_id % 97 AS INTEGER) AS nr FROM events),
+    c AS (SELECT *, last_value(CASE WHEN kind = 'chapter' THEN nr END IGNORE NULLS) OVER o AS k, last_value(CASE WHEN kind = 'chapter' THEN 0 WHEN kind = 'section' THEN nr END IGNORE NULLS) OVER o AS s FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    SELECT user_id AS doc_seq, event_id AS pos, nr, coalesce(k, 0) AS kapitel_nr, coalesce(s, 0) AS abschnitt_nr FROM c WHERE kind = 'article'""")
+def _(spark, sf):
+    kind = F.when(F.col("event_id") % 5 == 0, "chapter").when(F.col("event_id") % 5 == 1, "section").otherwise("article")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc_seq"), F.col("event_id").alias("pos"), kind.alias("kind"), (F.col("event_id") % 97).cast("int").alias("nr"), F.lit("x").alias("name"))
+    return prepare.carried_context(e).select("doc_seq", "pos", "nr", "kapitel_nr", "abschnitt_nr")
+
+
+@query("crawl_statistics", f"WITH {ENTRIES} SELECT count(*) AS total, count(DISTINCT artikel_nr) AS articles, count(DISTINCT kapitel_nr) AS chapters, count(DISTINCT kapitel_name) FILTER (kapitel_name <> 'Unknown') AS sections FROM entries")
+def _(spark, sf):
+    return prepare.crawl_statistics(entries(spark, sf))
+
+
+# chunking
+
+
+@query("fixed_chunks", "SELECT doc_id AS doc_seq, CAST(s // 800 AS INTEGER) AS chunk_seq, substring(text, s + 1, 1000) AS text, CAST(s AS INTEGER) AS start_pos, CAST(s + 1000 AS INTEGER) AS end_pos, CASE WHEN s = 0 THEN 0 ELSE 200 END AS overlap FROM (SELECT doc_id, text, unnest(range(0, length(text), 800)) AS s FROM documents)")
+def _(spark, sf):
+    return chunking.fixed_size(docs(spark, sf), 1000, 200)
+
+
+@query("chunk_ids", "SELECT doc_id AS doc_seq, s // 800 AS chunk_seq, 'chunk_' || (row_number() OVER (ORDER BY doc_id, s) - 1) AS chunk_id FROM (SELECT doc_id, unnest(range(0, length(text), 800)) AS s FROM documents)")
+def _(spark, sf):
+    return chunking.with_global_ids(chunking.fixed_size(docs(spark, sf), 1000, 200)).select("doc_seq", F.col("chunk_seq").cast("long").alias("chunk_seq"), "chunk_id")
+
+
+@query("chunk_stats", "SELECT lang, count(*) AS n, min(len) AS lo, max(len) AS hi, round(avg(len), 6) AS mean FROM (SELECT lang, length(substring(text, s + 1, 1500)) AS len FROM (SELECT lang, text, unnest(range(0, length(text), 1275)) AS s FROM documents)) GROUP BY lang")
+def _(spark, sf):
+    d = docs(spark, sf)
+    c = chunking.fixed_size(d, 1500, 225).withColumn("n", F.length("text").cast("long"))
+    return c.join(d.select("doc_seq", "lang"), "doc_seq").groupBy("lang").agg(F.count("*").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@query("semantic_chunks")
+def _(spark, sf):
+    return chunking.semantic(docs(spark, sf), 500, 1500, "\n")
+
+
+@query("recursive_chunks")
+def _(spark, sf):
+    return chunking.recursive(docs(spark, sf), 1000, 150)
+
+
+# vectors and retrieval
+
+
+def q_and_c(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), e.select(F.col("vec_id").alias("chunk_seq"), F.col("embedding").alias("vec"))
+
+
+VECTORS = "q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 25 = 0), c AS (SELECT vec_id AS chunk_seq, CAST(embedding AS DOUBLE[]) AS cv FROM embeddings)"
+
+
+def top_sql(threshold: float, k: int) -> str:
+    return f"WITH {VECTORS}, s AS (SELECT q_id, chunk_seq, round(list_cosine_similarity(qv, cv), 6) AS score FROM q, c), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_seq DESC) AS INTEGER) AS rank FROM s WHERE score >= {threshold}) SELECT * FROM r WHERE rank <= {k}"
+
+
+@query("dim_check", "SELECT len(embedding) AS dims, count(*) AS n FROM embeddings GROUP BY 1")
+def _(spark, sf):
+    return V.dimension_histogram(table(spark, sf, "embeddings"), "embedding").withColumn("dims", F.col("dims").cast("long"))
+
+
+@query("index_info", "SELECT count(*) AS chunks_indexed, max(len(embedding)) AS embedding_dims, 5 AS top_k, CAST(0.1 AS DOUBLE) AS similarity_threshold FROM embeddings")
+def _(spark, sf):
+    return R.index_info(q_and_c(spark, sf)[1], 5, 0.1).withColumn("embedding_dims", F.col("embedding_dims").cast("long"))
+
+
+@query("vector_topk", top_sql(-2, 5))
+def _(spark, sf):
+    return R.vector_top_k(*q_and_c(spark, sf), 5, -2.0, 6).select("q_id", "chunk_seq", "score", "rank")
+
+
+@query("vector_topk_threshold", top_sql(0.3, 7))
+def _(spark, sf):
+    return R.vector_top_k(*q_and_c(spark, sf), 7, 0.3, 6).select("q_id", "chunk_seq", "score", "rank")
+
+
+@query("md5_query_vector", "SELECT item_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS first, round(v[16], 6) AS last, len(v) AS dims FROM (SELECT item_id, list_transform(range(1, 65), lambda i: CASE WHEN i <= 16 THEN CAST(('0x' || substr(md5(text), 2 * i - 1, 2)) AS INTEGER) / 255.0 ELSE 0 END) AS v FROM benchmark)")
+def _(spark, sf):
+    v = table(spark, sf, "benchmark").select("item_id", V.md5_vector(F.col("text"), 64).alias("v"))
+    return v.select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(15)), 6).alias("last"), F.size("v").cast("long").alias("dims"))
+
+
+def asked(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+
+
+@query("keyword_jaccard_topk", f"WITH q AS (SELECT item_id AS q_id, list_distinct({ws('lower(text)')}) AS qt FROM benchmark), c AS (SELECT doc_id AS chunk_seq, list_distinct({ws('lower(text)')}) AS ct FROM documents), s AS (SELECT q_id, chunk_seq, len(list_intersect(qt, ct)) AS b, len(qt) AS n, len(ct) AS m FROM q, c), r AS (SELECT q_id, chunk_seq, round(b / (n + m - b), 9) AS keyword_score FROM s WHERE b > 0), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY keyword_score DESC, chunk_seq DESC) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 5")
+def _(spark, sf):
+    s = R.keyword_scores(asked(spark, sf), docs(spark, sf).select(F.col("doc_seq").alias("chunk_seq"), "text"))
+    return R.best(s.withColumn("keyword_score", F.round("keyword_score", 9)), 5, "keyword_score")
+
+
+@query("hybrid_topk", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT item_id AS q_id, list_distinct({ws('lower(text)')}) AS qt, list_transform(range(1, 65), lambda i: CASE WHEN i <= 16 THEN CAST(('0x' || substr(md5(text), 2 * i - 1, 2)) AS INTEGER) / CAST(255 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS qv FROM benchmark),
+    c AS (SELECT doc_id AS chunk_seq, list_distinct({ws('lower(text)')}) AS ct, e AS cv FROM documents JOIN v ON vec_id = doc_id),
+    s AS (SELECT q_id, chunk_seq, list_cosine_similarity(qv, cv) AS vs, len(list_intersect(qt, ct)) AS b, len(qt) AS n, len(ct) AS m FROM q, c),
+    r AS (SELECT q_id, chunk_seq, round(CAST(0.7 AS DOUBLE) * vs + (1 - CAST(0.7 AS DOUBLE)) * (CASE WHEN n = 0 OR m = 0 THEN 0 ELSE CAST(b AS DOUBLE) / (n + m - b) END), 6) AS combined_score FROM s), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY combined_score DESC, chunk_seq DESC) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 5""")
+def _(spark, sf):
+    chunks = docs(spark, sf).select(F.col("doc_seq").alias("chunk_seq"), "text").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_seq"), F.col("embedding").alias("vec")), "chunk_seq")
+    return R.hybrid_top_k(R.query_vectors(asked(spark, sf), 64), chunks, 5, digits=6).select("q_id", "chunk_seq", "combined_score", "rank")
+
+
+@query("random_fallback")
+def _(spark, sf):
+    q, c = q_and_c(spark, sf)
+    return R.random_chunks(q.select("q_id"), c.select("chunk_seq"), 3)
+
+
+# context and answers
+
+
+def ranked_chunks(spark, sf):
+    """The document's chunks of 1000 characters as hits of the question of the same number."""
+    c = chunking.fixed_size(docs(spark, sf), 1000, 0)
+    return c.select(F.col("doc_seq").alias("q_id"), (F.col("chunk_seq") + 1).alias("rank"), "text")
+
+
+BUDGET = """c AS (SELECT doc_id AS q_id, s // 1000 + 1 AS rank, substring(text, s + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS s FROM documents)), t AS (SELECT *, length(text) // 4 AS tok FROM c), u AS (SELECT *, sum(tok) OVER (PARTITION BY q_id ORDER BY rank) AS upto FROM t),
+    o AS (SELECT *, coalesce(max(CASE WHEN upto > 1100 THEN 1 ELSE 0 END) OVER (PARTITION BY q_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ob FROM u),
+    k AS (SELECT *, CASE WHEN ob = 1 THEN NULL WHEN upto <= 1100 THEN 'full' WHEN 1100 - (upto - tok) > 50 THEN 'cut' END AS kept FROM o)"""
+
+
+@query("context_budget", f"""WITH {BUDGET} SELECT q_id, coalesce(string_agg(CASE kept WHEN 'full' THEN text ELSE left(text, CAST((1100 - (upto - tok)) * 4 AS BIGINT)) || '...' END, chr(10) || chr(10) ORDER BY rank) FILTER (kept IS NOT NULL), '') AS context,
+    CAST(coalesce(sum(tok) FILTER (kept = 'full'), 0) AS BIGINT) AS tokens_used, count(kept) AS chunks_used, count(*) AS chunks_total, bool_or(ob = 0 AND upto > 1100) AS truncated, round(coalesce(sum(tok) FILTER (kept = 'full'), 0) / 1100, 9) AS context_utilization FROM k GROUP BY q_id""")
+def _(spark, sf):
+    return context.assemble(ranked_chunks(spark, sf), 1100).drop("chunks").withColumn("context_utilization", F.round("context_utilization", 9))
+
+
+@query("context_diagnostics", f"WITH {BUDGET}, a AS (SELECT q_id, coalesce(sum(tok) FILTER (kept = 'full'), 0) / 1100 AS u, count(kept) AS used, count(*) AS total, bool_or(ob = 0 AND upto > 1100) AS t FROM k GROUP BY q_id) SELECT round(avg(CAST(t AS DOUBLE)), 6) AS truncation_rate, round(avg(u), 6) AS avg_context_utilization, round(avg(used), 6) AS avg_chunks_used, CAST(sum(greatest(0, total - used)) AS BIGINT) AS total_chunks_wasted FROM a")
+def _(spark, sf):
+    return rounded(summary.context_diagnostics(context.assemble(ranked_chunks(spark, sf), 1100)))
+
+
+@query("prompt_assembly", f"WITH {ANSWERS} SELECT conv_id, turn, CASE WHEN context <> '' THEN context || chr(10) || chr(10) || question ELSE question END AS prompt FROM qa")
+def _(spark, sf):
+    return answers(spark, sf).select("conv_id", "turn", context.prompt(F.col("context"), F.col("question")).alias("prompt"))
+
+
+@query("rag_pipeline")
+def _(spark, sf):
+    chunks = generate.index(docs(spark, sf), lambda d: chunking.fixed_size(d, 1500, 225))
+    q = asked(spark, sf).withColumn("q_vec", V.hashing_embedding(F.col("question")))
+    return generate.answer(q, chunks, k=5, budget=1000).select("q_id", "question", "actual", "context", "tokens_used", "chunks_used", "truncated", "context_utilization")
+
+
+# preparation
+
+
+PREFIX = f"""{ENTRIES}, p AS (SELECT * REPLACE (string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10))[1] AS text) FROM entries), n AS (SELECT *, lag(artikel_nr, 1, 0) OVER o AS a0, lag(absatz_nr, 1, 0) OVER o AS p0, lag(unterabsatz_nr, 1, 0) OVER o AS u0 FROM p WHERE text <> '' WINDOW o AS (ORDER BY doc_seq)),
+    x AS (SELECT *, CASE WHEN artikel_nr > a0 THEN 'Art. ' || artikel_nr || ' ' || artikel_name || ':' || chr(10) || chr(10) ELSE '' END || CASE WHEN unterabsatz_nr > (CASE WHEN artikel_nr > a0 THEN 0 ELSE u0 END) THEN '(' || chr(96 + unterabsatz_nr) || ') ' WHEN absatz_nr > (CASE WHEN artikel_nr > a0 THEN 0 ELSE p0 END) THEN 'Abs. ' || absatz_nr || ' ' ELSE '' END AS label FROM n)"""
+
+
+@query("prefix_state", f"WITH {PREFIX} SELECT doc_seq, label FROM x")
+def _(spark, sf):
+    return prepare.prefixed(entries(spark, sf)).select("doc_seq", "label")
+
+
+@query("group_by_article", f"WITH {PREFIX} SELECT 'kap_' || kapitel_nr || '_abs_' || abschnitt_nr || '_art_' || artikel_nr AS id, min(doc_seq) AS doc_seq, string_agg(label || text, chr(10) || chr(10) ORDER BY doc_seq) AS text, arg_min(artikel_name, doc_seq) AS artikel_name, count(*) AS n_rows, true AS grouped FROM x GROUP BY 1")
+def _(spark, sf):
+    return prepare.by_article(entries(spark, sf))
+
+
+@query("qa_templates", f"""WITH {ENTRIES}, t AS (SELECT *, list_filter({sqlist(T.TOPICS)}, lambda k: contains(lower(text), lower(k)))[1:2] AS tp FROM entries), a AS (SELECT doc_seq, id, unnest(list_concat(['Was besagt DSGVO Artikel ' || artikel_nr || '?'], list_transform(tp, lambda k: 'Was sagt DSGVO Artikel ' || artikel_nr || ' über ' || k || '?'), ['Was sind die wichtigsten Anforderungen in DSGVO Kapitel ' || kapitel_nr || '?'])) AS question, unnest(range(len(tp) + 2)) AS pos FROM t),
+    n AS (SELECT *, row_number() OVER (ORDER BY doc_seq, pos) - 1 AS qa_seq FROM a) SELECT qa_seq, id || '_qa_' || qa_seq AS id, question, id AS document_id FROM n""")
+def _(spark, sf):
+    return prepare.template_questions(entries(spark, sf)).select("qa_seq", "id", "question", "document_id")
+
+
+@query("article_context", f"WITH {ENTRIES}, c AS (SELECT artikel_nr, string_agg(text, ' ' ORDER BY doc_seq) AS article_context FROM entries GROUP BY 1) SELECT doc_seq, artikel_nr, md5(article_context) AS context_md5 FROM entries JOIN c USING (artikel_nr)")
+def _(spark, sf):
+    return prepare.article_context(entries(spark, sf)).select("doc_seq", "artikel_nr", F.md5("article_context").alias("context_md5"))
+
+
+@query("qa_summary", f"WITH {ENTRIES} SELECT count(*) AS total_qa_pairs, count(DISTINCT artikel_nr) AS articles_covered, array_to_string(list_sort(list(DISTINCT artikel_nr)), ',') AS articles, round(avg(length(text)), 6) AS avg_answer_length, CAST(1 AS DOUBLE) AS context_coverage FROM entries")
+def _(spark, sf):
+    qa = prepare.article_context(entries(spark, sf)).withColumnRenamed("text", "ground_truth")
+    return rounded(prepare.dataset_summary(qa).withColumn("articles", F.array_join("articles_list", ",")).drop("articles_list"))
+
+
+@query("question_types", "SELECT role AS question_type, count(*) AS n FROM conversations GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "conversations").groupBy(F.col("role").alias("question_type")).agg(F.count("*").alias("n"))
+
+
+@query("answerable", f"WITH {ENTRIES} SELECT doc_seq FROM entries WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10 ORDER BY doc_seq LIMIT 300")
+def _(spark, sf):
+    return prepare.answerable(entries(spark, sf), 300).select("doc_seq")
+
+
+@query("validated", "SELECT event_id FROM events WHERE regexp_matches(CASE WHEN event_id % 3 = 0 THEN 'INVALID' WHEN event_id % 3 = 1 THEN 'valid.' ELSE 'VALID' END, '(?i)\\bVALID\\b')")
+def _(spark, sf):
+    verdict = F.when(F.col("event_id") % 3 == 0, "INVALID").when(F.col("event_id") % 3 == 1, "valid.").otherwise("VALID")
+    return prepare.validated(table(spark, sf, "events").select("event_id", verdict.alias("verdict"))).select("event_id")
+
+
+@query("sample_qa")
+def _(spark, sf):
+    return prepare.seeded_sample(prepare.template_questions(entries(spark, sf)), 100).select("place", "qa_seq", "id", "question")
+
+
+# metrics
+
+
+@query("word_overlap", f"WITH {ANSWERS}, s AS (SELECT conv_id, turn, {w('expected')} AS e, {w('actual')} AS a FROM qa) SELECT conv_id, turn, round(coalesce(len(list_intersect(e, a)) / nullif(len(a), 0), 0), 9) AS word_precision, round(coalesce(len(list_intersect(e, a)) / nullif(len(e), 0), 0), 9) AS word_recall FROM s")
+def _(spark, sf):
+    return rounded(answers(spark, sf).select("conv_id", "turn", M.word_precision(F.col("expected"), F.col("actual")).alias("word_precision"), M.word_recall(F.col("expected"), F.col("actual")).alias("word_recall")), 9)
+
+
+_STEMS = "list_distinct(list_transform({}, lambda x: CASE WHEN length(x) > 3 THEN regexp_replace(x, '(ing|ed|er|est|ly|s)$', '') ELSE x END))"
+
+
+@query("stem_jaccard", f"WITH {ANSWERS}, s AS (SELECT conv_id, turn, {_STEMS.format(ws('lower(expected)'))} AS e, {_STEMS.format(ws('lower(actual)'))} AS a FROM qa) SELECT conv_id, turn, round(CASE WHEN len(e) = 0 OR len(a) = 0 THEN 0 ELSE len(list_intersect(e, a)) / (len(e) + len(a) - len(list_intersect(e, a))) END, 9) AS semantic_similarity FROM s")
+def _(spark, sf):
+    return rounded(answers(spark, sf).select("conv_id", "turn", M.stem_similarity(F.col("expected"), F.col("actual")).alias("semantic_similarity")), 9)
+
+
+@query("sequence_similarity")
+def _(spark, sf):
+    return answers(spark, sf).select("conv_id", "turn", M.sequence_similarity("expected", "actual").alias("sequence_similarity"))
+
+
+@query("combined_prf")
+def _(spark, sf):
+    return M.combined(answers(spark, sf)).select("conv_id", "turn", "precision", "recall", "f1")
+
+
+@query("timing_metrics", f"WITH {ANSWERS}, s AS (SELECT conv_id, turn, actual, {ws('actual')} AS t, CAST(turn % 4 AS DOUBLE) AS sec FROM qa) SELECT conv_id, turn, length(actual) AS response_length, length(actual) // 4 AS estimated_tokens, len(t) AS word_count, round(coalesce(list_sum(list_transform(t, lambda x: length(x))) / nullif(len(t), 0), 0), 9) AS avg_word_length, round(CASE WHEN sec > 0 THEN (length(actual) // 4) / sec ELSE 0 END, 9) AS tokens_per_second FROM s")
+def _(spark, sf):
+    a = answers(spark, sf)
+    return rounded(a.select("conv_id", "turn", *(c.alias(n) for n, c in M.timing(F.col("actual"), (F.col("turn") % 4).cast("double")).items())), 9)
+
+
+GROUND = f"""{ANSWERS}, s AS (SELECT *, {w('question')} AS q, {w('actual')} AS a, {w('context')} AS c, list_transform(range(0, length(context), 1000), lambda i: substring(context, i + 1, 1000)) AS ch FROM qa),
+    g AS (SELECT conv_id, turn, len(ch) AS n, least(1, coalesce(len(list_intersect(a, c)) / nullif(len(a), 0), 0) * CASE WHEN length(actual) < 200 THEN CAST(1.2 AS DOUBLE) ELSE 1 END) AS f,
+    least(1, CASE WHEN len(q) = 0 OR len(a) = 0 THEN 0 ELSE len(list_intersect(q, a)) / (len(q) + len(a) - len(list_intersect(q, a))) END * CASE WHEN length(actual) > 100 THEN CAST(1.1 AS DOUBLE) ELSE 1 END) AS r,
+    coalesce(list_sum(list_transform(ch, lambda x: len(list_intersect(q, list_distinct(regexp_extract_all(lower(x), '([\\p{{L}}\\p{{N}}_]+)', 1)))) / len(q))) / nullif(len(ch), 0), 0) AS x,
+    least(1, coalesce(len(list_intersect(a, c)) / nullif(len(c), 0), 0) * CASE WHEN length(actual) < CAST(0.1 AS DOUBLE) * length(context) THEN CAST(0.8 AS DOUBLE) ELSE 1 END) AS u FROM s)"""
+
+
+def grounded(spark, sf):
+    a = answers(spark, sf)
+    starts = F.when(F.length("context") > 0, F.sequence(F.lit(0), F.length("context") - 1, F.lit(1000))).otherwise(F.array().cast("array<int>"))
+    return M.grounding(a.withColumn("chunks", F.transform(starts, lambda i: F.substr("context", i + 1, F.lit(1000)))))
+
+
+for _name, _column, _short in (("faithfulness", "faithfulness", "f"), ("answer_relevance", "answer_relevance", "r"), ("context_relevance", "context_relevance", "x"), ("context_utilization", "ragas_context_utilization", "u")):
+    query(_name, f"WITH {GROUND} SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0 ELSE {_short} END, 6) AS {_column} FROM g")(lambda spark, sf, c=_column: rounded(grounded(spark, sf).select("conv_id", "turn", c)))
+
+
+@query("rag_score", f"WITH {GROUND} SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0 ELSE CAST(0.5 AS DOUBLE) * f + CAST(0.3 AS DOUBLE) * r + CAST(0.2 AS DOUBLE) * x END, 6) AS score FROM g")
+def _(spark, sf):
+    return rounded(grounded(spark, sf).select("conv_id", "turn", "score"))
+
+
+@query("eval_summary", f"WITH {GROUND}, z AS (SELECT CASE WHEN n = 0 THEN 0 ELSE f END AS f, CASE WHEN n = 0 THEN 0 ELSE r END AS r, CASE WHEN n = 0 THEN 0 ELSE x END AS x FROM g) SELECT round(avg(f), 6) AS avg_faithfulness, round(min(f), 6) AS min_faithfulness, round(max(f), 6) AS max_faithfulness, round(avg(r), 6) AS avg_answer_relevance, round(min(r), 6) AS min_answer_relevance, round(max(r), 6) AS max_answer_relevance, round(avg(x), 6) AS avg_context_relevance, round(min(x), 6) AS min_context_relevance, round(max(x), 6) AS max_context_relevance, count(*) AS qa_pairs_evaluated FROM z")
+def _(spark, sf):
+    return summary.summarise(grounded(spark, sf).drop("score"), 6)
+
+
+# aggregations, pivots, rankings
+
+
+@query("grouped_stats", f"WITH {OUTCOMES} SELECT chunking_type, top_k, {STATS} FROM runs GROUP BY ALL")
+def _(spark, sf):
+    return outcomes(spark, sf).groupBy("chunking_type", "top_k").agg(*analysis.statistics(["avg_f1", "avg_dsgvo_score"], 6))
+
+
+@query("grouping_sets", f"WITH {OUTCOMES} SELECT llm_model, chunking_type, chunk_size, top_k, similarity_threshold, CAST(grouping_id(chunk_size, chunking_type, llm_model, similarity_threshold, top_k) AS BIGINT) AS grouping_id, {STATS} FROM runs GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(g) + ')' for g in analysis.GROUPINGS)})")
+def _(spark, sf):
+    df = analysis.all_groupings(outcomes(spark, sf), analysis.GROUPINGS, ())
+    del df
+    sets = [[F.col(c) for c in g] for g in analysis.GROUPINGS]
+    keys = sorted({c for g in analysis.GROUPINGS for c in g})
+    return outcomes(spark, sf).groupingSets(sets, *keys).agg(F.grouping_id().alias("grouping_id"), *analysis.statistics(["avg_f1", "avg_dsgvo_score"], 6))
+
+
+@query("pivot_heatmap", f"WITH {OUTCOMES} SELECT top_k, round(avg(avg_f1) FILTER (llm_model = 'A'), 6) AS A, round(avg(avg_f1) FILTER (llm_model = 'N'), 6) AS N, round(avg(avg_f1) FILTER (llm_model = 'R'), 6) AS R FROM runs GROUP BY 1")
+def _(spark, sf):
+    return rounded(analysis.heatmap(outcomes(spark, sf), "top_k", "llm_model", "avg_f1", ["A", "N", "R"]))
+
+
+@query("combo_topn", f"WITH {OUTCOMES} SELECT concat_ws('-', CASE chunking_type WHEN 'fixedsize' THEN 'fs' ELSE 'rec' END, chunk_size, 'k' || top_k, 's' || lpad(CAST(CAST(round_even(similarity_threshold * 100, 0) AS INTEGER) AS VARCHAR), 2, '0'), llm_model) AS combo, round(avg(avg_f1), 6) AS mean FROM runs GROUP BY 1 ORDER BY avg(avg_f1) DESC, combo LIMIT 30")
+def _(spark, sf):
+    df = outcomes(spark, sf)
+    return rounded(analysis.top_combinations(df, analysis.combination(df), "avg_f1", 30))
+
+
+@query("nlargest_rank", "SELECT o_orderkey AS seq, o_totalprice AS m FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) UNION ALL SELECT o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 3)")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("m"))
+    return analysis.n_best(o, "m").unionByName(analysis.n_best(o, "m", smallest=True))
+
+
+@query("best_by_metric", "SELECT (SELECT l_shipmode FROM (SELECT l_orderkey * 10 + l_linenumber AS l_shipmode, l_discount, l_orderkey, l_linenumber FROM lineitem) ORDER BY l_discount DESC, l_orderkey * 10 + l_linenumber LIMIT 1) AS avg_f1, (SELECT l_orderkey * 10 + l_linenumber FROM lineitem ORDER BY l_quantity, l_orderkey * 10 + l_linenumber LIMIT 1) AS query_time")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("name"), F.col("l_discount").alias("avg_f1"), F.col("l_quantity").alias("query_time"))
+    return analysis.best_by(li.withColumn("seq", F.col("name")), ["avg_f1", "query_time"])
+
+
+@query("table_sort", f"WITH {OUTCOMES}, g AS (SELECT llm_model, top_k, round(avg(avg_dsgvo_score), 6) AS score FROM runs GROUP BY ALL) SELECT *, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, llm_model, top_k) AS INTEGER) AS pos FROM g")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    g = outcomes(spark, sf).groupBy("llm_model", "top_k").agg(F.round(F.avg("avg_dsgvo_score"), 6).alias("score"))
+    return g.withColumn("pos", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "llm_model", "top_k")))  # one row a group
+
+
+@query("numeric_order", "SELECT p_size, coalesce(try_cast(CASE WHEN p_size % 7 = 0 THEN 'variable' ELSE CAST(p_size AS VARCHAR) END AS DOUBLE), CAST('inf' AS DOUBLE)) AS sort_key, count(*) AS n FROM part GROUP BY 1, 2")
+def _(spark, sf):
+    size = F.when(F.col("p_size") % 7 == 0, "variable").otherwise(F.col("p_size").cast("string"))
+    return table(spark, sf, "part").groupBy("p_size", T.number_or_inf(size).alias("sort_key")).agg(F.count("*").alias("n"))
+
+
+@query("nan_max", "SELECT max(CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_acctbal END) AS top FROM supplier")
+def _(spark, sf):
+    v = F.when(F.col("s_suppkey") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("s_acctbal"))
+    return table(spark, sf, "supplier").select(v.alias("v")).agg(analysis.nan_max("v").alias("top"))
+
+
+@query("two_metric_series", f"WITH {OUTCOMES} SELECT top_k, round(avg(avg_f1), 6) AS avg_f1, round(avg(avg_dsgvo_score), 6) AS avg_dsgvo_score FROM runs GROUP BY 1")
+def _(spark, sf):
+    return outcomes(spark, sf).groupBy("top_k").agg(F.round(F.avg("avg_f1"), 6).alias("avg_f1"), F.round(F.avg("avg_dsgvo_score"), 6).alias("avg_dsgvo_score"))
+
+
+@query("union_rows", "SELECT n_name AS name, n_nationkey AS k, NULL::VARCHAR AS error FROM nation UNION ALL SELECT r_name, NULL, 'failed' FROM region")
+def _(spark, sf):
+    good = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
+    return good.unionByName(table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("failed").alias("error")), allowMissingColumns=True)
+
+
+_GRID = "g AS (SELECT t AS chunking_type, s AS chunk_size, k AS top_k, h AS similarity_threshold, least(s - 1, CAST(round_even(s * 0.15, 0) AS INTEGER)) AS chunk_overlap FROM (SELECT t, s FROM (SELECT unnest(['fixedsize', 'recursive']) AS t), (SELECT unnest([1200, 1800, 2000]) AS s) UNION ALL SELECT 'semantic', NULL), (SELECT unnest([3, 5, 7]) AS k), (SELECT unnest([CAST(0 AS DOUBLE), CAST(0.1 AS DOUBLE)]) AS h))"
+
+
+def grid(spark):
+    return experiments.grid_frame(spark, ["fixedsize", "recursive", "semantic"], [1200, 1800, 2000], [3, 5, 7], [0.0, 0.1])
+
+
+@query("param_grid", f"WITH {_GRID} SELECT * FROM g")
+def _(spark, sf):
+    return grid(spark)
+
+
+@query("skip_existing_antijoin", f"WITH {_GRID}, n AS (SELECT chunking_type || '_' || top_k AS run_name, chunk_size FROM g) SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM (SELECT 'recursive_' || n_regionkey AS d FROM nation) WHERE d = run_name)")
+def _(spark, sf):
+    g = grid(spark).select(F.concat_ws("_", "chunking_type", F.col("top_k").cast("string")).alias("run_name"), "chunk_size")
+    return experiments.still_to_run(g, table(spark, sf, "nation").select(F.concat(F.lit("recursive_"), F.col("n_regionkey").cast("string")).alias("run_name")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
