@@ -143,9 +143,6 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.any_of(F.col("html"), T.NAVIGATION).alias("nav"), T.any_of(F.col("html"), T.NAVIGATION_ACT).alias("nav_act"))
 
 
-TOPIC_WORDS = ["der", "die", "und", "the", "ing", "tion", "la", "el", "que", "les", "Daten", "Schutz"]
-
-
 @query("topic_extract", f"SELECT doc_id, array_to_string(list_filter({sqlist(T.TOPICS)}, lambda k: contains(lower(text || ' Verarbeitung der Rechte und ' || source), lower(k)))[1:3], '|') AS topics FROM documents")
 def _(spark, sf):
     text = F.concat("text", F.lit(" Verarbeitung der Rechte und "), "source")
@@ -424,7 +421,7 @@ def _(spark, sf):
     return rounded(answers(spark, sf).select("conv_id", "turn", M.word_precision(F.col("expected"), F.col("actual")).alias("word_precision"), M.word_recall(F.col("expected"), F.col("actual")).alias("word_recall")), 9)
 
 
-_STEMS = "list_distinct(list_transform({}, lambda x: CASE WHEN length(x) > 3 THEN regexp_replace(x, '(ing|ed|er|est|ly|s)$', '') ELSE x END))"
+_STEMS = "list_distinct(regexp_extract_all(array_to_string(list_transform({}, lambda x: CASE WHEN length(x) > 3 THEN regexp_replace(x, '(ing|ed|er|est|ly|s)$', '') ELSE x END), ' '), '([\\p{{L}}\\p{{N}}_]+)', 1))"
 
 
 @query("stem_jaccard", f"WITH {ANSWERS}, s AS (SELECT conv_id, turn, {_STEMS.format(ws('lower(expected)'))} AS e, {_STEMS.format(ws('lower(actual)'))} AS a FROM qa) SELECT conv_id, turn, round(CASE WHEN len(e) = 0 OR len(a) = 0 THEN 0 ELSE len(list_intersect(e, a)) / (len(e) + len(a) - len(list_intersect(e, a))) END, 9) AS semantic_similarity FROM s")
@@ -485,11 +482,7 @@ def _(spark, sf):
 
 @query("grouping_sets", f"WITH {OUTCOMES} SELECT llm_model, chunking_type, chunk_size, top_k, similarity_threshold, CAST(grouping_id(chunk_size, chunking_type, llm_model, similarity_threshold, top_k) AS BIGINT) AS grouping_id, {STATS} FROM runs GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(g) + ')' for g in analysis.GROUPINGS)})")
 def _(spark, sf):
-    df = analysis.all_groupings(outcomes(spark, sf), analysis.GROUPINGS, ())
-    del df
-    sets = [[F.col(c) for c in g] for g in analysis.GROUPINGS]
-    keys = sorted({c for g in analysis.GROUPINGS for c in g})
-    return outcomes(spark, sf).groupingSets(sets, *keys).agg(F.grouping_id().alias("grouping_id"), *analysis.statistics(["avg_f1", "avg_dsgvo_score"], 6))
+    return analysis.all_groupings(outcomes(spark, sf), analysis.GROUPINGS, analysis.METRICS, 6)
 
 
 @query("pivot_heatmap", f"WITH {OUTCOMES} SELECT top_k, round(avg(avg_f1) FILTER (llm_model = 'A'), 6) AS A, round(avg(avg_f1) FILTER (llm_model = 'N'), 6) AS N, round(avg(avg_f1) FILTER (llm_model = 'R'), 6) AS R FROM runs GROUP BY 1")

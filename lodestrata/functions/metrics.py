@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lodestrata.functions import text as T
 
@@ -22,10 +23,10 @@ def word_recall(expected: Column, actual: Column) -> Column:
 
 
 def stem_similarity(expected: Column, actual: Column) -> Column:
-    return T.jaccard(F.array_distinct(T.stem_tokens(expected)), F.array_distinct(T.stem_tokens(actual)))
+    return T.jaccard(T.word_set(T.stem(expected)), T.word_set(T.stem(actual)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Matching-block ratio of the lower-cased texts; no built-in function has it."""
     return pd.Series([difflib.SequenceMatcher(None, (e or "").lower(), (a or "").lower()).ratio() for e, a in zip(expected, actual, strict=True)], dtype="float64")

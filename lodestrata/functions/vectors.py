@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +39,19 @@ def md5_vector(c: Column, dim: int) -> Column:
 
 
 def hashing_embedding(c: Column, dim: int = 64) -> Column:
-    """Deterministic stand-in for a model: word counts by hash bucket, to unit length."""
-    buckets = F.transform(T.words(c), lambda w: F.pmod(F.crc32(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    return F.transform(counts, lambda x: T.ratio(x, norm(counts)))
+    """Deterministic stand-in for an embedding model, by Arrow batches as a model would run: word counts by hash bucket, to unit length."""
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_unit(np.bincount([zlib.crc32(w.encode()) % dim for w in re.findall(r"\w+", t.lower())] if t else [], minlength=dim)) for t in texts])
+
+    return embed(c)
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    size = np.sqrt((counts * counts).sum())
+    return counts / size if size else counts.astype(float)
 
 
 def dimension_histogram(df: DataFrame, column: str) -> DataFrame:

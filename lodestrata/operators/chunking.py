@@ -66,7 +66,7 @@ def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, .
             held = longer
         elif held:
             done.append(held)
-            held = f"{held[-overlap:]}{mark}{piece}" if overlap else piece
+            held = f"{held[-overlap:]}{mark}{piece}" if 0 < overlap < len(held) else piece
         elif len(piece) > size:
             done += split_recursive(piece, size, overlap, separators)
         else:

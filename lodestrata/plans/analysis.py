@@ -48,11 +48,11 @@ def grouped(df: DataFrame, by: Iterable[str], metrics: Iterable[str] = METRICS)
     return df.groupBy(*keys).agg(*statistics(own)).orderBy(*keys) if keys and own else None
 
 
-def all_groupings(df: DataFrame, groupings: Iterable[tuple[str, ...]], metrics: Iterable[str]) -> DataFrame:
+def all_groupings(df: DataFrame, groupings: Iterable[tuple[str, ...]], metrics: Iterable[str], digits: int = 3) -> DataFrame:
     """Every grouping in one pass; grouping_id tells them apart, with one bit for each key left out."""
     sets = [present(df, g) for g in groupings]
     keys = sorted({c for s in sets for c in s})
-    return df.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().alias("grouping_id"), *statistics(present(df, metrics)))
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().alias("grouping_id"), *statistics(present(df, metrics), digits))
 
 
 def heatmap(df: DataFrame, rows: str, columns: str, metric: str, values: list | None = None) -> DataFrame:

@@ -91,7 +91,7 @@ def llm_grid(base: Experiment, models: Iterable[str], temperatures: Iterable[flo
 
 def grid_frame(spark: SparkSession, kinds: list[str], sizes: list[int], ks: list[int], thresholds: list[float]) -> DataFrame:
     """The grid as a table: sizes only for the kinds that have one."""
-    col = lambda v, n, t: spark.range(1).select(F.explode(F.array(*map(F.lit, v))).cast(t).alias(n))
+    col = lambda v, n, t: spark.range(1).select(F.explode(F.array(*map(F.lit, v)).cast(f"array<{t}>")).alias(n))
     kind, size = col(kinds, "chunking_type", "string"), col(sizes, "chunk_size", "int")
     sized = kind.where("chunking_type <> 'semantic'").crossJoin(size).unionByName(kind.where("chunking_type = 'semantic'").withColumn("chunk_size", F.lit(None).cast("int")))
     return sized.crossJoin(col(ks, "top_k", "int")).crossJoin(col(thresholds, "similarity_threshold", "double")).withColumn("chunk_overlap", F.least(F.col("chunk_size") - 1, F.bround(F.col("chunk_size") * F.lit(0.15), 0).cast("int")))
