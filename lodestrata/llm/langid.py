@@ -180,11 +180,13 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def label(text: str | None, known: Words) -> tuple[str, float, list[dict]]:
     """Language, score and spans of one text."""
     model = known.model
+    if not model.langs:
+        return "und", 0.0, []
     lowered = text.lower() if text else ""
     words = WORD.findall(lowered)
     ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     kept = ids > 0
-    if not kept.any() or not model.langs:
+    if not kept.any():
         return "und", 0.0, []
     scores = known.rows[ids[kept]]
     path = viterbi(scores)
