@@ -1,4 +1,8 @@
-"""Corpus preparation: five stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""Corpus preparation: five stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Decisions go by doc_id: rows with a null id leave in the first stage, rows that repeat an id share its fate. Null and empty
+texts have no language and leave there as well. Further columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
