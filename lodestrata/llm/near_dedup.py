@@ -6,12 +6,13 @@ register keeps the shingle that arrives first. Two documents agree in a register
 Arrivals are drawn in rounds for all shingles of a document together; a shingle stops once its next arrival is later than the latest register.
 
 1. Documents with equal word sequences collapse to the one with the smallest id.
-2. Every band of ``ROWS`` registers is a bucket. In each bucket, up to ``LEADERS`` rows that no earlier round has used lead: all rows of
-   the bucket in other classes are compared with them, first by their signatures, then, where these agree enough, by the shingles of the texts.
-3. Verified links are contracted to classes by minimum labels. A leader has met its whole bucket and leaves it; buckets whose rows
-   are of one class are done. There are ``ROUNDS`` rounds: one leader, then up to ``LEADERS`` in each. Work stays linear in the rows of
-   the buckets; what it can miss is a link between two rows of one bucket neither of which leads there and whose classes
-   no other link joins (the README gives the figures of running to exhaustion instead).
+2. Every band of ``ROWS`` registers is a bucket. In each bucket the row with the least hash leads. A document is compared by its
+   signature with the leaders of its buckets, and by its text with the one that agrees most: at most one pair for each document.
+3. Verified links are contracted to classes by minimum labels. Buckets whose rows are of one class are done.
+4. Each bucket left over is a cell: every two of its rows in different classes are compared by signature, then, best first, by text,
+   and a verified link merges classes at once, so a cell returns no more links than rows. A bucket of more than ``CELL_ROWS`` rows or ``CELL_BYTES``
+   of shingles is cut in parts by a hash of the id, and every two parts are a cell: no bucket is dropped or capped, and no task
+   holds more than two parts. A pair that shares several buckets is compared in the first. The links are contracted once more.
 
 Similarity is the larger of the probability Jaccard of the weighted and the Jaccard of the plain shingle sets; 0.8 links. At 0.8, a pair shares no bucket with
 a chance of (1 - 0.8**5)**24, below 0.0001.
@@ -37,11 +38,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-LEADERS = 4
-#: Rounds of leaders; see the note in the module's text.
-ROUNDS = 3
-#: Share of equal registers from which texts are compared: 0.8 less 2.7 standard errors of 120 registers.
-HOPEFUL = 0.7
+#: Share of equal registers from which texts are compared: 0.8 less four standard errors of 120 registers.
+HOPEFUL = 0.65
+#: Rows, and bytes of packed shingles, of one part of a bucket, give or take the hash's spread.
+CELL_ROWS, CELL_BYTES = 256, 32_000_000
 CACHE = 400_000
 WORD = re.compile(r"[^\W_]+")
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values: SplitMix64
@@ -128,25 +128,44 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((1 / total).sum()))
 
 
-SIGNED = "doc_id bigint, copy string, registers array<int>"
+SIGNED = "doc_id bigint, copy string, bands array<bigint>, sig binary"
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the word sequence (null without words), and the upper halves of the registers."""
+    """doc_id, a digest of the word sequence (null without words), the bucket of every band, and one byte of every register.
+
+    Bytes of unequal registers agree once in 256 times, so their share of agreement is never below that of the registers.
+    """
+    salts = mix(np.arange(BANDS, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for ids, texts in blocks(batches, 3_000_000):
             words = [word_hashes(t, hashes) for t in texts]
-            sets = [np.unique(shingles(w), return_counts=True) for w in words]
-            rows = (signatures(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            rows = signatures([np.unique(shingles(w), return_counts=True) for w in words])
+            buckets = np.tile(salts, (len(ids), 1))
+            for k in range(ROWS):
+                buckets = mix(buckets ^ rows.reshape(len(ids), BANDS, ROWS)[:, :, k])
             copies = [xxhash.xxh128_hexdigest(w.tobytes()) if len(w) else None for w in words]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * REGISTERS, pa.int32()), pa.array(rows.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.string()), lists], ["doc_id", "copy", "registers"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), pa.array(buckets.view(np.int64).reshape(-1)))
+            sigs = [r.tobytes() for r in (rows >> np.uint64(56)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.string()), lists, pa.array(sigs, pa.binary())], ["doc_id", "copy", "bands", "sig"])
 
     return docs.mapInArrow(run, SIGNED)
 
 
+def pack(items: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes | None]:
+    """Six bytes of each sorted shingle; the weights only where one is above 1."""
+    return np.ascontiguousarray(items.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(), weights.astype(np.int32).tobytes() if (weights > 1).any() else None
+
+
+def unpack(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(items, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 2:] = raw
+    return wide.view(np.uint64).reshape(-1), np.ones(len(raw), np.int32) if weights is None else np.frombuffer(weights, np.int32)
+
+
 SHINGLED = "doc_id bigint, copy string, items binary, weights binary"
 
 
@@ -157,31 +176,83 @@ def shingled(docs: DataFrame) -> DataFrame:
         hashes = Hashes()
         for ids, texts in blocks(batches, 1_500_000):
             words = [word_hashes(t, hashes) for t in texts]
-            sets = [np.unique(shingles(w), return_counts=True) for w in words]
+            packed = [pack(*np.unique(shingles(w), return_counts=True)) for w in words]
             copies = [xxhash.xxh128_hexdigest(w.tobytes()) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies), pa.array([x.tobytes() for x, _ in sets], pa.binary()), pa.array([w.astype(np.int32).tobytes() for _, w in sets], pa.binary())], ["doc_id", "copy", "items", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies), pa.array([x for x, _ in packed], pa.binary()), pa.array([w for _, w in packed], pa.binary())], ["doc_id", "copy", "items", "weights"])
 
     rows = docs.mapInArrow(run, SHINGLED)
     return rows.groupBy("doc_id").agg(F.min_by(F.struct("items", "weights"), "copy").alias("s")).select("doc_id", "s.items", "s.weights")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Both joins are on one document each, so a document in many pairs
-    spreads over the pairs' partitions."""
+    """The pairs (a, b) whose texts are similar enough."""
     one, two = (sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"i{x}"), F.col("weights").alias(f"w{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [
-                similarity(*(np.frombuffer(batch.column(k)[row].as_buffer(), t) for k, t in ((2, np.uint64), (3, np.int32), (4, np.uint64), (5, np.int32)))) >= least
-                for row in range(batch.num_rows)
-            ]
+            ia, wa, ib, wb = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            kept = [similarity(*unpack(p, q), *unpack(r, s)) >= least for p, q, r, s in zip(ia, wa, ib, wb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "wa", "ib", "wb")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def cell_links(bucket: int, parts: np.ndarray, roots: list[int], bands: np.ndarray, sigs: np.ndarray, sets: list[tuple[bytes, bytes | None]], least: float) -> list[tuple[int, int]]:
+    """Places of the linked rows of one cell that merge its classes: every two rows of different classes (and, if there are two parts, of
+    different parts) whose first common bucket is this one are compared until their classes are merged."""
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    _, group = np.unique(np.asarray(roots), return_inverse=True)
+    both = parts.min() != parts.max()
+    found = []
+    for x in range(len(group) - 1):
+        y = np.arange(x + 1, len(group))
+        y = y[(group[y] != group[x]) & ((parts[y] != parts[x]) | (not both))]
+        agree = (sigs[y] == sigs[x]).mean(axis=1)
+        y, agree = y[agree >= HOPEFUL], agree[agree >= HOPEFUL]
+        y, agree = (v[~(bands[y, :band] == bands[x, :band]).any(axis=1)] for v in (y, agree))
+        found.append((agree, np.full(len(y), x), y))
+    if not found:
+        return []
+    agree, left, right = (np.concatenate(v) for v in zip(*found, strict=True))
+    links, open_sets = [], {}
+    for k in np.argsort(-agree, kind="stable"):
+        x, y = int(left[k]), int(right[k])
+        if group[x] != group[y]:
+            for z in (x, y):
+                if z not in open_sets:
+                    open_sets[z] = unpack(*sets[z])
+            if similarity(*open_sets[x], *open_sets[y]) >= least:
+                links.append((x, y))
+                group[group == group[y]] = group[x]
+    return links
+
+
+def cells(members: DataFrame, rows: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the classes of the buckets that hold more than one; see step 4 of the module's text."""
+    named = members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).join(sets.select("doc_id", F.length("items").alias("size")), "doc_id")
+    spans = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("lo < hi")
+    spans = spans.select("bucket", F.greatest(F.ceil(F.col("n") / CELL_ROWS), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("n_parts"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("n_parts")).cast("int")
+    placed = named.join(spans, "bucket").withColumn("part", part)
+    placed = placed.select("bucket", "doc_id", "root", "part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
+    placed = placed.select("bucket", "doc_id", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    full = placed.join(rows.select("doc_id", "bands", "sig"), "doc_id").join(sets, "doc_id")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_pylist()
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        packed = list(zip(table.column("items").to_pylist(), table.column("weights").to_pylist(), strict=True))
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py() and len(table.column("part").unique()) < 2:
+            links = []
+        else:
+            links = cell_links(table.column("bucket")[0].as_py(), table.column("part").to_numpy(), table.column("root").to_pylist(), bands, sigs, packed, least)
+        return pa.table({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
+
+    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(doc_id, root): the smallest id of each document's component, by rounds of neighbour minima with pointer jumping."""
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -208,43 +279,24 @@ def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", least:
     firsts = own.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("first"))
     own, firsts = materialise(spark, own, "texts"), materialise(spark, firsts, "copies")
     kept = firsts.select(F.col("first").alias("doc_id"), "copy")
-    rows = signed.join(kept, ["doc_id", "copy"]).groupBy("doc_id", "copy").agg(F.any_value("registers").alias("registers")).drop("copy")
-    rows = materialise(spark, rows, "registers")
-    bands = F.array(*[F.xxhash64(F.slice("registers", ROWS * k + 1, ROWS), F.lit(k)) for k in range(BANDS)])
-    members = rows.select("doc_id", F.explode(bands).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    # (bucket, doc_id, led): rows of buckets that hold more than one text
-    members = materialise(spark, members.join(shared, "bucket").withColumn("led", F.lit(False)), "buckets")
-    roots, links, sets, tried = None, None, None, None
-    for number in range(ROUNDS):
-        named = members.withColumn("root", F.col("doc_id")) if roots is None else members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        spans = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        named = materialise(spark, named.join(spans, "bucket"), "open")
-        rank = F.xxhash64("doc_id", F.lit(number))
-        free = named.where(~F.col("led"))
-        # the LEADERS first by hash, kept by a bounded aggregate: at most that many for each bucket
-        leaders = free.groupBy("bucket", F.pmod(F.xxhash64("doc_id", F.lit(-1 - number)), F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("doc_id", "root"), rank).alias("lead"))
-        leaders = leaders.select("bucket", F.col("lead.doc_id").alias("leader"), F.col("lead.root").alias("leader_root")) if number else free.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id")).alias("lead")).select("bucket", F.col("lead.doc_id").alias("leader"), F.col("lead.root").alias("leader_root"))
-        leaders = materialise(spark, leaders, "leaders")
-        if leaders.limit(1).count() == 0:
-            break
-        met = named.join(leaders, "bucket").where("root <> leader_root")
-        pairs = met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(spark, pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        one, two = (rows.select(F.col("doc_id").alias(x), F.col("registers").alias(f"r{x}")) for x in "ab")
-        equal = F.size(F.filter(F.zip_with("ra", "rb", lambda x, y: x == y), lambda x: x))
-        likely = materialise(spark, pairs.join(one, "a").join(two, "b").where(equal >= HOPEFUL * REGISTERS).select("a", "b"), "likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = materialise(spark, shingled(held.join(wanted, "doc_id")), "shingles")
-        fresh = materialise(spark, verified(likely, sets, least), "verified")
-        links = fresh if links is None else links.unionByName(fresh)
-        if fresh.limit(1).count():
-            roots = components(spark, links)
-        members = named.join(leaders.select("bucket", F.col("leader").alias("doc_id"), F.lit(True).alias("now")), ["bucket", "doc_id"], "left").select("bucket", "doc_id", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
+    rows = signed.join(kept, ["doc_id", "copy"]).dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig")
+    rows = materialise(spark, rows, "rows")
+    buckets = rows.select("doc_id", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("leader")).where("n > 1").drop("n")
+    # rows of buckets that hold more than one text, with the bucket's leader
+    members = materialise(spark, buckets.join(shared, "bucket"), "buckets")
+    wanted = members.select("doc_id").distinct()
+    sets = materialise(spark, shingled(held.join(wanted, "doc_id")), "shingles")
+    one, two = (rows.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct().join(one, "a").join(two, "b")
+    equal = F.lit(0)
+    for k in range(REGISTERS):
+        equal = equal + (F.substring("sa", k + 1, 1) == F.substring("sb", k + 1, 1)).cast("int")
+    best = pairs.select("a", "b", equal.alias("equal")).where(F.col("equal") >= HOPEFUL * REGISTERS).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+    links = materialise(spark, verified(best, sets, least), "verified")
+    roots = components(spark, links)
+    more = materialise(spark, cells(members.select("bucket", "doc_id"), rows, sets, roots, least), "links")
+    if more.limit(1).count():
+        roots = components(spark, links.unionByName(more))
     out = own.join(firsts.select("copy", "first"), "copy", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))
-    if roots is None:
-        return out.select("doc_id", F.col("first").alias("class_id"))
     return out.join(roots.select(F.col("doc_id").alias("first"), "root"), "first", "left").select("doc_id", F.coalesce("root", "first").alias("class_id"))

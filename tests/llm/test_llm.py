@@ -118,6 +118,36 @@ def test_near_dedup_odd(spark, odd):
     assert {r["class_id"] for r in near_dedup.classes(spark.createDataFrame(chain, "doc_id long, text string")).collect()} == {0}
 
 
+def test_near_dedup_cells(spark, monkeypatch):
+    """Groups whose leaders miss most rows, in buckets cut into many parts: the classes are those of all pairs."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{j}" for j in range(90)]
+        for _ in range(14):
+            words = list(base)
+            for at in rng.sample(range(90), rng.randint(0, 3)):
+                words[at] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if similar(rows[a][1], rows[b][1]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_near_dedup_packing():
+    items = np.unique(np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64))
+    ones, counts = np.ones(len(items), np.int64), np.arange(1, len(items) + 1)
+    for weights in (ones, counts):
+        back, w = near_dedup.unpack(*near_dedup.pack(items, weights))
+        assert (back >> np.uint64(16) == items >> np.uint64(16)).all() and (w == weights).all()
+
+
 def test_decontamination(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(str(r["item_id"]), r["text"]) for r in bench.collect()]
