@@ -15,6 +15,7 @@ each time. Ties go to the language that sorts first. Only the named columns are
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ SMOOTH = 0.5
 #: Words and letters that a word's score looks at; longer runs of letters are scored as pieces of this many.
 PIECE = 40
 CACHE = 400_000
+M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))  # odd multipliers of the trigram hash
 WORD = re.compile(r"[^\W\d_]+")
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])
 OUT_DDL = "doc_id bigint, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>"
@@ -51,16 +52,22 @@ SCRIPTS = (
 _STARTS = np.array([a for _, a, _ in SCRIPTS])
 
 
+@functools.cache
 def script_of(char: str) -> str:
     code = ord(char)
     k = int(np.searchsorted(_STARTS, code, side="right")) - 1
     return SCRIPTS[k][0] if k >= 0 and code <= SCRIPTS[k][2] else "other"
 
 
-def trigrams(word: str) -> list[int]:
-    """Buckets of the word's trigrams, with both ends marked."""
-    padded = f"^{word}$"
-    return [xxhash.xxh32_intdigest(padded[k : k + 3]) % BUCKETS for k in range(len(padded) - 2)]
+def trigrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of all words, with both ends marked, and where each word's begin: a word of n letters has n."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    codes = np.frombuffer("".join(f"^{p}$" for p in parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    x = (codes[:-2] * M1 ^ codes[1:-1] * M2 ^ codes[2:] * M3) * M1
+    ends = np.cumsum(sizes + 2)
+    inside = np.ones(len(codes), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return ((x >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[inside[:-2]], np.cumsum(sizes) - sizes
 
 
 def pieces(word: str) -> list[str]:
@@ -79,11 +86,13 @@ def count_features(docs: DataFrame, text: str, lang: str) -> DataFrame:
         def flush(words: dict[str, Counter]) -> None:
             for tongue, seen in words.items():
                 total = totals.setdefault(tongue, np.zeros(BUCKETS, np.int64))
-                for word, n in seen.items():
-                    if any(map(str.isalpha, word)):
-                        scripts[tongue, script_of(word[0])] += n
-                        for part in pieces(word):
-                            np.add.at(total, trigrams(part), n)
+                lettered = [(word, n) for word, n in seen.items() if any(map(str.isalpha, word))]
+                for word, n in lettered:
+                    scripts[tongue, script_of(word[0])] += n
+                if lettered:
+                    parts = [(part, n) for word, n in lettered for part in pieces(word)]
+                    found, _ = trigrams([part for part, _ in parts])
+                    np.add.at(total, found, np.repeat([n for _, n in parts], [len(part) for part, _ in parts]))
 
         words: dict[str, Counter] = {}
         held = 0
@@ -121,16 +130,22 @@ class Model:
             else:
                 self.table[row[tongue], feature] += n
         self.table = np.log(self.table / self.table.sum(axis=1, keepdims=True))
+        self.by_bucket = np.ascontiguousarray(self.table.T)
         words = sum(uses.values()) if self.langs else np.zeros(0)
         self.allowed = {}
         for script, n in uses.items():
             share = n / np.maximum(words, 1)
             self.allowed[script] = share >= 0.001 if (share >= 0.001).any() else np.ones(len(self.langs), bool)
 
-    def score(self, word: str) -> np.ndarray:
-        total = sum((self.table[:, trigrams(p)].sum(axis=1) for p in pieces(word)), np.zeros(len(self.langs)))
-        total = np.where(self.allowed[script_of(word[0])], total, total.min() - SWITCH)
-        return total - total.max()
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its log-probability in each language, less that in the best."""
+        parts = [pieces(w) for w in words]
+        found, starts = trigrams([p for ps in parts for p in ps])
+        first = np.cumsum([0, *map(len, parts[:-1])])
+        total = np.add.reduceat(self.by_bucket[found], starts[first], axis=0)
+        allowed = np.array([self.allowed[script_of(w[0])] for w in words])
+        total = np.where(allowed, total, total.min(axis=1, keepdims=True) - SWITCH)
+        return total - total.max(axis=1, keepdims=True)
 
 
 class Words(dict):
@@ -142,16 +157,20 @@ class Words(dict):
         self.rows = np.zeros((1024, len(model.langs)))
         self.used = 1
 
-    def __missing__(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
-            self[word] = 0
-            return 0
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = self.model.score(word)
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+    def learn(self, words: list[str]) -> None:
+        """Score the words not seen yet, all at once."""
+        fresh = []
+        for word in [w for w in set(words) if w not in self]:
+            if any(map(str.isalpha, word)):
+                fresh.append(word)
+            else:
+                self[word] = 0
+        if fresh:
+            while self.used + len(fresh) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.used : self.used + len(fresh)] = self.model.scores(fresh)
+            self.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
+            self.used += len(fresh)
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -184,6 +203,7 @@ def label(text: str | None, known: Words) -> tuple[str, float, list[dict]]:
         return "und", 0.0, []
     lowered = text.lower() if text else ""
     words = WORD.findall(lowered)
+    known.learn(words)
     ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     kept = ids > 0
     if not kept.any():
