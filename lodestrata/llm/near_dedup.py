@@ -42,6 +42,8 @@ REGISTERS = BANDS * ROWS
 HOPEFUL = 0.65
 #: Rows, and bytes of packed shingles, of one part of a bucket, give or take the hash's spread.
 CELL_ROWS, CELL_BYTES = 256, 32_000_000
+#: Ids (8 bytes each) that are broadcast at most, to fetch the texts to compare without a shuffle of all texts.
+MAX_IDS = 4_000_000
 CACHE = 400_000
 WORD = re.compile(r"[^\W_]+")
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values: SplitMix64
@@ -285,8 +287,10 @@ def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", least:
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("leader")).where("n > 1").drop("n")
     # rows of buckets that hold more than one text, with the bucket's leader
     members = materialise(spark, buckets.join(shared, "bucket"), "buckets")
-    wanted = members.select("doc_id").distinct()
-    sets = materialise(spark, shingled(held.join(wanted, "doc_id")), "shingles")
+    wanted = materialise(spark, members.select("doc_id").distinct(), "wanted")
+    # up to a checked number of ids goes to the texts; beyond it the texts come to the ids
+    few = wanted.count() <= MAX_IDS
+    sets = materialise(spark, shingled(held.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")), "shingles")
     one, two = (rows.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct().join(one, "a").join(two, "b")
     equal = F.lit(0)
