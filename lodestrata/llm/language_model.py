@@ -9,8 +9,8 @@ Network: the ``CLASSES * CLASSES - 2`` most frequent words have an input vector
 probability is shared out by the base. One GRU layer; the output is factored into classes of ``CLASSES`` words of neighbouring
 frequency. Documents stand end to end in parallel streams that advance together, with the state carried from window to window and reset where a
 document begins, so a score is the whole document's log-likelihood. Training is truncated backpropagation over windows:
-in each round every partition trains on its share of the round's documents (one in ``SHARE`` training documents, whole) from the same
-weights, and the weights are averaged in two summing steps, by the words seen. What is gathered grows with the partitions, so with the corpus.
+the training documents are dealt over ``SHARE`` rounds, whole, so that each is learned from at least once. In each round every partition trains
+on its own documents of the round from the same weights, and the weights are averaged in two summing steps, by the words seen. What is gathered grows with the partitions, so with the corpus.
 
 Null and empty texts are one end token. Null ids are never training rows and are not held out; repeated rows count
 and are scored each time. With no training row N and V are 0: the base is then log10 of 0.1 / 0.1 for every token, which is 0, and so is the
@@ -37,7 +37,8 @@ HIDDEN = 24
 STREAMS = 256
 WINDOW = 32
 ROUNDS = 2
-SHARE = 32
+#: Rounds over which the training documents are dealt; further rounds see them again.
+SHARE = 2
 LEARN_RATE = 0.003
 #: Steps over which the rate of a partition's training rises.
 WARM = 50
@@ -115,12 +116,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """The weights, by name."""
+    """The weights, by name, and the words they were trained on."""
 
     SHAPES = {"E": (CLASSES * CLASSES, HIDDEN), "Wx": (HIDDEN, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (CLASSES, HIDDEN, CLASSES), "bo": (CLASSES, CLASSES)}
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
+        self.flat, self.seen, at = flat, 0, 0
         self.w: dict[str, np.ndarray] = {}
         for name, shape in self.SHAPES.items():
             size = int(np.prod(shape))
@@ -327,22 +328,24 @@ def averaged(rows: DataFrame) -> DataFrame:
 
 
 def train(spark: SparkSession, docs: DataFrame, vocabulary, freq: np.ndarray, rounds: int, share: int) -> Network:
-    """``docs``: doc_id, text of the training rows; ``vocabulary``: the broadcast one."""
+    """``docs``: doc_id, text of the training rows; ``vocabulary``: the broadcast one. No fewer than ``share`` rounds, so no document is left out."""
     net = Network.fresh(freq)
     turn = F.floor(F.crc32(F.col("doc_id").cast("string")) / 10) % share
-    for k in range(rounds):
+    for k in range(max(rounds, share)):
         start = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             hashes = Hashes()
-            shards = (network_words(texts, vocabulary.value, hashes)[0] for _, texts in blocks(batches, 3_000_000))
+            shards = (network_words(texts, vocabulary.value, hashes)[0] for _, texts in blocks(batches, 8_000_000))
             flat, n = train_partition(Network(start.value), shards)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([(flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([float(n)])], ["w", "n"])
 
         found = averaged(docs.where(turn == k % share).mapInArrow(run, "w binary, n double")).first()
         if found:
+            seen = net.seen + int(found["n"])
             net = Network((np.frombuffer(found["w"], np.float64) / found["n"]).astype(np.float32))
+            net.seen = seen
     return net
 
 

@@ -308,6 +308,12 @@ def test_language_model(docs, odd, head):
     assert {r["base_score"] for r in language_model.score(odd, *empty).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("given", [{}, {"rounds": 1, "share": 5}])
+def test_language_model_learns_from_every_training_document(docs, given):
+    _, vocabulary, net = language_model.fit(language_model.training_rows(docs), **given)
+    assert net.seen == vocabulary.total > 0
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(30)) + (" scumbag" if k % 4 == 0 else "")) for k in range(400)]
