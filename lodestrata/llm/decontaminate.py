@@ -11,11 +11,13 @@ last-to-first mapping, and the hit spans of a document are merged.
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``width`` consecutive words of
 an item; an item of fewer words, but not none, is one window. Null and empty texts have no words and no hits.
 A null ``doc_id`` is an ordinary row. Repeated documents each get their row; repeated items, and items sharing a
-window, are each counted. Without items every document is clean. Only the id and text columns are read, so
+window, are each counted. The text of an item with a null id makes hit words like any other, but has no name to list among a document's items.
+Without items every document is clean. Only the id and text columns are read, so
 further columns of any name do no harm.
 
 The test phrases are broadcast in blocks of at most ``max_words`` words, one pass over the documents for
-each block, so what is broadcast is bounded however large the test set grows; several blocks are merged per document.
+each block, so what is broadcast is bounded however large the test set grows. For several blocks the documents are written
+once with a row number, by which the blocks' hits are merged, so each row keeps its own result here too.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ascii_lower, blocks, small_batches
+from lodestrata.llm.common import ascii_lower, blocks, materialise, small_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The same words before lower-casing.
@@ -189,13 +191,15 @@ class Numbers(dict):
 class Phrases:
     """Windows of test phrases over their own word numbers (from 1)."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         self.number: dict[str, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             for k in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + width]), set()).add(item)
+                named = found.setdefault(tuple(ids[k : k + width]), set())
+                if item is not None:
+                    named.add(item)
         self.items = [sorted(v) for v in found.values()]
         self.lengths = np.array([len(w) for w in found], np.int64)
         self.patterns = np.zeros((len(found), width), np.int64)
@@ -254,7 +258,7 @@ def scan_shard(ids: list, texts: list[str | None], phrases: Phrases) -> pa.Recor
 
 def phrase_blocks(benchmark: DataFrame, item: str, text: str, max_words: int) -> list[DataFrame]:
     """The test phrases in blocks of about ``max_words`` words; one block unless the set is large."""
-    held = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"), F.coalesce(F.length(text), F.lit(0)).alias("chars")).where("item is not null")
+    held = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
     total = held.agg(F.sum("chars")).first()[0] or 0
     n = max(1, -(-total // (2 * max_words)))
     return [held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).drop("chars") for k in range(n)]
@@ -265,24 +269,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
     spark = docs.sparkSession
     small_batches(spark)
     held = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = phrase_blocks(benchmark, item, item_text, max_words)
+    several = len(parts) > 1
+    if several:
+        # the row number must be the same in every pass, so the rows are written once
+        held = materialise(spark, held.withColumn("row", F.monotonically_increasing_id()), "documents").select(F.struct("row", "doc_id").alias("key"), "text")
     found = []
-    for part in phrase_blocks(benchmark, item, item_text, max_words):
+    for part in parts:
         # bounded: a block holds about max_words words
         phrases = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in part.collect()], width))
 
         def scan(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for ids, texts in blocks(batches):
-                yield scan_shard(ids, texts, phrases.value)
-
-        found.append(held.mapInArrow(scan, OUT_DDL))
-    if len(found) == 1:
+                if several:
+                    hits = scan_shard([k["doc_id"] for k in ids], texts, phrases.value)
+                    yield pa.RecordBatch.from_arrays([pa.array([k["row"] for k in ids], pa.int64()), *hits.columns], ["row", *hits.schema.names])
+                else:
+                    yield scan_shard(ids, texts, phrases.value)
+
+        found.append(held.mapInArrow(scan, f"row bigint, {OUT_DDL}" if several else OUT_DDL))
+    if not several:
         return found[0]
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    joined = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans"))
-    return joined.withColumn("spans", union_spans(F.col("spans")))
+    joined = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans"))
+    return joined.drop("row").withColumn("spans", union_spans(F.col("spans")))
 
 
 def union_spans(spans):

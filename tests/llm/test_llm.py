@@ -178,6 +178,17 @@ def test_decontamination_odd(spark, odd):
     assert decontaminate.find_hits(odd, bench.limit(0)).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("max_words", [decontaminate.MAX_WORDS, 4])
+def test_decontamination_keeps_rows_apart(spark, max_words):
+    bench = spark.createDataFrame([(1, "red fox runs home"), (2, "blue whale dives deep"), (None, "green frog sits still")], "item_id int, text string")
+    texts = [(7, "red fox runs home"), (7, "some blue whale dives deep today"), (None, "nothing here"), (None, "a green frog sits still"), (None, None), (9, "red fox runs home"), (9, "red fox runs home")]
+    assert len(decontaminate.phrase_blocks(bench, "item_id", "text", max_words)) == (1 if max_words > 4 else 8)
+    got = decontaminate.find_hits(spark.createDataFrame(texts, "doc_id int, text string"), bench, max_words=max_words).collect()
+    red = (7, 4, "1", "[[0, 4]]")
+    want = [red, (7, 6, "2", "[[1, 5]]"), (None, 2, "", "[]"), (None, 5, "", "[[1, 5]]"), (None, 0, "", "[]"), (9, *red[1:]), (9, *red[1:])]
+    assert sorted(((r["doc_id"], r["n_words"], ",".join(r["items"]), str(r["spans"])) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_pieces(docs, odd):
     import sentencepiece
 
