@@ -67,7 +67,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("actual"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.left("text", F.lit(400)).alias("expected"), F.col("text").alias("context"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("expected"), F.col("text").alias("context"))
     return user.join(reply, ["conv_id", "turn"]).join(d, "conv_id", "left").fillna("", ["expected", "context"])
 
 
