@@ -399,7 +399,7 @@ def _(spark, sf):
 
 @query("answerable", f"WITH {ENTRIES} SELECT doc_seq FROM entries WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10 ORDER BY doc_seq LIMIT 300")
 def _(spark, sf):
-    return prepare.answerable(entries(spark, sf), 300).select("doc_seq")
+    return prepare.answerable(entries(spark, sf)).select("doc_seq")
 
 
 @query("validated", "SELECT event_id FROM events WHERE regexp_matches(CASE WHEN event_id % 3 = 0 THEN 'INVALID' WHEN event_id % 3 = 1 THEN 'valid.' ELSE 'VALID' END, '(?i)\\bVALID\\b')")
