@@ -20,8 +20,8 @@ network's part. Very long texts take a stream of their own. Only the id and text
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ LEARN_RATE = 0.003
 WARM = 50
 END = b" end"
 CACHE = 500_000
+#: Words whose probabilities are taken together in scoring.
+SETTLE = 32_768
 LN10 = float(np.log(10))
 
 
@@ -60,14 +62,27 @@ def hash_of(word: bytes) -> int:
 END_HASH = hash_of(END)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = hash_of(word)
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = value
-        return value
+class Places(dict):
+    """Place in the vocabulary's head of the words seen lately that have one."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Place of each word, -1 if it is not in the head."""
+        at = np.fromiter(map(self.get, words, repeat(-2)), np.int64, len(words))
+        new = np.flatnonzero(at == -2)
+        fresh = [words[k] for k in new.tolist()]
+        at[new] = found = self.vocabulary.find(hashes_of(fresh))
+        if len(self) > CACHE:
+            self.clear()
+        self.update((w, k) for w, k in zip(fresh, found.tolist(), strict=True) if k >= 0 and len(w) <= 64)
+        return at
+
+
+def hashes_of(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64).view(np.int64)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -76,7 +91,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in blocks(batches, 8_000_000):
             seen = Counter(chain.from_iterable(map(words_of, texts)))
-            h = np.fromiter(map(hash_of, seen), np.int64, len(seen))
+            h = hashes_of(seen)
             n = np.fromiter(seen.values(), np.int64, len(seen))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, [END_HASH]])), pa.array(np.concatenate([n, [len(texts)]]))], ["h", "n"])
 
@@ -111,12 +126,8 @@ class Vocabulary:
         return np.where(self.h[at] == h, at, -1)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
-    """The weights, by name, and the words they were trained on."""
+    """The weights, by name, and the words they were trained on. The gates stand in the order update, reset, candidate."""
 
     SHAPES = {"E": (CLASSES * CLASSES, HIDDEN), "Wx": (HIDDEN, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (CLASSES, HIDDEN, CLASSES), "bo": (CLASSES, CLASSES)}
 
@@ -145,94 +156,175 @@ class Network:
         net.w["bo"][:] = np.log(f / f.sum(axis=1, keepdims=True))
         return net
 
-    def forward(self, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each step of a window. ``x``: input words, ``first``: where a document begins, both [steps, streams]."""
-        w, n = self.w, HIDDEN
-        steps, streams = x.shape
-        xw = w["E"][x] @ w["Wx"] + w["b"]
-        out = np.empty((steps, streams, n), np.float32)
-        tape = []
-        stay = (~first).astype(np.float32)[:, :, None]
+    def gates(self, name: str) -> np.ndarray:
+        """A weight matrix of all gates, gate first."""
+        return np.ascontiguousarray(self.w[name].reshape(-1, 3, HIDDEN).swapaxes(0, 1))
+
+    def inputs(self) -> np.ndarray:
+        """What every word adds to the gates, [gate, word, unit]; halved where the logistic function will be taken."""
+        found = np.matmul(self.w["E"], self.gates("Wx"))
+        found += self.w["b"].reshape(3, 1, HIDDEN)
+        found[:2] *= 0.5
+        return found
+
+    def forward(self, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False, inputs: np.ndarray | None = None):
+        """States after each step of a window, and the last; with ``keep`` the gates and the inner products of all steps as well.
+        ``x``: input words, ``first``: where a document begins, both [steps, streams]."""
+        kind, (steps, width) = self.flat.dtype, x.shape
+        xw = np.take(self.inputs() if inputs is None else inputs, x, axis=1)
+        wh = self.gates("Wh")
+        wh[:2] *= 0.5
+        out = np.empty((steps, width, HIDDEN), kind)
+        gates, inner = np.empty((2, steps if keep else 1, 3, width, HIDDEN), kind)
+        begins, stays = first.any(axis=1).tolist(), (~first)[:, :, None]
+        h = h.astype(kind)
         for t in range(steps):
-            h = h * stay[t]
-            hw = h @ w["Wh"]
-            g = sigmoid(xw[t, :, : 2 * n] + hw[:, : 2 * n])
-            z, r = g[:, :n], g[:, n:]
-            c = np.tanh(xw[t, :, 2 * n :] + r * hw[:, 2 * n :])
-            if keep:
-                tape.append((h, z, r, c, hw[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
-        return out, h, tape
+            g, hw = gates[t if keep else 0], inner[t if keep else 0]
+            if begins[t]:
+                h = h * stays[t]
+            np.matmul(h, wh, out=hw)
+            zr, c = g[:2], g[2]
+            np.add(xw[:2, t], hw[:2], out=zr)
+            # the logistic function is (1 + tanh(x / 2)) / 2
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            np.multiply(zr[1], hw[2], out=c)
+            c += xw[2, t]
+            np.tanh(c, out=c)
+            new = np.subtract(h, c, out=out[t])
+            new *= zr[0]
+            new += c
+            h = new
+        return out, h, (gates, inner)
 
     def log_probs(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probability of the words ``y`` [n] after ``states`` [n, HIDDEN]."""
-        w = self.w
-        c, k = np.divmod(y, CLASSES)
-        s = states @ w["Wc"] + w["bc"]
-        out = s[np.arange(len(y)), c] - log_sum(s)
-        order = np.argsort(c, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(c[order])) + 1) if len(order) else []:
-            own = c[part[0]]
-            s = states[part] @ w["Wo"][own] + w["bo"][own]
-            out[part] += s[np.arange(len(part)), k[part]] - log_sum(s)
-        return out
+        top = Output(self)
+        order, c, k, edges = by_class(y)
+        rows = with_one(states, order)
+        out = top.chosen(rows @ top.classes, c)
+        for own, a, b in edges:
+            out[a:b] += top.chosen(rows[a:b] @ top.words[own], k[a:b])
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient of the mean log-probability over a window (truncated: nothing flows into what came before), and the last state."""
-        w, n = self.w, HIDDEN
-        states, h, tape = self.forward(x, first, h, keep=True)
+        w, n, kind = self.w, HIDDEN, self.flat.dtype
+        states, last, (gates, inner) = self.forward(x, first, h, keep=True)
         grad = Network(np.zeros_like(self.flat))
         g = grad.w
-        flat, yy, on = states.reshape(-1, n), y.reshape(-1), np.flatnonzero(live.reshape(-1))
+        on = np.flatnonzero(live.reshape(-1))
         scale = 1 / max(1, len(on))
-        c, k = np.divmod(yy[on], CLASSES)
-        rows = flat[on]
-        d = -soft(rows @ w["Wc"] + w["bc"])
-        d[np.arange(len(on)), c] += 1
-        d *= scale
-        g["Wc"] += rows.T @ d
-        g["bc"] += d.sum(axis=0)
-        back = np.zeros_like(flat)
-        own_back = d @ w["Wc"].T
-        order = np.argsort(c, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(c[order])) + 1) if len(order) else []:
-            own = c[part[0]]
-            d = -soft(rows[part] @ w["Wo"][own] + w["bo"][own])
-            d[np.arange(len(part)), k[part]] += 1
-            d *= scale
-            g["Wo"][own] += rows[part].T @ d
-            g["bo"][own] += d.sum(axis=0)
-            own_back[part] += d @ w["Wo"][own].T
-        back[on] = own_back
+        top = Output(self)
+        order, c, k, edges = by_class(y.reshape(-1)[on])
+        rows = with_one(states.reshape(-1, n), on[order])
+        d = top.surprise(rows @ top.classes, c, scale)
+        found = rows.T @ d
+        g["Wc"][:], g["bc"][:] = found[:-1], found[-1]
+        rows_back = d @ top.classes_back
+        found = np.zeros_like(top.words)
+        for own, a, b in edges:
+            d = top.surprise(rows[a:b] @ top.words[own], k[a:b], scale)
+            np.matmul(rows[a:b].T, d, out=found[own])
+            rows_back[a:b] += d @ top.words_back[own]
+        g["Wo"][:], g["bo"][:] = found[:, :-1], found[:, -1]
+        back = np.zeros((states.shape[0] * states.shape[1], n), kind)
+        back[on[order]] = rows_back
         back = back.reshape(states.shape)
-        dh = np.zeros_like(h)
-        dx = np.empty((*x.shape, 3 * n), np.float32)
+        was = np.concatenate([h.astype(kind)[None], states[:-1]])
+        was[first] = 0
+        z, r, cand = gates.swapaxes(0, 1)
+        # the gradient at candidate, update, reset and at the candidate's inner product, all as multiples of that at the state
+        times = np.empty((4, *states.shape), kind)
+        of_c = np.multiply(1 - z, 1 - cand * cand, out=times[0])
+        np.multiply((was - cand) * z, 1 - z, out=times[1])
+        np.multiply(of_c * inner[:, 2], r * (1 - r), out=times[2])
+        np.multiply(of_c, r, out=times[3])
+        wh = np.ascontiguousarray(self.gates("Wh").swapaxes(1, 2))
+        dh, flow = np.zeros(states.shape[1:], kind), np.empty((3, *states.shape[1:]), kind)
+        begins, stays = first.any(axis=1).tolist(), (~first)[:, :, None]
         for t in range(len(x) - 1, -1, -1):
-            dh = dh + back[t]
-            was, z, r, cand, hc = tape[t]
-            dc = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (was - cand) * z * (1 - z)
-            dr = dc * hc * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dc], axis=1)
-            dw = np.concatenate([dz, dr, dc * r], axis=1)
-            g["Wh"] += was.T @ dw
-            dh = (dh * z + dw @ w["Wh"].T) * (~first[t])[:, None]
-        flat_dx = dx.reshape(-1, 3 * n)
-        g["b"] += flat_dx.sum(axis=0)
-        g["Wx"] += w["E"][x.reshape(-1)].T @ flat_dx
-        np.add.at(g["E"], x.reshape(-1), flat_dx @ w["Wx"].T)
-        return grad.flat, h
-
-
-def log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-
-
-def soft(s: np.ndarray) -> np.ndarray:
-    e = np.exp(s - s.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+            dh += back[t]
+            own = np.multiply(dh, times[:, t], out=times[:, t])
+            np.matmul(own[1:], wh, out=flow)
+            dh *= z[t]
+            dh += flow[0]
+            dh += flow[1]
+            dh += flow[2]
+            if begins[t]:
+                dh *= stays[t]
+        flat = times.reshape(4, -1, n)
+        g["Wh"][:] = np.matmul(was.reshape(-1, n).T, flat[1:]).swapaxes(0, 1).reshape(n, 3 * n)
+        # input gradients are summed by word before anything is multiplied
+        by_word = np.argsort(x.reshape(-1).astype(np.int16), kind="stable")
+        words = x.reshape(-1)[by_word]
+        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        words = words[starts]
+        wx, dx, de = self.gates("Wx"), [], 0
+        for plane, gate in ((1, 0), (2, 1), (0, 2)):
+            sums = np.add.reduceat(np.take(flat[plane], by_word, axis=0), starts, axis=0)
+            dx.append(w["E"][words].T @ sums)
+            de = de + sums @ wx[gate].T
+            g["b"][gate * n : (gate + 1) * n] = sums.sum(axis=0)
+        g["Wx"][:] = np.concatenate(dx, axis=1)
+        g["E"][words] = de
+        return grad.flat, last
+
+
+class Output:
+    """Output weights of the classes and of the words in each class, with the bias as a last row."""
+
+    def __init__(self, net: Network):
+        w = net.w
+        self.classes = np.concatenate([w["Wc"], w["bc"][None]])
+        self.words = np.concatenate([w["Wo"], w["bo"][:, None]], axis=1)
+        self.classes_back = np.ascontiguousarray(w["Wc"].T)
+        self.words_back = np.ascontiguousarray(w["Wo"].swapaxes(1, 2))
+        # states lie between -1 and 1, so no output is larger than this
+        self.small = max(np.abs(self.classes).sum(axis=0).max(), np.abs(self.words).sum(axis=1).max()) < 60
+        self.ones = np.ones(CLASSES, net.flat.dtype)
+
+    def exponents(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+        """exp of the rows, in place, less their largest value if any may be large; the sums of the rows, and what was taken off."""
+        largest = 0.0
+        if not self.small:
+            largest = s.max(axis=1)
+            s -= largest[:, None]
+        e = np.exp(s, out=s)
+        return e, e @ self.ones, largest
+
+    def chosen(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log of the softmax of each row at one place."""
+        own = s[np.arange(len(at)), at]
+        _, total, largest = self.exponents(s)
+        return own - largest - np.log(total)
+
+    def surprise(self, s: np.ndarray, at: np.ndarray, scale: float) -> np.ndarray:
+        """Gradient of the log-softmax at one place of each row, times ``scale``."""
+        e, total, _ = self.exponents(s)
+        e *= (-scale / total)[:, None]
+        e[np.arange(len(at)), at] += scale
+        return e
+
+
+def by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order that sorts words by class, their classes and places in the class in that order, and (class, from, to) of every class."""
+    c, k = np.divmod(y, CLASSES)
+    order = np.argsort(c.astype(np.uint8), kind="stable")
+    c, k = c[order], k[order]
+    at = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    return order, c, k, [(own, a, b) for own, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
+
+
+def with_one(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rows of ``states`` in an order, with a last column of ones, for the bias."""
+    rows = np.empty((len(order), states.shape[1] + 1), states.dtype)
+    rows[:, :-1] = np.take(states, order, axis=0)
+    rows[:, -1] = 1
+    return rows
 
 
 def streams(sizes: np.ndarray, width: int) -> list[list[int]]:
@@ -275,14 +367,23 @@ def train_partition(net: Network, shards: Iterator[list[np.ndarray]]) -> tuple[n
     """Weights after one pass (Adam over the windows of each shard), and the words seen."""
     net = Network(net.flat.copy())
     m, v, t, seen = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
+    step = np.empty_like(net.flat)
     for words in shards:
         h = np.zeros((min(STREAMS, len(words)), HIDDEN), np.float32)
         for x, y, first, live, _ in windows(words, STREAMS, WINDOW):
             g, h = net.gradient(x, first, y, live, h[: x.shape[1]])
             t += 1
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            net.flat += LEARN_RATE * min(1, t / WARM) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=step)
+            v *= 0.999
+            g *= g
+            v += np.multiply(g, 0.001, out=step)
+            np.sqrt(v, out=step)
+            step *= 1 / np.sqrt(1 - 0.999**t)
+            step += 1e-7
+            np.divide(m, step, out=step)
+            step *= LEARN_RATE * min(1, t / WARM) / (1 - 0.9**t)
+            net.flat += step
             seen += int(live.sum())
     return net.flat, seen
 
@@ -291,22 +392,33 @@ def score_shard(net: Network, words: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each document's network words."""
     total = np.zeros(len(words))
     h = np.zeros((min(STREAMS, len(words)), HIDDEN), np.float32)
-    for x, y, first, live, doc in windows(words, STREAMS, 2 * WINDOW):
-        states, h, _ = net.forward(x, first, h[: x.shape[1]])
+    inputs, held, n = net.inputs(), [], 0
+
+    def settle() -> None:
+        states, y, doc = (np.concatenate(v) for v in zip(*held, strict=True))
+        total[:] += np.bincount(doc, weights=net.log_probs(states, y), minlength=len(words))
+
+    for x, y, first, live, doc in windows(words, STREAMS, WINDOW):
+        states, h, _ = net.forward(x, first, h[: x.shape[1]], inputs=inputs)
         on = live.reshape(-1)
-        lp = net.log_probs(states.reshape(-1, HIDDEN)[on], y.reshape(-1)[on])
-        total += np.bincount(doc.reshape(-1)[on], weights=lp, minlength=len(words))
+        held.append((states.reshape(-1, HIDDEN)[on], y.reshape(-1)[on], doc.reshape(-1)[on]))
+        n += len(held[-1][1])
+        if n >= SETTLE:
+            settle()
+            held, n = [], 0
+    if held:
+        settle()
     return total / LN10
 
 
-def network_words(texts: list[str | None], vocabulary: Vocabulary, hashes: Hashes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Network words by document, and flat: hashes, places in the head, edges."""
-    cut = [words_of(t) for t in texts]
-    h = [np.fromiter(chain(map(hashes.__getitem__, w), (END_HASH,)), np.int64, len(w) + 1) for w in cut]
-    flat = np.concatenate(h)
-    at = vocabulary.find(flat)
-    words = np.where(at >= 0, vocabulary.word[np.maximum(at, 0)], 0) if len(vocabulary.h) else np.zeros(len(flat), np.int32)
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in h])])
+def network_words(texts: list[str | None], known: Places) -> tuple[list[np.ndarray], list[bytes], np.ndarray, np.ndarray]:
+    """Network words by document, and flat: tokens, places in the head, edges of the documents."""
+    cut = [[*words_of(t), END] for t in texts]
+    flat = list(chain.from_iterable(cut))
+    at = known.find(flat)
+    own = known.vocabulary
+    words = np.where(at >= 0, own.word[np.maximum(at, 0)], 0) if len(own.h) else np.zeros(len(flat), np.int32)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in cut])])
     return np.split(words, edges[1:-1]), flat, at, edges
 
 
@@ -335,8 +447,8 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary, freq: np.ndarray, ro
         start = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            hashes = Hashes()
-            shards = (network_words(texts, vocabulary.value, hashes)[0] for _, texts in blocks(batches, 8_000_000))
+            known = Places(vocabulary.value)
+            shards = (network_words(texts, known)[0] for _, texts in blocks(batches, 8_000_000))
             flat, n = train_partition(Network(start.value), shards)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([(flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([float(n)])], ["w", "n"])
@@ -377,11 +489,12 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Netwo
     shared, weights = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(net.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own, model = Hashes(), shared.value, Network(weights.value)
+        own, model = shared.value, Network(weights.value)
+        known = Places(own)
         value = np.log10((own.n + 0.1) / own.mass) if own.mass else np.zeros(0)
         spread = np.log10(own.unknown_mass)
         for ids, texts in blocks(batches, 8_000_000):
-            words, flat, at, edges = network_words(texts, own, hashes)
+            words, flat, at, edges = network_words(texts, known)
             in_head = at >= 0
             base = np.where(in_head, value[np.maximum(at, 0)] if len(value) else 0.0, 0.0)
             unknown = np.concatenate(words) == 0
@@ -391,7 +504,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Netwo
             part = network + (add(np.where(unknown, base - spread, 0.0)) if own.total else 0.0)
             tail = np.flatnonzero(~in_head)
             tail_edges = np.searchsorted(tail, edges)
-            tails = pa.ListArray.from_arrays(pa.array(tail_edges, pa.int32()), pa.array(flat[tail], pa.int64()))
+            tails = pa.ListArray.from_arrays(pa.array(tail_edges, pa.int32()), pa.array(hashes_of(flat[k] for k in tail.tolist()), pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(add(in_head).astype(np.int64)), pa.array(add(base)), pa.array(part), tails], ["doc_id", "n_tokens", "n_head", "base", "part", "tail"])
 
     ddl = "doc_id bigint, n_tokens bigint, n_head bigint, base double, part double, tail array<bigint>"
