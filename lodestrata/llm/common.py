@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.sources.tables import materialise, remove, shared_dir
+
+__all__ = ["ascii_lower", "blocks", "documents", "free_name", "id_bucket", "keep_rows", "materialise", "remove", "sha256_hex", "shared_dir", "small_batches", "whole_rows"]
+
 #: Code points that one vectorised block of texts holds at most (a single longer text forms its own block).
 BLOCK_CHARS = 6_000_000
 #: Rows of one Arrow transfer; with texts of a few KB a transfer stays at a few MB.
@@ -34,29 +36,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at a file that outlives executors.
-
-    The files go when the driver's JVM ends.
-    """
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blocks(batches: Iterable[pa.RecordBatch], max_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
     """(first column, second column) of whole rows, cut into blocks of bounded text."""
     ids: list = []
@@ -74,6 +53,46 @@ def blocks(batches: Iterable[pa.RecordBatch], max_chars: int = BLOCK_CHARS) -> I
         yield ids, texts
 
 
+def whole_rows(batches: Iterable[pa.RecordBatch], text: str, max_chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.Table, list[str | None]]]:
+    """(rows with all their columns, their texts), cut into blocks of bounded text."""
+    parts: list[pa.RecordBatch] = []
+    texts: list[str | None] = []
+    held = 0
+    for batch in batches:
+        own, start = batch.column(batch.schema.get_field_index(text)).to_pylist(), 0
+        for k, value in enumerate(own, 1):
+            held += len(value) if value else 0
+            if held >= max_chars or k == len(own):
+                parts.append(batch.slice(start, k - start))
+                texts += own[start:k]
+                start = k
+            if held >= max_chars:
+                yield pa.Table.from_batches(parts), texts
+                parts, texts, held = [], [], 0
+    if texts:
+        yield pa.Table.from_batches(parts), texts
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str | None]], list[bool]]], text: str = "text", max_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows whose text ``keep`` wants, with all their columns, in the same pass: nothing is shuffled or joined, so null ids, repeated ids
+    and further columns need no rule. ``keep`` is called once in each task and gives the judge of a list of texts."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = keep()
+        for rows, texts in whole_rows(batches, text, max_chars):
+            yield from rows.filter(pa.array(judge(texts), pa.bool_())).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores before it as it takes to be no column's name."""
+    while wanted.lower() in {c.lower() for c in taken}:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 

@@ -2,7 +2,7 @@
 
 Tokens: a text is lower-cased (A-Z), cut into words of ``[^\\x20\\x09-\\x0D]+``, and closed by one end token.
 
-Counts: every training document is counted; tokens are carried as 64-bit hashes. The most frequent tokens, at most
+Counts: every training document is counted; tokens are carried as 64-bit hashes (of a billion distinct tokens, two share a hash with a chance of 3 %). The most frequent tokens, at most
 ``HEAD``, travel to the workers as two sorted arrays; the counts of all others are joined to the documents that hold them.
 
 Network: the ``CLASSES * CLASSES - 2`` most frequent words have an input vector and an output word; the rest is one unknown word whose
@@ -10,11 +10,12 @@ probability is shared out by the base. One GRU layer; the output is factored int
 frequency. Documents stand end to end in parallel streams that advance together, with the state carried from window to window and reset where a
 document begins, so a score is the whole document's log-likelihood. Training is truncated backpropagation over windows:
 the training documents are dealt over ``SHARE`` rounds, whole, so that each is learned from at least once. In each round every partition trains
-on its own documents of the round from the same weights, and the weights are averaged in two summing steps, by the words seen. What is gathered grows with the partitions, so with the corpus.
+on its own documents of the round from the same weights, and the weights are averaged, by the words seen, in a tree of sums. What is gathered grows with the partitions, so with the corpus.
 
 Null and empty texts are one end token. Null ids are never training rows and are not held out; repeated rows count
 and are scored each time. With no training row N and V are 0: the base is then log10 of 0.1 / 0.1 for every token, which is 0, and so is the
-network's part. Very long texts take a stream of their own. Only the id and text columns are read.
+network's part. Very long texts take a stream of their own. Only the id and text columns are read. ``encode`` writes the documents as numbers once, so that training
+and scoring read those instead of the texts.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ LEARN_RATE = 0.003
 WARM = 50
 END = b" end"
 CACHE = 500_000
+#: Partial sums of weights that one task adds up.
+FAN = 16
 #: Words whose probabilities are taken together in scoring.
 SETTLE = 32_768
 LN10 = float(np.log(10))
@@ -63,7 +66,7 @@ END_HASH = hash_of(END)
 
 
 class Places(dict):
-    """Place in the vocabulary's head of the words seen lately that have one."""
+    """Place in the vocabulary's head of the words seen lately; -1 for those that have none."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -71,13 +74,15 @@ class Places(dict):
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Place of each word, -1 if it is not in the head."""
-        at = np.fromiter(map(self.get, words, repeat(-2)), np.int64, len(words))
-        new = np.flatnonzero(at == -2)
-        fresh = [words[k] for k in new.tolist()]
-        at[new] = found = self.vocabulary.find(hashes_of(fresh))
         if len(self) > CACHE:
             self.clear()
-        self.update((w, k) for w, k in zip(fresh, found.tolist(), strict=True) if k >= 0 and len(w) <= 64)
+        at = np.fromiter(map(self.get, words, repeat(-2)), np.int64, len(words))
+        new = np.flatnonzero(at == -2).tolist()
+        if new:
+            fresh = list({words[k] for k in new})
+            found = dict(zip(fresh, self.vocabulary.find(hashes_of(fresh)).tolist(), strict=True))
+            at[new] = np.fromiter((found[words[k]] for k in new), np.int64, len(new))
+            self.update((w, k) for w, k in found.items() if k >= 0 and len(w) <= 64)
         return at
 
 
@@ -160,9 +165,9 @@ class Network:
         """A weight matrix of all gates, gate first."""
         return np.ascontiguousarray(self.w[name].reshape(-1, 3, HIDDEN).swapaxes(0, 1))
 
-    def inputs(self) -> np.ndarray:
-        """What every word adds to the gates, [gate, word, unit]; halved where the logistic function will be taken."""
-        found = np.matmul(self.w["E"], self.gates("Wx"))
+    def inputs(self, words: np.ndarray | slice = np.s_[:]) -> np.ndarray:
+        """What the words add to the gates, [gate, word, unit]; halved where the logistic function will be taken."""
+        found = np.matmul(self.w["E"][words], self.gates("Wx"))
         found += self.w["b"].reshape(3, 1, HIDDEN)
         found[:2] *= 0.5
         return found
@@ -171,7 +176,10 @@ class Network:
         """States after each step of a window, and the last; with ``keep`` the gates and the inner products of all steps as well.
         ``x``: input words, ``first``: where a document begins, both [steps, streams]."""
         kind, (steps, width) = self.flat.dtype, x.shape
-        xw = np.take(self.inputs() if inputs is None else inputs, x, axis=1)
+        if inputs is None:
+            words, x = np.unique(x, return_inverse=True)
+            inputs = self.inputs(words)
+        xw = np.take(inputs, x.reshape(steps, width), axis=1)
         wh = self.gates("Wh")
         wh[:2] *= 0.5
         out = np.empty((steps, width, HIDDEN), kind)
@@ -203,17 +211,20 @@ class Network:
         top = Output(self)
         order, c, k, edges = by_class(y)
         rows = with_one(states, order)
-        out = top.chosen(rows @ top.classes, c)
-        for own, a, b in edges:
-            out[a:b] += top.chosen(rows[a:b] @ top.words[own], k[a:b])
-        back = np.empty_like(out)
-        back[order] = out
+        back = np.empty(len(y), self.flat.dtype)
+        back[order] = top.chosen(rows @ top.classes, c) + top.chosen(top.inner(rows, edges), k)
         return back
 
     def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient of the mean log-probability over a window (truncated: nothing flows into what came before), and the last state."""
         w, n, kind = self.w, HIDDEN, self.flat.dtype
-        states, last, (gates, inner) = self.forward(x, first, h, keep=True)
+        # the words of the window, and where each cell's stands among them
+        x_shape = x.shape
+        held = np.bincount(x.reshape(-1), minlength=CLASSES * CLASSES)
+        words = np.flatnonzero(held)
+        held[words] = np.arange(len(words))
+        x = held[x.reshape(-1)]
+        states, last, (gates, inner) = self.forward(x.reshape(x_shape), first, h, keep=True, inputs=self.inputs(words))
         grad = Network(np.zeros_like(self.flat))
         g = grad.w
         on = np.flatnonzero(live.reshape(-1))
@@ -225,11 +236,12 @@ class Network:
         found = rows.T @ d
         g["Wc"][:], g["bc"][:] = found[:-1], found[-1]
         rows_back = d @ top.classes_back
-        found = np.zeros_like(top.words)
+        d = top.surprise(top.inner(rows, edges), k, scale)
+        found, more = np.zeros_like(top.words), np.empty_like(rows_back)
         for own, a, b in edges:
-            d = top.surprise(rows[a:b] @ top.words[own], k[a:b], scale)
-            np.matmul(rows[a:b].T, d, out=found[own])
-            rows_back[a:b] += d @ top.words_back[own]
+            np.matmul(rows[a:b].T, d[a:b], out=found[own])
+            np.matmul(d[a:b], top.words_back[own], out=more[a:b])
+        rows_back += more
         g["Wo"][:], g["bo"][:] = found[:, :-1], found[:, -1]
         back = np.zeros((states.shape[0] * states.shape[1], n), kind)
         back[on[order]] = rows_back
@@ -239,14 +251,22 @@ class Network:
         z, r, cand = gates.swapaxes(0, 1)
         # the gradient at candidate, update, reset and at the candidate's inner product, all as multiples of that at the state
         times = np.empty((4, *states.shape), kind)
-        of_c = np.multiply(1 - z, 1 - cand * cand, out=times[0])
-        np.multiply((was - cand) * z, 1 - z, out=times[1])
-        np.multiply(of_c * inner[:, 2], r * (1 - r), out=times[2])
-        np.multiply(of_c, r, out=times[3])
+        of_c, of_z, of_r, of_inner = times
+        rest = 1 - z
+        np.multiply(cand, cand, out=of_c)
+        np.subtract(1, of_c, out=of_c)
+        of_c *= rest
+        np.subtract(was, cand, out=of_z)
+        of_z *= z
+        of_z *= rest
+        np.multiply(of_c, r, out=of_inner)
+        np.subtract(1, r, out=of_r)
+        of_r *= inner[:, 2]
+        of_r *= of_inner
         wh = np.ascontiguousarray(self.gates("Wh").swapaxes(1, 2))
         dh, flow = np.zeros(states.shape[1:], kind), np.empty((3, *states.shape[1:]), kind)
         begins, stays = first.any(axis=1).tolist(), (~first)[:, :, None]
-        for t in range(len(x) - 1, -1, -1):
+        for t in range(len(first) - 1, -1, -1):
             dh += back[t]
             own = np.multiply(dh, times[:, t], out=times[:, t])
             np.matmul(own[1:], wh, out=flow)
@@ -259,14 +279,11 @@ class Network:
         flat = times.reshape(4, -1, n)
         g["Wh"][:] = np.matmul(was.reshape(-1, n).T, flat[1:]).swapaxes(0, 1).reshape(n, 3 * n)
         # input gradients are summed by word before anything is multiplied
-        by_word = np.argsort(x.reshape(-1).astype(np.int16), kind="stable")
-        words = x.reshape(-1)[by_word]
-        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        words = words[starts]
-        wx, dx, de = self.gates("Wx"), [], 0
+        cell = (x[:, None] * n + np.arange(n)).reshape(-1)
+        known, wx, dx, de = w["E"][words], self.gates("Wx"), [], 0
         for plane, gate in ((1, 0), (2, 1), (0, 2)):
-            sums = np.add.reduceat(np.take(flat[plane], by_word, axis=0), starts, axis=0)
-            dx.append(w["E"][words].T @ sums)
+            sums = np.bincount(cell, weights=flat[plane].reshape(-1), minlength=len(words) * n).astype(kind).reshape(-1, n)
+            dx.append(known.T @ sums)
             de = de + sums @ wx[gate].T
             g["b"][gate * n : (gate + 1) * n] = sums.sum(axis=0)
         g["Wx"][:] = np.concatenate(dx, axis=1)
@@ -287,6 +304,13 @@ class Output:
         self.small = max(np.abs(self.classes).sum(axis=0).max(), np.abs(self.words).sum(axis=1).max()) < 60
         self.ones = np.ones(CLASSES, net.flat.dtype)
 
+    def inner(self, rows: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
+        """Outputs of the words of each row's class."""
+        out = np.empty((len(rows), CLASSES), rows.dtype)
+        for own, a, b in edges:
+            np.matmul(rows[a:b], self.words[own], out=out[a:b])
+        return out
+
     def exponents(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
         """exp of the rows, in place, less their largest value if any may be large; the sums of the rows, and what was taken off."""
         largest = 0.0
@@ -298,7 +322,7 @@ class Output:
 
     def chosen(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log of the softmax of each row at one place."""
-        own = s[np.arange(len(at)), at]
+        own = s.reshape(-1)[np.arange(len(at)) * CLASSES + at]
         _, total, largest = self.exponents(s)
         return own - largest - np.log(total)
 
@@ -306,7 +330,7 @@ class Output:
         """Gradient of the log-softmax at one place of each row, times ``scale``."""
         e, total, _ = self.exponents(s)
         e *= (-scale / total)[:, None]
-        e[np.arange(len(at)), at] += scale
+        e.reshape(-1)[np.arange(len(at)) * CLASSES + at] += scale
         return e
 
 
@@ -373,16 +397,17 @@ def train_partition(net: Network, shards: Iterator[list[np.ndarray]]) -> tuple[n
         for x, y, first, live, _ in windows(words, STREAMS, WINDOW):
             g, h = net.gradient(x, first, y, live, h[: x.shape[1]])
             t += 1
+            # the moments are kept ten and a thousand times as large, which saves two passes
             m *= 0.9
-            m += np.multiply(g, 0.1, out=step)
+            m += g
             v *= 0.999
             g *= g
-            v += np.multiply(g, 0.001, out=step)
+            v += g
             np.sqrt(v, out=step)
-            step *= 1 / np.sqrt(1 - 0.999**t)
-            step += 1e-7
+            spread = np.sqrt(0.001 / (1 - 0.999**t))
+            step += 1e-7 / spread
             np.divide(m, step, out=step)
-            step *= LEARN_RATE * min(1, t / WARM) / (1 - 0.9**t)
+            step *= 0.1 * LEARN_RATE * min(1, t / WARM) / (1 - 0.9**t) / spread
             net.flat += step
             seen += int(live.sum())
     return net.flat, seen
@@ -411,19 +436,63 @@ def score_shard(net: Network, words: list[np.ndarray]) -> np.ndarray:
     return total / LN10
 
 
-def network_words(texts: list[str | None], known: Places) -> tuple[list[np.ndarray], list[bytes], np.ndarray, np.ndarray]:
-    """Network words by document, and flat: tokens, places in the head, edges of the documents."""
-    cut = [[*words_of(t), END] for t in texts]
-    flat = list(chain.from_iterable(cut))
-    at = known.find(flat)
-    own = known.vocabulary
-    words = np.where(at >= 0, own.word[np.maximum(at, 0)], 0) if len(own.h) else np.zeros(len(flat), np.int32)
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in cut])])
-    return np.split(words, edges[1:-1]), flat, at, edges
+def words_in(packed: Iterable[bytes]) -> list[np.ndarray]:
+    """Network words of the documents of an encoded table."""
+    return [np.frombuffer(p, np.int16).astype(np.int32) for p in packed]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Every document (doc_id, text) in numbers, written once: row, doc_id, words (the network's, two bytes each), n_tokens, n_head (tokens in the
+    head), base (their log10 probability), unknown (what of it the network does not know), and the hashes of the other tokens."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        known = Places(own)
+        value = np.log10((own.n + 0.1) / own.mass) if own.mass else np.zeros(0)
+        spread = np.log10(own.unknown_mass)
+        for ids, texts in blocks(batches, 8_000_000):
+            cut = [[*words_of(t), END] for t in texts]
+            flat = list(chain.from_iterable(cut))
+            at = known.find(flat)
+            head, place = at >= 0, np.maximum(at, 0)
+            words = np.where(head, own.word[place], 0) if len(value) else np.zeros(len(flat), np.int32)
+            base = np.where(head, value[place], 0.0) if len(value) else np.zeros(len(flat))
+            sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            by_doc = np.repeat(np.arange(len(ids)), sizes)
+            add = lambda x, by_doc=by_doc, n=len(ids): np.bincount(by_doc, weights=x, minlength=n)
+            tail = np.flatnonzero(~head)
+            tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail, edges), pa.int32()), pa.array(hashes_of(flat[k] for k in tail.tolist()), pa.int64()))
+            packed = words.astype(np.int16).tobytes()
+            parts = [packed[2 * a : 2 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            unknown = add(np.where(words == 0, base - spread, 0.0)) if own.total else np.zeros(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary()), pa.array(sizes), pa.array(add(head).astype(np.int64)), pa.array(add(base)), pa.array(unknown), tails], ["doc_id", "words", "n_tokens", "n_head", "base", "unknown", "tail"])
+
+    rows = docs.mapInArrow(run, "doc_id bigint, words binary, n_tokens bigint, n_head bigint, base double, unknown double, tail array<bigint>")
+    return materialise(spark, rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def word_blocks(batches: Iterable[pa.RecordBatch], column: int, most: int = 1_200_000) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """(batches, network words of their rows) in blocks of bounded words; a batch is not cut."""
+    held: list[pa.RecordBatch] = []
+    words: list[np.ndarray] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        own = words_in(batch.column(column).to_pylist())
+        words += own
+        n += sum(map(len, own))
+        if n >= most:
+            yield held, words
+            held, words, n = [], [], 0
+    if held:
+        yield held, words
 
 
-def averaged(rows: DataFrame) -> DataFrame:
-    """Sum of (weights, n) rows in two steps; each task holds one running sum."""
+def averaged(rows: DataFrame, parts: int) -> DataFrame:
+    """Sum of the (weights, n) rows of ``parts`` partitions, in as many steps of ``FAN`` to one as it takes; each task holds one running sum."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = None, 0.0
@@ -435,25 +504,27 @@ def averaged(rows: DataFrame) -> DataFrame:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([count])], ["w", "n"])
 
-    ddl = "w binary, n double"
-    return rows.repartition(8).mapInArrow(add, ddl).repartition(1).mapInArrow(add, ddl)
+    while parts > 1:
+        parts = -(-parts // FAN)
+        rows = rows.repartition(parts).mapInArrow(add, "w binary, n double")
+    return rows
 
 
-def train(spark: SparkSession, docs: DataFrame, vocabulary, freq: np.ndarray, rounds: int, share: int) -> Network:
-    """``docs``: doc_id, text of the training rows; ``vocabulary``: the broadcast one. No fewer than ``share`` rounds, so no document is left out."""
+def train(encoded: DataFrame, freq: np.ndarray, rounds: int = ROUNDS, share: int = SHARE) -> Network:
+    """``encoded``: the training rows of an encoded table. No fewer than ``share`` rounds, so no document is left out."""
+    spark = encoded.sparkSession
     net = Network.fresh(freq)
     turn = F.floor(F.crc32(F.col("doc_id").cast("string")) / 10) % share
     for k in range(max(rounds, share)):
         start = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            known = Places(vocabulary.value)
-            shards = (network_words(texts, known)[0] for _, texts in blocks(batches, 8_000_000))
-            flat, n = train_partition(Network(start.value), shards)
+            flat, n = train_partition(Network(start.value), (words for _, words in word_blocks(batches, 0)))
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([(flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([float(n)])], ["w", "n"])
 
-        found = averaged(docs.where(turn == k % share).mapInArrow(run, "w binary, n double")).first()
+        own = encoded.where(turn == k % share).select("words")
+        found = averaged(own.mapInArrow(run, "w binary, n double"), own.rdd.getNumPartitions()).first()
         if found:
             seen = net.seen + int(found["n"])
             net = Network((np.frombuffer(found["w"], np.float64) / found["n"]).astype(np.float32))
@@ -461,8 +532,8 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary, freq: np.ndarray, ro
     return net
 
 
-def fit(docs: DataFrame, *, head: int = HEAD, rounds: int = ROUNDS, share: int = SHARE) -> tuple[DataFrame, Vocabulary, Network]:
-    """Counts of all tokens (h, n), the vocabulary and the network, from the training rows ``docs`` (doc_id, text)."""
+def count(docs: DataFrame, head: int = HEAD) -> tuple[DataFrame, Vocabulary]:
+    """Counts of all tokens (h, n) of the training rows ``docs`` (doc_id, text), and the vocabulary."""
     spark = docs.sparkSession
     small_batches(spark)
     counts = materialise(spark, count_tokens(docs), "token-counts")
@@ -477,43 +548,39 @@ def fit(docs: DataFrame, *, head: int = HEAD, rounds: int = ROUNDS, share: int =
         cut = r["level"]
     # bounded: at most ``head`` rows
     top = counts.where(size >= cut).toArrow() if cut is not None else pa.table({"h": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    vocabulary = Vocabulary(top["h"].to_numpy(), top["n"].to_numpy(), total, distinct)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    return counts, vocabulary, train(spark, docs, shared, vocabulary.freq, rounds, share)
+    return counts, Vocabulary(top["h"].to_numpy(), top["n"].to_numpy(), total, distinct)
+
+
+def fit(docs: DataFrame, *, head: int = HEAD, rounds: int = ROUNDS, share: int = SHARE) -> tuple[DataFrame, Vocabulary, Network]:
+    """Counts of all tokens (h, n), the vocabulary and the network, from the training rows ``docs`` (doc_id, text)."""
+    counts, vocabulary = count(docs, head)
+    return counts, vocabulary, train(encode(docs, vocabulary), vocabulary.freq, rounds, share)
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Network, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared, weights = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(net.flat)
+    small_batches(docs.sparkSession)
+    return score_encoded(encode(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")), vocabulary), counts, vocabulary, net)
+
+
+def score_encoded(encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
+    """The same from an encoded table."""
+    weights, learned = encoded.sparkSession.sparkContext.broadcast(net.flat), bool(vocabulary.total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = shared.value, Network(weights.value)
-        known = Places(own)
-        value = np.log10((own.n + 0.1) / own.mass) if own.mass else np.zeros(0)
-        spread = np.log10(own.unknown_mass)
-        for ids, texts in blocks(batches, 8_000_000):
-            words, flat, at, edges = network_words(texts, known)
-            in_head = at >= 0
-            base = np.where(in_head, value[np.maximum(at, 0)] if len(value) else 0.0, 0.0)
-            unknown = np.concatenate(words) == 0
-            by_doc = np.repeat(np.arange(len(ids)), np.diff(edges))
-            add = lambda x: np.bincount(by_doc, weights=x, minlength=len(ids))  # noqa: B023, E731
-            network = score_shard(model, words) if own.total else np.zeros(len(ids))
-            part = network + (add(np.where(unknown, base - spread, 0.0)) if own.total else 0.0)
-            tail = np.flatnonzero(~in_head)
-            tail_edges = np.searchsorted(tail, edges)
-            tails = pa.ListArray.from_arrays(pa.array(tail_edges, pa.int32()), pa.array(hashes_of(flat[k] for k in tail.tolist()), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(add(in_head).astype(np.int64)), pa.array(add(base)), pa.array(part), tails], ["doc_id", "n_tokens", "n_head", "base", "part", "tail"])
-
-    ddl = "doc_id bigint, n_tokens bigint, n_head bigint, base double, part double, tail array<bigint>"
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl)
-    # the row number must stay the same for both uses, so the rows are written once
-    rows = materialise(spark, rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    mass, spread = float(vocabulary.mass or 0.1), float(np.log10(vocabulary.unknown_mass)) if vocabulary.total else 0.0
-    if vocabulary.total:
-        tokens = rows.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
+        model = Network(weights.value)
+        for held, words in word_blocks(batches, 0):
+            found, at = score_shard(model, words) if learned else np.zeros(len(words)), 0
+            for batch in held:
+                own = found[at : at + batch.num_rows]
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own)], [*batch.schema.names[1:], "network"])
+
+    names = ["row", "doc_id", "n_tokens", "n_head", "base", "unknown"]
+    rows = encoded.select("words", *names).mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_head bigint, base double, unknown double, network double")
+    mass, spread = float(vocabulary.mass or 0.1), float(np.log10(vocabulary.unknown_mass)) if learned else 0.0
+    if learned:
+        tokens = encoded.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
         tokens = tokens.join(counts, "h", "left")
         c = F.coalesce("n", F.lit(0))
         tails = tokens.groupBy("row").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10((c + 0.1) / F.lit(mass))).alias("more"), F.sum("k").alias("more_tokens"))
@@ -523,7 +590,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Netwo
     more = F.coalesce("more", F.lit(0.0))
     return rows.select(
         "doc_id", "n_tokens", (F.col("n_head") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("part") + more - F.coalesce("more_tokens", F.lit(0)) * F.lit(spread)).alias("score"),
+        (F.col("base") + more).alias("base_score"), (F.col("network") + F.col("unknown") + more - F.coalesce("more_tokens", F.lit(0)) * F.lit(spread)).alias("score"),
     )
 
 

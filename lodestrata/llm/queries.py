@@ -58,9 +58,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    counts, vocabulary, network = language_model.fit(language_model.training_rows(docs))
-    scored = language_model.score(docs, counts, vocabulary, network)
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts, vocabulary = language_model.count(language_model.training_rows(docs))
+    encoded = language_model.encode(docs, vocabulary)
+    network = language_model.train(encoded.where(id_bucket("doc_id", 10) != 0), vocabulary.freq)
+    scored = language_model.score_encoded(encoded, counts, vocabulary, network)
     return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
