@@ -4,21 +4,24 @@ A document is a weighted set of shingles of five words (lower-cased, letters and
 occurs. ProbMinHash: every shingle is a Poisson process whose rate is its weight; its arrivals fall on random registers, and a
 register keeps the shingle that arrives first. Two documents agree in a register with the chance of their probability Jaccard similarity.
 Arrivals are drawn in rounds for all shingles of a document together; a shingle stops once its next arrival is later than the latest register.
+A document with repeated shingles has a second signature, with all weights 1, so that plain Jaccard similarity finds candidates as well.
 
 1. Documents with equal word sequences collapse to the one with the smallest id.
 2. Every band of ``ROWS`` registers is a bucket. In each bucket the row with the least hash leads. A document is compared by its
-   signature with the leaders of its buckets, and by its text with the one that agrees most: at most one pair for each document.
+   signatures with the leaders of its buckets, and by its text with the one that agrees most: at most one pair for each document.
 3. Verified links are contracted to classes by minimum labels. Buckets whose rows are of one class are done.
-4. Each bucket left over is a cell: every two of its rows in different classes are compared by signature, then, best first, by text,
-   and a verified link merges classes at once, so a cell returns no more links than rows. A bucket of more than ``CELL_ROWS`` rows or ``CELL_BYTES``
-   of shingles is cut in parts by a hash of the id, and every two parts are a cell: no bucket is dropped or capped, and no task
-   holds more than two parts. A pair that shares several buckets is compared in the first. The links are contracted once more.
+4. In each bucket left over, every row outside the bucket's largest class is compared with every row of another class, by signature, then,
+   best first, by text; a verified link merges classes at once, so no more links than rows come back. A bucket of more than ``CELL_ROWS`` rows or
+   ``CELL_BYTES`` of shingles is cut in parts by a hash of the id: a part of the rows outside the largest class and a part of all rows are a
+   cell, so no bucket is dropped or capped, no task holds more than two parts, and a large class costs one copy of its rows for each part of the
+   others. A pair that shares several buckets is compared in the one of the least number. The links are contracted once more.
 
 Similarity is the larger of the probability Jaccard of the weighted and the Jaccard of the plain shingle sets; 0.8 links. At 0.8, a pair shares no bucket with
 a chance of (1 - 0.8**5)**24, below 0.0001.
 
 A text of fewer words than a shingle is one shingle of all its words; null texts, and texts without a word, are in no class but their own. Null
 ids are left out: a class needs an id. Rows that repeat an id are one document, with one of its texts. Only the id and text columns are read.
+``keep_firsts`` goes by rows instead, so null and repeated ids are ordinary there, and all columns stay.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import blocks, materialise, small_batches
+from lodestrata.llm.common import blocks, free_name, materialise, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -87,7 +90,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     n_docs = len(sets)
     best = np.full(n_docs * registers, np.inf)
     who = np.zeros(n_docs * registers, np.uint64)
-    sizes = np.array([len(s) for s, _ in sets])
+    sizes = np.array([len(s) for s, _ in sets], np.int64)
     item = np.concatenate([s for s, _ in sets]) if n_docs else np.zeros(0, np.uint64)
     rate = np.concatenate([w for _, w in sets]).astype(float) if n_docs else np.zeros(0)
     doc = np.repeat(np.arange(n_docs), sizes)
@@ -130,28 +133,38 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((1 / total).sum()))
 
 
-SIGNED = "doc_id bigint, copy string, bands array<bigint>, sig binary"
+SIGNED = "doc_id bigint, copy string, bands array<bigint>, sig binary, plain binary"
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the word sequence (null without words), the bucket of every band, and one byte of every register.
+    """doc_id, a digest of the word sequence (null without words), the buckets of all bands, and one byte of every register of the
+    signature, and of the plain one where weights differ.
 
     Bytes of unequal registers agree once in 256 times, so their share of agreement is never below that of the registers.
     """
     salts = mix(np.arange(BANDS, dtype=np.uint64))
 
+    def banded(rows: np.ndarray) -> np.ndarray:
+        buckets = np.tile(salts, (len(rows), 1))
+        for k in range(ROWS):
+            buckets = mix(buckets ^ rows.reshape(len(rows), BANDS, ROWS)[:, :, k])
+        return buckets.view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for ids, texts in blocks(batches, 3_000_000):
             words = [word_hashes(t, hashes) for t in texts]
-            rows = signatures([np.unique(shingles(w), return_counts=True) for w in words])
-            buckets = np.tile(salts, (len(ids), 1))
-            for k in range(ROWS):
-                buckets = mix(buckets ^ rows.reshape(len(ids), BANDS, ROWS)[:, :, k])
+            sets = [np.unique(shingles(w), return_counts=True) for w in words]
+            twice = [k for k, (_, n) in enumerate(sets) if len(n) and n.max() > 1]
+            rows, flat = signatures(sets), signatures([(sets[k][0], np.ones(len(sets[k][0]))) for k in twice])
+            own, more = banded(rows), dict(zip(twice, banded(flat), strict=True))
+            buckets = [np.unique(np.concatenate([own[k], more[k]])) if k in more else own[k] for k in range(len(ids))]
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in buckets])])
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(buckets)))
             copies = [xxhash.xxh128_hexdigest(w.tobytes()) if len(w) else None for w in words]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), pa.array(buckets.view(np.int64).reshape(-1)))
-            sigs = [r.tobytes() for r in (rows >> np.uint64(56)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.string()), lists, pa.array(sigs, pa.binary())], ["doc_id", "copy", "bands", "sig"])
+            tops = [(r >> np.uint64(56)).astype(np.uint8) for r in (rows, flat)]
+            plain = dict(zip(twice, (r.tobytes() for r in tops[1]), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.string()), lists, pa.array([r.tobytes() for r in tops[0]], pa.binary()), pa.array([plain.get(k) for k in range(len(ids))], pa.binary())], ["doc_id", "copy", "bands", "sig", "plain"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -200,20 +213,23 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def cell_links(bucket: int, parts: np.ndarray, roots: list[int], bands: np.ndarray, sigs: np.ndarray, sets: list[tuple[bytes, bytes | None]], least: float) -> list[tuple[int, int]]:
-    """Places of the linked rows of one cell that merge its classes: every two rows of different classes (and, if there are two parts, of
-    different parts) whose first common bucket is this one are compared until their classes are merged."""
-    band = int(np.flatnonzero(bands[0] == bucket)[0])
+def cell_links(bucket: int, ids: list[int], sides: list[str], minor: np.ndarray, roots: list[int], bands: list[np.ndarray], sigs: np.ndarray, plains: np.ndarray, sets: list[tuple[bytes, bytes | None]], least: float) -> list[tuple[int, int]]:
+    """Places of the linked rows of one cell that merge its classes: rows outside the largest class (sides l and b) against rows of other
+    classes (sides r and b) whose least common bucket is this one, until their classes are merged."""
     _, group = np.unique(np.asarray(roots), return_inverse=True)
-    both = parts.min() != parts.max()
+    ids, sides = np.asarray(ids), np.asarray(sides)
+    right = np.flatnonzero(sides != "l")
+    width = max(map(len, bands))
+    table = np.stack([np.pad(b, (0, width - len(b)), mode="edge") for b in bands])
     found = []
-    for x in range(len(group) - 1):
-        y = np.arange(x + 1, len(group))
-        y = y[(group[y] != group[x]) & ((parts[y] != parts[x]) | (not both))]
-        agree = (sigs[y] == sigs[x]).mean(axis=1)
+    for x in np.flatnonzero((sides != "r") & minor).tolist():
+        # of two rows outside the largest class, the one with the smaller id is on the left
+        y = right[(group[right] != group[x]) & (~minor[right] | (ids[right] > ids[x]))]
+        agree = np.maximum((sigs[y] == sigs[x]).mean(axis=1), (plains[y] == plains[x]).mean(axis=1))
         y, agree = y[agree >= HOPEFUL], agree[agree >= HOPEFUL]
-        y, agree = (v[~(bands[y, :band] == bands[x, :band]).any(axis=1)] for v in (y, agree))
-        found.append((agree, np.full(len(y), x), y))
+        if len(y):
+            common = np.where(np.isin(table[y], bands[x]), table[y], np.iinfo(np.int64).max).min(axis=1) == bucket
+            found.append((agree[common], np.full(common.sum(), x), y[common]))
     if not found:
         return []
     agree, left, right = (np.concatenate(v) for v in zip(*found, strict=True))
@@ -230,26 +246,33 @@ def cell_links(bucket: int, parts: np.ndarray, roots: list[int], bands: np.ndarr
     return links
 
 
-def cells(members: DataFrame, rows: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def cells(spark: SparkSession, members: DataFrame, rows: DataFrame, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between the classes of the buckets that hold more than one; see step 4 of the module's text."""
     named = members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).join(sets.select("doc_id", F.length("items").alias("size")), "doc_id")
-    spans = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("lo < hi")
-    spans = spans.select("bucket", F.greatest(F.ceil(F.col("n") / CELL_ROWS), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("n_parts"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("n_parts")).cast("int")
-    placed = named.join(spans, "bucket").withColumn("part", part)
-    placed = placed.select("bucket", "doc_id", "root", "part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
-    placed = placed.select("bucket", "doc_id", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    full = placed.join(rows.select("doc_id", "bands", "sig"), "doc_id").join(sets, "doc_id")
+    held = named.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    spans = held.groupBy("bucket").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("classes > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / CELL_ROWS), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
+    spans = spans.select("bucket", F.col("top.root").alias("major"), parts(F.col("n"), F.col("bytes")).alias("n_parts"), parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("m_parts"))
+    # written, so that the join below reads two plain shuffles, whose skewed partitions the engine can split
+    placed = named.join(materialise(spark, spans, "open-buckets"), "bucket").withColumn("minor", F.col("root") != F.col("major"))
+    part = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col(n)).cast("int")
+    cell = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = F.transform(upto("m_parts"), lambda i: cell("r", i, part("n_parts")))
+    left = F.transform(upto("n_parts"), lambda j: cell("l", part("m_parts"), j))
+    places = F.when(F.col("n_parts") == 1, F.array(cell("b", F.lit(0), F.lit(0)))).when(F.col("minor"), F.concat(left, right)).otherwise(right)
+    placed = placed.select("bucket", "doc_id", "root", "minor", F.explode(places).alias("c")).select("bucket", "doc_id", "root", "minor", "c.side", "c.i", "c.j")
+    full = placed.join(rows.select("doc_id", "bands", "sig", "plain"), "doc_id").join(sets, "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        packed = list(zip(table.column("items").to_pylist(), table.column("weights").to_pylist(), strict=True))
-        if table.column("i")[0].as_py() != table.column("j")[0].as_py() and len(table.column("part").unique()) < 2:
-            links = []
-        else:
-            links = cell_links(table.column("bucket")[0].as_py(), table.column("part").to_numpy(), table.column("root").to_pylist(), bands, sigs, packed, least)
+        column = lambda name: table.column(name).to_pylist()
+        ids, sides, minor = column("doc_id"), column("side"), np.array(column("minor"), bool)
+        links = []
+        if minor.any() and len({s for s in sides}) + (sides[0] == "b") > 1:
+            sigs = column("sig")
+            both = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, REGISTERS) for x in (sigs, [p or s for p, s in zip(column("plain"), sigs, strict=True)])]
+            bands = [np.array(b, np.int64) for b in column("bands")]
+            links = cell_links(table.column("bucket")[0].as_py(), ids, sides, minor, column("root"), bands, *both, list(zip(column("items"), column("weights"), strict=True)), least)
         return pa.table({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
 
     return full.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
@@ -270,6 +293,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "doc_id")
 
 
+def agreement(a: Column, b: Column) -> Column:
+    """How many registers of two signatures are equal."""
+    equal = F.lit(0)
+    for k in range(REGISTERS):
+        equal = equal + (F.substring(a, k + 1, 1) == F.substring(b, k + 1, 1)).cast("int")
+    return equal
+
+
 def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id, the smallest id of its class, for every document."""
     spark = docs.sparkSession
@@ -281,26 +312,40 @@ def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", least:
     firsts = own.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("first"))
     own, firsts = materialise(spark, own, "texts"), materialise(spark, firsts, "copies")
     kept = firsts.select(F.col("first").alias("doc_id"), "copy")
-    rows = signed.join(kept, ["doc_id", "copy"]).dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig")
+    rows = signed.join(kept, ["doc_id", "copy"]).dropDuplicates(["doc_id"]).select("doc_id", "bands", "sig", "plain")
     rows = materialise(spark, rows, "rows")
     buckets = rows.select("doc_id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("leader")).where("n > 1").drop("n")
+    # written, so that the join below reads two plain shuffles, whose skewed partitions the engine can split
+    shared = materialise(spark, shared, "leaders")
     # rows of buckets that hold more than one text, with the bucket's leader
     members = materialise(spark, buckets.join(shared, "bucket"), "buckets")
     wanted = materialise(spark, members.select("doc_id").distinct(), "wanted")
     # up to a checked number of ids goes to the texts; beyond it the texts come to the ids
     few = wanted.count() <= MAX_IDS
     sets = materialise(spark, shingled(held.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")), "shingles")
-    one, two = (rows.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    one, two = (rows.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}"), F.col("plain").alias(f"p{x}")) for x in "ab")
     pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct().join(one, "a").join(two, "b")
-    equal = F.lit(0)
-    for k in range(REGISTERS):
-        equal = equal + (F.substring("sa", k + 1, 1) == F.substring("sb", k + 1, 1)).cast("int")
+    plain = F.when(F.coalesce("pa", "pb").isNotNull(), agreement(F.coalesce("pa", "sa"), F.coalesce("pb", "sb"))).otherwise(0)
+    equal = F.greatest(agreement(F.col("sa"), F.col("sb")), plain)
     best = pairs.select("a", "b", equal.alias("equal")).where(F.col("equal") >= HOPEFUL * REGISTERS).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
     links = materialise(spark, verified(best, sets, least), "verified")
     roots = components(spark, links)
-    more = materialise(spark, cells(members.select("bucket", "doc_id"), rows, sets, roots, least), "links")
+    more = materialise(spark, cells(spark, members.select("bucket", "doc_id"), rows, sets, roots, least), "links")
     if more.limit(1).count():
         roots = components(spark, links.unionByName(more))
     out = own.join(firsts.select("copy", "first"), "copy", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))
     return out.join(roots.select(F.col("doc_id").alias("first"), "root"), "first", "left").select("doc_id", F.coalesce("root", "first").alias("class_id"))
+
+
+def keep_firsts(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """Of each class of near-duplicate rows the one with the smallest id, with all its columns; null ids come after all others."""
+    spark = docs.sparkSession
+    row = free_name(docs.columns, "row")
+    numbered = materialise(spark, docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    found = materialise(spark, classes(numbered, doc=row, text=text, least=least).select(F.col("doc_id").alias(row), "class_id"), "classes")
+    ids = found.join(numbered.select(row, F.col(doc).alias("_id")), row)
+    first = ids.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col(row))).alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = materialise(spark, found.select(row).join(first, row, "left_anti"), "gone")
+    few = gone.count() <= MAX_IDS
+    return numbered.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
