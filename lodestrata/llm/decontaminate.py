@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ascii_lower, blocks, materialise, small_batches
+from lodestrata.llm.common import ascii_lower, blocks, free_name, keep_rows, materialise, small_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The same words before lower-casing.
@@ -264,6 +264,11 @@ def phrase_blocks(benchmark: DataFrame, item: str, text: str, max_words: int) ->
     return [held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).drop("chars") for k in range(n)]
 
 
+def collect_phrases(part: DataFrame, width: int) -> Phrases:
+    """bounded: a block holds about ``max_words`` words."""
+    return Phrases([(r["item"], r["text"]) for r in part.collect()], width)
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_words, items (sorted ids of the items that occur) and spans (merged [begin, end) word spans)."""
     spark = docs.sparkSession
@@ -276,8 +281,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
         held = materialise(spark, held.withColumn("row", F.monotonically_increasing_id()), "documents").select(F.struct("row", "doc_id").alias("key"), "text")
     found = []
     for part in parts:
-        # bounded: a block holds about max_words words
-        phrases = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in part.collect()], width))
+        phrases = spark.sparkContext.broadcast(collect_phrases(part, width))
 
         def scan(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for ids, texts in blocks(batches):
@@ -287,9 +291,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
                 else:
                     yield scan_shard(ids, texts, phrases.value)
 
-        found.append(held.mapInArrow(scan, f"row bigint, {OUT_DDL}" if several else OUT_DDL))
-    if not several:
-        return found[0]
+        hits = held.mapInArrow(scan, f"row bigint, {OUT_DDL}" if several else OUT_DDL)
+        if not several:
+            return hits
+        # one block of phrases at a time: its hits are written, then it is dropped
+        found.append(materialise(spark, hits.where(F.size("items") + F.size("spans") > 0 if found else F.lit(True)), "hits"))
+        phrases.destroy()
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
@@ -298,6 +305,34 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
     return joined.drop("row").withColumn("spans", union_spans(F.col("spans")))
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows that are not contaminated, with all their columns. One block of phrases is judged in the pass that reads the rows; for several the
+    rows are written with a number, by which the contaminated ones leave."""
+    spark = docs.sparkSession
+    parts = phrase_blocks(benchmark, item, item_text, max_words)
+    if len(parts) == 1:
+        phrases = spark.sparkContext.broadcast(collect_phrases(parts[0], width))
+
+        def start():
+            def judge(texts: list[str | None]) -> list[bool]:
+                found = scan_shard([None] * len(texts), texts, phrases.value)
+                hits = [sum(b - a for a, b in spans) for spans in found.column("spans").to_pylist()]
+                return [not contaminated(n, hit) for n, hit in zip(found.column("n_words").to_pylist(), hits, strict=True)]
+
+            return judge
+
+        return keep_rows(docs, start, text)
+    row = free_name(docs.columns, "row")
+    numbered = materialise(spark, docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    found = report(find_hits(numbered, benchmark, doc=row, text=text, item=item, item_text=item_text, width=width, max_words=max_words))
+    return numbered.join(found.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def contaminated(n_words: int, n_hit: int) -> bool:
+    """Hit words are at least one in twenty."""
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
 def union_spans(spans):
     """Union of sorted [begin, end) spans, as a column expression."""
     start = F.array().cast("array<array<bigint>>")
