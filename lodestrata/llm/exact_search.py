@@ -6,11 +6,14 @@ promises most is opened next, for those queries whose bound on that box still re
 matrix product. The k-th scores start from a pilot block of candidates and are carried from shard to shard of a task, so later shards open less.
 Bounds only ever discard scores below the k-th, so results are exact, ties included (to the smaller id).
 
-Queries travel in blocks of at most ``block`` rows, one pass over the candidates for each, so what is broadcast is bounded.
+Queries travel in blocks of about ``block`` rows at most, one pass over the candidates for each. With several blocks, one is collected, searched and
+its results written before the next, so what the driver and a task hold is bounded by a block however many queries there are.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id; vectors of
-different lengths are not compared. Repeated rows count each time, but a row with the query's own id is never its candidate. Components beyond
-2**20 in size after scaling are compared in 64-bit integers instead of floating point. Extra columns are not read.
+different lengths are not compared. Repeated rows count each time as candidates; of query rows that repeat an id one is asked, the last in the order of their vectors' text. A row with the query's own id is
+never its candidate. Where a component is beyond
+2**20 in size after scaling, all rows of the shard are compared, in whole numbers of any size; a score beyond 64 bits is held at the largest or smallest
+that a long can hold. An empty table, or one without queries, gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import materialise
+
 K = 5
 SCALE = 256.0
 LEAF = 256
 SHARD = 16_384
 BLOCK = 8_192
 PILOT = 4_096
-#: Below every score, and safe to negate.
-LOW = -(1 << 62)
+#: Scores are held to SCORES at most; LOW is below all of them.
+SCORES = (1 << 63) - 2
+LOW = -SCORES - 1
+#: Components up to this size give exact sums in floating point.
+EXACT = 1 << 20
 
 
 def integers(ids: list, vectors: list, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -46,11 +54,16 @@ def integers(ids: list, vectors: list, scale: float) -> dict[int, tuple[np.ndarr
     return {n: (np.array(a, np.int64), np.array(b)) for n, (a, b) in found.items()}
 
 
+def large(rows: np.ndarray) -> bool:
+    return np.abs(rows).max(initial=0) > EXACT or rows.shape[1] >= 4096
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of all rows, exact: in floating point while every sum stays below 2**53."""
-    if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) <= 1 << 20 and a.shape[1] < 4096:
+    """Inner products of all rows, exact: in floating point while every sum stays below 2**53, else in Python's integers."""
+    if not (large(a) or large(b)):
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    return np.clip(whole(a) @ whole(b).T, -SCORES, SCORES).astype(np.int64)
 
 
 class Tree:
@@ -88,7 +101,7 @@ class Best:
         self.floor = np.full(len(ids), LOW) if floor is None else floor.copy()
         self.score = np.full((len(ids), k), LOW)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.plus, self.minus = np.maximum(rows, 0), np.minimum(rows, 0)
+        self.plus, self.minus, self.large = np.maximum(rows, 0), np.minimum(rows, 0), large(rows)
 
     def offer(self, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         """Scores of candidate rows for some of the queries."""
@@ -116,6 +129,11 @@ class Best:
         """Best-first descent of all queries together."""
         bound = lambda node, q: self.plus[q] @ tree.high[node] + self.minus[q] @ tree.low[node]
         everyone = np.arange(len(self.ids))
+        if self.large or large(tree.rows):
+            # bounds would be rounded
+            for a in range(0, len(tree.ids), LEAF):
+                self.offer(everyone, tree.ids[a : a + LEAF], tree.rows[a : a + LEAF])
+            return
         first = bound(0, everyone)
         heap = [(-float(first.max(initial=-np.inf)), 0, everyone, first)]
         while heap:
@@ -143,16 +161,16 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     total = queries.count()
     n = max(1, -(-2 * total // block)) if total > block else 1
     pilot = rows.limit(PILOT).collect()
-    pilot = integers([r[0] for r in pilot], [r[1] for r in pilot], scale)
+    pilot = {size: Tree(*own) for size, own in integers([r[0] for r in pilot], [r[1] for r in pilot], scale).items()}
     found = []
     for part in range(n):
         own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == part).collect()  # bounded: about half a block
-        asked = integers([r[0] for r in own], [r[1] for r in own], scale)
+        asked = integers(*zip(*{r[0]: r for r in sorted(own, key=lambda r: str(r[1]))}.values(), strict=True), scale) if own else {}
         floors = {}
         for size, (ids, q) in asked.items():
             start = Best(ids, q, k)
             if size in pilot:
-                start.search(Tree(*pilot[size]))
+                start.search(pilot[size])
             floors[size] = start.floor
         shared = spark.sparkContext.broadcast((asked, floors))
 
@@ -168,12 +186,21 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(b.found[q, at]), pa.array(b.score[q, at])], ["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"))
+        hits = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        if n > 1:
+            hits = materialise(spark, best_of(hits, k), "hits")
+            shared.destroy()
+        found.append(hits)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
+    return best_of(out, k).select("query_id", "rank", "vec_id", "score")
+
+
+def best_of(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, ranked."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[tuple[list, list]]:
