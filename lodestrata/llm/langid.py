@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
-Script ranges narrow the candidates of a word: a word in letters of one script is only compared for the languages whose
-training words use that script (all of them if none does). For those, the word's score is the sum of the
+Script ranges narrow the candidates of a word: a word is only compared for the languages whose training words use the script that
+most of its letters are in (all languages if none does; of equally frequent scripts, the first in the word). For those, the word's score is the sum of the
 log-probabilities of its character trigrams. A Viterbi pass over the words, with a penalty for every switch,
 labels spans of text; the language that holds the most letters is the document's.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import blocks, small_batches
+from lodestrata.llm.common import blocks, keep_rows, small_batches
 
 BUCKETS = 32_768
 #: Labelled rows that the classifier is fitted on at most, give or take the hash's spread.
@@ -59,6 +59,13 @@ def script_of(char: str) -> str:
     return SCRIPTS[k][0] if k >= 0 and code <= SCRIPTS[k][2] else "other"
 
 
+def word_script(word: str) -> str:
+    """The script of most letters of a word; the first of equals."""
+    if word.isascii():
+        return "latin"
+    return Counter(script_of(c) for c in word if c.isalpha()).most_common(1)[0][0]
+
+
 def trigrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the trigrams of all words, with both ends marked, and where each word's begin: a word of n letters has n."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -88,7 +95,7 @@ def count_features(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 total = totals.setdefault(tongue, np.zeros(BUCKETS, np.int64))
                 lettered = [(word, n) for word, n in seen.items() if any(map(str.isalpha, word))]
                 for word, n in lettered:
-                    scripts[tongue, script_of(word[0])] += n
+                    scripts[tongue, word_script(word)] += n
                 if lettered:
                     parts = [(part, n) for word, n in lettered for part in pieces(word)]
                     found, _ = trigrams([part for part, _ in parts])
@@ -143,7 +150,7 @@ class Model:
         found, starts = trigrams([p for ps in parts for p in ps])
         first = np.cumsum([0, *map(len, parts[:-1])])
         total = np.add.reduceat(self.by_bucket[found], starts[first], axis=0)
-        allowed = np.array([self.allowed[script_of(w[0])] for w in words])
+        allowed = np.array([self.allowed[word_script(w)] for w in words])
         total = np.where(allowed, total, total.min(axis=1, keepdims=True) - SWITCH)
         return total - total.max(axis=1, keepdims=True)
 
@@ -196,29 +203,41 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
+def certainty(scores: np.ndarray, own: int) -> float:
+    """How surely words are in their language: a logistic function of its lead over the next."""
+    total = scores.sum(axis=0)
+    rest = np.delete(total, own)
+    lead = total[own] - rest.max() if len(rest) else math.inf
+    return 1 / (1 + math.exp(-min(max(lead, -50.0), 50.0)))
+
+
 def label(text: str | None, known: Words) -> tuple[str, float, list[dict]]:
     """Language, score and spans of one text."""
+    lang, score, _, spans = assess(text, known)
+    return lang, score, spans
+
+
+def assess(text: str | None, known: Words) -> tuple[str, float, float, list[dict]]:
+    """Language, score, share of the letters that are surely in any language, and spans of one text."""
     model = known.model
     if not model.langs:
-        return "und", 0.0, []
+        return "und", 0.0, 0.0, []
     lowered = text.lower() if text else ""
     words = WORD.findall(lowered)
     known.learn(words)
     ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     kept = ids > 0
     if not kept.any():
-        return "und", 0.0, []
+        return "und", 0.0, 0.0, []
     scores = known.rows[ids[kept]]
     path = viterbi(scores)
     letters = np.fromiter(map(len, words), np.int64, len(words))[kept]
     held = np.bincount(path, weights=letters, minlength=len(model.langs))
     best = int(held.argmax())
-    total = scores[path == best].sum(axis=0)
-    rest = np.delete(total, best)
-    lead = total[best] - rest.max() if len(rest) else math.inf
-    score = float(held[best] / held.sum() / (1 + math.exp(-min(max(lead, -50.0), 50.0))))
+    shares = {k: float(held[k] / held.sum()) * certainty(scores[path == k], k) for k in np.flatnonzero(held).tolist()}
+    score, sure = shares[best], min(1.0, sum(shares.values()))
     if (path == path[0]).all():
-        return model.langs[best], score, [{"start": 0, "end": len(text), "lang": model.langs[best]}]
+        return model.langs[best], score, sure, [{"start": 0, "end": len(text), "lang": model.langs[best]}]
     changes = np.flatnonzero(np.diff(path)) + 1
     # lower-casing changes the length of a few letters: the places come from the text as it is
     places = [m.start() for m in WORD.finditer(text)]
@@ -228,7 +247,7 @@ def label(text: str | None, known: Words) -> tuple[str, float, list[dict]]:
     starts = [0, *places[changes].tolist()]
     ends = [*starts[1:], len(text)]
     tongues = [model.langs[path[k]] for k in (0, *changes.tolist())]
-    return model.langs[best], score, [{"start": s, "end": e, "lang": x} for s, e, x in zip(starts, ends, tongues, strict=True)]
+    return model.langs[best], score, sure, [{"start": s, "end": e, "lang": x} for s, e, x in zip(starts, ends, tongues, strict=True)]
 
 
 def fit(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS) -> Model:
@@ -256,6 +275,23 @@ def identify(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str =
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, OUT_DDL)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float, *, text: str = "text") -> DataFrame:
+    """The rows of which at least the share ``least`` of the letters is surely in some learned language, be it one or several; with all columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        known = [Words(held.value)]
+
+        def judge(texts: list[str | None]) -> list[bool]:
+            if len(known[0]) > CACHE:
+                known[0] = Words(held.value)
+            return [found[0] != "und" and found[2] >= least for found in (assess(t, known[0]) for t in texts)]
+
+        return judge
+
+    return keep_rows(docs, start, text)
+
+
 def training_rows(docs: DataFrame, remainder: Column) -> DataFrame:
     """Rows whose remainder is known and not 0."""
     return docs.where(remainder != 0)
