@@ -1,14 +1,18 @@
 """Toxicity with a linear-chain conditional random field over words.
 
 Only documents are labelled, so the words are labelled first: a word is a toxic mark where it stands in a toxic document and is
-strongly tied to toxic documents over the training rows, itself or by one of its n-grams. A two-state chain (outside, toxic) is then trained on those labels: each
+strongly tied to toxic documents over the training rows, itself or by one of its n-grams; if no word is, the ``FEW`` most strongly tied
+words are. A two-state chain (outside, toxic) is then trained on those labels, over all words of the training rows: each
 word's potential is the sum of its own weight and of its character n-grams' weights, and the transitions are
 learned with them, by gradient ascent on forward-backward marginals. A document's score is a logistic function of the
 expected number of toxic words, its share of the words and the chance of at least one; offending spans are the words
 whose marginal is at least ``SPAN``.
 
-The classifier is fitted on at most ``max_rows`` labelled rows of each class (the ones whose ids hash lowest), in
-one task; everything is scored.
+Words are runs of ``\\w``; a run of more than ``PIECE`` characters (scripts without spaces) is cut into pieces that overlap by the longest
+n-gram, each a word of the chain, so all of it is scored.
+
+The classifier is fitted in one task, on a documented sample: at most ``max_rows`` labelled rows of each class (the ones whose ids hash
+lowest), and of those as many as ``max_chars`` characters of a class hold. Everything is scored.
 
 Null and empty texts have no words and get the score that the logistic function gives to none. A null label, an unlabelled document
 and a null id are never learned from. If an id has several labels, each counts; without both classes among the training rows
@@ -25,13 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import blocks, small_batches
 
 WORD = re.compile(r"\w+")
 MAX_ROWS = 2_500
+MAX_CHARS = 24_000_000
+#: Characters of a word; longer runs are cut into pieces.
+PIECE = 40
+#: Words that count as marks if none passes.
+FEW = 20
 #: Lengths of the character n-grams inside words, and their hash buckets.
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 131_072
@@ -40,7 +49,6 @@ RATE = 0.5
 SPAN = 0.5
 #: Log odds ratio from which a word counts as a toxic mark: words of copied documents stay below it.
 TIED = 3.5
-SEGMENT = 48
 CACHE = 400_000
 STEP = 128
 ZEROS = [0.0] * 1_000
@@ -48,8 +56,27 @@ OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("starts", pa.
 OUT_DDL = "doc_id bigint, score double, starts array<bigint>, ends array<bigint>"
 
 
+def cuts(length: int) -> range:
+    """Where the pieces of a run of ``length`` characters begin: every n-gram lies inside one."""
+    step = PIECE - max(GRAMS) + 1
+    return range(0, max(1, length - max(GRAMS) + 1), step) if length > PIECE else range(1)
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a lower-cased text, long runs in pieces."""
+    words = WORD.findall(text)
+    if words and max(map(len, words)) > PIECE:
+        return [w[k : k + PIECE] if len(w) > PIECE else w for w in words for k in cuts(len(w))]
+    return words
+
+
+def places_of(text: str) -> list[tuple[int, int]]:
+    """Begin and end of every one of ``words_of(text)``."""
+    return [(m.start() + k, min(m.end(), m.start() + k + PIECE)) for m in WORD.finditer(text) for k in cuts(m.end() - m.start())]
+
+
 def gram_texts(word: str) -> list[str]:
-    padded = f"^{word[:40]}$"
+    padded = f"^{word}$"
     return [padded[k : k + n] for n in GRAMS for k in range(max(1, len(padded) - n + 1))]
 
 
@@ -151,10 +178,10 @@ def association(held: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndar
     return odds / np.sqrt((1 / (held + 0.5) + 1 / (size[:, None] - held + 0.5)).sum(axis=0)), odds
 
 
-def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Label words, train the chain on segments around them and as many others, then the document's logistic function."""
+def learn(texts: list[str], labels: np.ndarray) -> Model:
+    """Label words, train the chain on all of them, then the document's logistic function."""
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in WORD.findall(t.lower())), np.int64) for t in texts]
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t.lower())), np.int64) for t in texts]
     n_words = len(number)
     empty = Model({}, {}, -8.0, np.ones(2), np.ones((2, 2)), None)
     if not n_words or labels.min() == labels.max():
@@ -177,19 +204,11 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     mark = (tie > 2.5) & (odds > TIED)
     mark |= np.add.reduceat(strong[flat], first[:-1]) > 0
     if not mark.any():
-        mark[np.argsort(-tie)[:20]] = True
-    rng = np.random.default_rng(seed)
-    parts, tags = [], []
-    for row, label in zip(docs, labels, strict=True):
-        tag = mark[row] & (label == 1)
-        for k in range(0, len(row), SEGMENT):
-            piece = row[k : k + SEGMENT]
-            if mark[piece].any() or rng.random() < 0.05:
-                parts.append(piece)
-                tags.append(tag[k : k + SEGMENT])
-    ids, goal = np.concatenate(parts), np.concatenate(tags).astype(float)
-    fresh = np.zeros(len(ids), bool)
-    fresh[np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]])] = True
+        mark[np.argsort(-tie)[:FEW]] = True
+    ids = np.concatenate(docs)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
+    goal = (mark[ids] & (np.repeat(labels, np.diff(edges)) == 1)).astype(float)
+    fresh = chain_starts(edges)
     used, ids = np.unique(ids, return_inverse=True)
     grams = [grams[k] for k in used.tolist()]
     gram_word = np.repeat(np.arange(len(used)), [len(g) for g in grams])
@@ -222,7 +241,6 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     texts_of = {g: tri[b] for k in used.tolist() for g in gram_texts(names[k]) if (b := xxhash.xxh32_intdigest(g) % BUCKETS) in heavy}
     model = Model({names[used[k]]: float(w[k]) for k in keep.tolist()}, {g: float(x) for g, x in texts_of.items()}, bias, np.exp(start), np.exp(move), None)
     odds_of = Odds(model)
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
     table = np.fromiter((odds_of[x] for x in names), float, n_words)
     x = doc_features(marginals(table[np.concatenate(docs).astype(np.int64)], chain_starts(edges), model.start, model.move), edges)
     theta = np.zeros(x.shape[1])
@@ -243,7 +261,7 @@ def chain_starts(edges: np.ndarray) -> np.ndarray:
 
 def score_block(texts: list[str | None], known: Odds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores, marginals of all words, and the edges of the documents."""
-    cut = [WORD.findall(t.lower()) if t else [] for t in texts]
+    cut = [words_of(t.lower()) if t else [] for t in texts]
     edges = np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)
     odds = np.fromiter((o for words in cut for o in map(known.__getitem__, words)), float, int(edges[-1]))
     model = known.model
@@ -253,16 +271,20 @@ def score_block(texts: list[str | None], known: Odds) -> tuple[np.ndarray, np.nd
     return 1 / (1 + np.exp(-np.clip(doc_features(p, edges) @ model.logistic, -30, 30))), p, edges
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column, *, doc: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the rows for which ``trains`` (over the column doc_id) holds, at most ``max_rows`` of each class."""
+def fit(docs: DataFrame, labels: DataFrame, trains: Column, *, doc: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+    """Fit on the rows for which ``trains`` (over the column doc_id) holds, at most ``max_rows`` and about ``max_chars`` characters of each class."""
     spark = docs.sparkSession
     small_batches(spark)
     own = labels.select(F.col(doc).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(trains).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = own.where("y = 1").orderBy(*order).limit(max_rows).unionByName(own.where("y = 0").orderBy(*order).limit(max_rows))
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    # bounded: 2 * max_rows ids
-    rows = rows.join(F.broadcast(sample), "doc_id").select("y", "text", "doc_id").repartition(1)
+    # bounded: 2 * max_rows ids; rows are taken in the order of their ids' hashes until their characters are enough
+    rows = rows.join(F.broadcast(sample), "doc_id")
+    sized = rows.select("y", "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("t"))
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    taken = sized.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < max_chars).select("y", "doc_id", "t").distinct()
+    rows = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(taken), ["y", "doc_id", "t"]).select("y", "text", "doc_id").repartition(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, y, t) for b in batches for y, t, i in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
@@ -290,10 +312,10 @@ def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "te
             hot = np.flatnonzero(p >= SPAN)
             for d in np.unique(np.searchsorted(edges, hot, side="right") - 1).tolist():
                 chosen = set((hot[(hot >= edges[d]) & (hot < edges[d + 1])] - edges[d]).tolist())
-                for k, m in enumerate(WORD.finditer(texts[d].lower())):
+                for k, (a, b) in enumerate(places_of(texts[d].lower())):
                     if k in chosen:
-                        starts[d].append(m.start())
-                        ends[d].append(m.end())
+                        starts[d].append(a)
+                        ends[d].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores), pa.array(starts, OUT.field(2).type), pa.array(ends, OUT.field(3).type)], schema=OUT)
 
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, OUT_DDL)
