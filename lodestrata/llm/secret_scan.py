@@ -97,14 +97,19 @@ def scan(text: str | None, tokens) -> list[tuple[int, int, str]]:
 _TOKENS: dict[tuple[str, str], object] = {}
 
 
+def counter(path: str, pattern: str):
+    """The token counter of a vocabulary, built once in each worker."""
+    if (path, pattern) not in _TOKENS:
+        _TOKENS[path, pattern] = tiktoken_counter(path, pattern)
+    return _TOKENS[path, pattern]
+
+
 def find_secrets(docs: DataFrame, path: str, pattern: str, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kinds, starts, ends."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _TOKENS:
-            _TOKENS[path, pattern] = tiktoken_counter(path, pattern)
-        tokens = _TOKENS[path, pattern]
+        tokens = counter(path, pattern)
         for ids, texts in blocks(batches):
             found = [scan(t, tokens) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([[s[k] for s in spans] for spans in found], OUT.field(at + 1).type) for at, k in enumerate((2, 0, 1)))], schema=OUT)
@@ -127,6 +132,43 @@ def mask(text, kinds, starts, ends):
     return F.when(F.size(kinds) > 0, F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))).otherwise(text)
 
 
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with every span replaced by its kind in brackets; of overlapping spans the earlier wins, and what of the later lies beyond it goes as well."""
+    out, at = [], 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def mask_secrets(docs: DataFrame, path: str, pattern: str, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """All rows with all columns; secrets are masked in the text of their own row, and ``length``, where there is such a column, follows."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at, n_at = names.index(text), names.index(length) if length in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = counter(path, pattern)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = {k: spans for k, t in enumerate(texts) if (spans := scan(t, tokens))}
+            if found:
+                columns = list(batch.columns)
+                for k, spans in found.items():
+                    texts[k] = masked(texts[k], spans)
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                if n_at is not None:
+                    sizes = columns[n_at].to_pylist()
+                    for k in found:
+                        sizes[k] = len(texts[k])
+                    columns[n_at] = pa.array(sizes, batch.schema.field(n_at).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(spans: list[tuple[int, int, str]]) -> str:
     return sha256_hex(joined(spans))
 

@@ -9,8 +9,8 @@ whatever the data hold (``slots`` is at most ``MAX_SLOTS``).
 The fill is a loop over the slots on the driver; everything that touches rows is DataFrame expressions.
 
 Null keys hash as the fixed marker below, so they land together on one known slot; an empty string is an
-ordinary key. Repeated keys land on the same shard. Extra columns pass through untouched; if the input already
-has a column ``slot`` or ``shard``, choose other output names. An empty table gives an empty table.
+ordinary key. Repeated keys land on the same shard. Extra columns pass through untouched; columns of the input that are named like
+the two outputs are replaced by them, even the key itself. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -66,7 +66,10 @@ def lookup_frame(spark: SparkSession, owner: list[int]) -> DataFrame:
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int, weights: list[int] | None = None, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
     """``df`` with the slot and the shard index of each row's key. No row moves: the join is a broadcast lookup."""
+    if slot_name == shard_name:
+        raise ValueError("slot and shard need two names")
     table = lookup_frame(df.sparkSession, fill_table(shards, slots, weights)).toDF(slot_name, shard_name)
     text = F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY))
     slot = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.lit(slots)
-    return df.withColumn(slot_name, slot.cast("int")).join(F.broadcast(table), slot_name)
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot_name.lower(), shard_name.lower())]
+    return df.select(slot.cast("int").alias(slot_name), *rest).join(F.broadcast(table), slot_name)
