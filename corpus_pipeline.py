@@ -1,7 +1,7 @@
 """Corpus preparation: five stages over ``documents``, each written as Parquet and reread as the next one's input.
 
-Decisions go by doc_id: rows with a null id leave in the first stage, rows that repeat an id share its fate. Null and empty
-texts have no language and leave there as well. Further columns pass through all stages but the last.
+Every row is judged by its own text, also where ids are null or repeated; further columns pass through all stages but the last. Null and
+empty texts have no language and leave in the first stage.
 """
 
 from __future__ import annotations
@@ -10,44 +10,33 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, langid, near_dedup, pieces, secret_scan
-from lodestrata.llm.common import id_bucket, shared_dir
+from lodestrata.llm.common import id_bucket, remove, shared_dir
 
-#: A document stays if its language is identified with at least this score.
+#: A document stays if at least this share of its letters is surely in some language.
 LANGUAGE_FROM = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go."""
+    """Documents whose language or languages cannot be identified go."""
     model = langid.fit(langid.training_rows(docs, id_bucket("doc_id", 5)))
-    found = langid.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_FROM)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    return langid.keep_identified(docs, model, LANGUAGE_FROM)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near-duplicates the document with the smallest id stays."""
-    firsts = near_dedup.classes(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(firsts, "doc_id", "left_semi").select(docs.columns)
+    """Of every class of near-duplicates the row with the smallest id stays."""
+    return near_dedup.keep_firsts(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontaminate.report(decontaminate.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; all documents stay."""
-    found = secret_scan.find_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    found = found.where(F.size("kinds") > 0).dropDuplicates(["doc_id"]).withColumnsRenamed({"kinds": "_kinds", "starts": "_starts", "ends": "_ends"})
-    joined = docs.join(found, "doc_id", "left")
-    text = F.when(F.col("_kinds").isNull(), F.col("text")).otherwise(secret_scan.mask(F.col("text"), F.col("_kinds"), F.col("_starts"), F.col("_ends")))
-    joined = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_kinds").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return joined.select(docs.columns)
+    return secret_scan.mask_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table. A stage's table goes once the next is written; the last goes when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
+    remove(spark, folder, later=True)
     return docs
