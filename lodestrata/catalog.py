@@ -71,7 +71,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     return user.join(reply, ["conv_id", "turn"]).join(d, "conv_id", "left").fillna("", ["expected", "context"])
 
 
-ANSWERS = """qa AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS actual, coalesce(left(d.text, 400), '') AS expected, coalesce(d.text, '') AS context
+ANSWERS = """qa AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS actual, coalesce(d.text, '') AS expected, coalesce(d.text, '') AS context
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' LEFT JOIN documents d ON d.doc_id = u.conv_id WHERE u.role = 'user')"""
 
 
@@ -260,10 +260,10 @@ def _(spark, sf):
 
 def q_and_c(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), e.select(F.col("vec_id").alias("chunk_seq"), F.col("embedding").alias("vec"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), e.select(F.col("vec_id").alias("chunk_seq"), F.col("embedding").alias("vec"))
 
 
-VECTORS = "q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 25 = 0), c AS (SELECT vec_id AS chunk_seq, CAST(embedding AS DOUBLE[]) AS cv FROM embeddings)"
+VECTORS = "q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id AS chunk_seq, CAST(embedding AS DOUBLE[]) AS cv FROM embeddings)"
 
 
 def top_sql(threshold: float, k: int) -> str:
@@ -397,7 +397,7 @@ def _(spark, sf):
     return table(spark, sf, "conversations").groupBy(F.col("role").alias("question_type")).agg(F.count("*").alias("n"))
 
 
-@query("answerable", f"WITH {ENTRIES} SELECT doc_seq FROM entries WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10 ORDER BY doc_seq LIMIT 300")
+@query("answerable", f"WITH {ENTRIES} SELECT doc_seq FROM entries WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10")
 def _(spark, sf):
     return prepare.answerable(entries(spark, sf)).select("doc_seq")
 
