@@ -44,11 +44,15 @@ def hashing_embedding(c: Column, dim: int = 64) -> Column:
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([_unit(np.bincount([zlib.crc32(w.encode()) % dim for w in re.findall(r"\w+", t.lower())] if t else [], minlength=dim)) for t in texts])
+            yield pd.Series([hashed(t, dim) for t in texts], dtype=object)
 
     return embed(c)
 
 
+def hashed(text: str | None, dim: int) -> np.ndarray:
+    return _unit(np.bincount([zlib.crc32(w.encode()) % dim for w in re.findall(r"\w+", text.lower())] if text else [], minlength=dim))
+
+
 def _unit(counts: np.ndarray) -> np.ndarray:
     size = np.sqrt((counts * counts).sum())
     return counts / size if size else counts.astype(float)

@@ -41,9 +41,9 @@ def extractive(best_chunk: Column) -> Column:
     return F.struct(F.coalesce(best_chunk, F.lit("")).alias("answer"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, *, k: int = 5, threshold: float = 0.0, budget: int = 4000, make: Callable[[], Model] | None = None) -> DataFrame:
+def answer(questions: DataFrame, chunks: DataFrame, *, k: int = 5, threshold: float = 0.0, budget: int = 4000, make: Callable[[], Model] | None = None, method: str = "vector-similarity") -> DataFrame:
     """All questions at once: retrieve, assemble the context, generate. questions (q_id, question, q_vec), chunks (chunk_seq, text, vec)."""
-    hits = R.vector_top_k(questions, chunks, k, threshold)
+    hits = R.vector_top_k(questions, chunks, k, threshold) if method == "vector-similarity" else R.method(method)(questions, chunks, k)
     contexts = C.assemble(hits, budget)
     rows = questions.select("q_id", "question").join(contexts, "q_id", "left")
     rows = rows.withColumns({"context": F.coalesce("context", F.lit("")), "chunks": F.coalesce("chunks", F.array().cast("array<string>"))})
@@ -52,9 +52,23 @@ def answer(questions: DataFrame, chunks: DataFrame, *, k: int = 5, threshold: fl
     return rows.withColumn("r", reply).withColumns({"actual": F.col("r.answer"), "error": F.col("r.error"), "seconds": F.col("r.seconds")}).drop("r")
 
 
-def index(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], dim: int = 64) -> DataFrame:
-    """Chunks with running numbers and vectors of the offline embedder."""
-    from lodestrata.operators.chunking import with_global_ids
+def index(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], dim: int = 64, *, embedder=None, cache=None, config: dict | None = None) -> DataFrame:
+    """Chunks with running numbers and vectors: written once and read again, as every later step reads them more than once.
 
-    rows = with_global_ids(chunk(docs))
-    return rows.select(F.col("chunk_no").alias("chunk_seq"), "chunk_id", "doc_seq", "text").withColumn("vec", V.hashing_embedding(F.col("text"), dim))
+    ``embedder``: an embedding model, else the offline one of ``dim`` numbers. With a ``cache`` (``sinks.TableCache``) the table is kept under
+    ``config``, the embedder's settings and a fingerprint of the documents, and found there the next time.
+    """
+    from lodestrata.operators.chunking import with_global_ids
+    from lodestrata.operators.models import embed, settings_of
+    from lodestrata.sources.sinks import fingerprint
+    from lodestrata.sources.tables import materialise
+
+    def make() -> DataFrame:
+        chunks = materialise(docs.sparkSession, chunk(docs), "chunks")
+        rows = with_global_ids(chunks).select(F.col("chunk_no").alias("chunk_seq"), "chunk_id", "doc_seq", "text")
+        return rows.withColumn("vec", V.hashing_embedding(F.col("text"), dim) if embedder is None else embed(F.col("text"), embedder))
+
+    if cache is None:
+        return materialise(docs.sparkSession, make(), "index")
+    key = {**(config or {}), "embedder": dim if embedder is None else settings_of(embedder), "documents": fingerprint(docs)}
+    return cache.get("index", key, make)

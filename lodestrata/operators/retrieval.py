@@ -1,24 +1,32 @@
 """Retrieval for whole batches of questions: cosine, keyword and hybrid top-k.
 
-The questions are the small side. They are broadcast only after their number is checked against ``MAX_QUESTIONS``; beyond it the
-join is left to the optimizer. Ties go to the later chunk.
+The questions are the stated side. They are collected and broadcast in blocks of at most ``BLOCK``, one pass over the chunks for each; with
+several blocks a block's hits are written before the next is collected, so neither driver nor executors hold more than one. A pass reads (chunk_seq,
+vector, tokens) in Arrow batches, scores a batch by matrix products, and keeps the k best of every question: what leaves a task is at most
+k rows for each question, ids and scores only. Texts are joined to those that survive. Ties go to the later chunk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
+from lodestrata.sources.tables import materialise
 
-MAX_QUESTIONS = 10_000
-
-
-def every_pair(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each question with each chunk: the brute-force score matrix."""
-    small = questions.limit(MAX_QUESTIONS + 1).count() <= MAX_QUESTIONS
-    return chunks.crossJoin(F.broadcast(questions) if small else questions)
+BLOCK = 4_096
+#: The same where tokens are compared: a block has a vocabulary of its own.
+TOKEN_BLOCK = 512
+#: Scores are compared after rounding to so many digits, so equal vectors tie whatever the order of their sums.
+DIGITS = 12
+#: Numbers of one score matrix.
+CELLS = 4_000_000
+HITS = "q_id {0}, chunk_seq bigint, score double"
 
 
 def best(scored: DataFrame, k: int, score: str = "score", question: str = "q_id", chunk: str = "chunk_seq") -> DataFrame:
@@ -27,39 +35,146 @@ def best(scored: DataFrame, k: int, score: str = "score", question: str = "q_id"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, threshold: float = 0.0, digits: int | None = None) -> DataFrame:
-    """questions (q_id, q_vec) against chunks (chunk_seq, vec). The threshold is applied before the rank, which gives the same rows."""
-    q = questions.withColumn("q_norm", V.norm(F.col("q_vec")))
-    c = chunks.withColumn("c_norm", V.norm(F.col("vec")))
-    score = V.cosine(F.col("q_vec"), F.col("vec"), F.col("q_norm"), F.col("c_norm"))
-    rows = every_pair(q, c).withColumn("score", F.round(score, digits) if digits else score)
-    return best(rows.where(F.col("score") >= threshold), k).drop("q_norm", "c_norm")
-
-
-def keyword_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Jaccard of white-space tokens for the pairs that share one, through an inverted index: tokens are joined, not pairs."""
-    q = questions.select("q_id", T.ws_set(F.col("question")).alias("qt"))
-    c = chunks.select("chunk_seq", T.ws_set(F.col("text")).alias("ct"))
-    one = q.select("q_id", F.size("qt").alias("qn"), F.explode("qt").alias("token"))
-    two = c.select("chunk_seq", F.size("ct").alias("cn"), F.explode("ct").alias("token"))
-    shared = two.join(one, "token").groupBy("q_id", "chunk_seq", "qn", "cn").agg(F.count("*").alias("both"))
-    return shared.select("q_id", "chunk_seq", T.ratio(F.col("both"), F.col("qn") + F.col("cn") - F.col("both")).alias("keyword_score"))
+class Asked:
+    """One block of questions: unit vectors, and token sets over the block's own vocabulary."""
+
+    def __init__(self, ids: list, vectors: list | None, tokens: list | None):
+        self.ids = ids
+        self.vectors = None if vectors is None else unit(vectors)
+        self.number: dict[str, int] = {}
+        self.sets, self.sizes = None, None
+        if tokens is not None:
+            rows = [[self.number.setdefault(t, len(self.number)) for t in own or ()] for own in tokens]
+            self.sizes = np.array([len(r) for r in rows], float)
+            self.sets = np.zeros((len(rows), len(self.number)), np.float32)
+            for k, r in enumerate(rows):
+                self.sets[k, r] = 1
+
+    def cosine(self, vectors: list) -> np.ndarray:
+        """Question by chunk; 0 where a vector is null, 0 or of another length."""
+        rows = unit(vectors, self.vectors.shape[1])
+        return self.vectors @ rows.T
+
+    def jaccard(self, tokens: list) -> np.ndarray:
+        """Question by chunk; 0 where either set is empty."""
+        held = np.zeros((len(tokens), len(self.number)), np.float32)
+        sizes = np.array([len(own or ()) for own in tokens], float)
+        for k, own in enumerate(tokens):
+            held[k, [n for t in own or () if (n := self.number.get(t)) is not None]] = 1
+        both = (self.sets @ held.T).astype(float)
+        return np.divide(both, self.sizes[:, None] + sizes[None, :] - both, out=np.zeros_like(both), where=both > 0)
+
+
+def unit(vectors: list, size: int | None = None) -> np.ndarray:
+    """Rows of length 1; null vectors, and those that are not of ``size`` (of the first one's), are 0."""
+    size = next((len(v) for v in vectors if v is not None), 0) if size is None else size
+    rows = np.array([v if v is not None and len(v) == size else [0.0] * size for v in vectors], float).reshape(len(vectors), size)
+    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return np.divide(rows, norms[:, None], out=np.zeros_like(rows), where=norms[:, None] > 0)
+
+
+class Kept:
+    """The k best (score, chunk) of each question so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.chunk = k, np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+
+    def offer(self, score: np.ndarray, chunks: np.ndarray) -> None:
+        """Scores of a batch; what may not be kept is minus infinity."""
+        use = np.flatnonzero((score.max(axis=1, initial=-np.inf) >= self.score[:, -1]) & (score.max(axis=1, initial=-np.inf) > -np.inf))
+        if not len(use):
+            return
+        score = np.concatenate([self.score[use], score[use]], axis=1)
+        own = np.concatenate([self.chunk[use], np.broadcast_to(chunks, (len(use), len(chunks)))], axis=1)
+        if score.shape[1] > 4 * self.k:
+            # what lies below the k-th cannot be kept; of what remains the sort settles ties
+            floor = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            wide = int((score >= floor).sum(axis=1).max())
+            take = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+            score, own = np.take_along_axis(score, take, 1), np.take_along_axis(own, take, 1)
+        take = np.lexsort((-own, -score), axis=1)[:, : self.k]
+        self.score[use], self.chunk[use] = np.take_along_axis(score, take, 1), np.take_along_axis(own, take, 1)
+
+
+def top_hits(questions: DataFrame, chunks: DataFrame, k: int, *, weight: float | None = 1.0, threshold: float | None = None, digits: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(q_id, chunk_seq, score, rank): the k best chunks of each question. questions (q_id, q_vec, qt), chunks (chunk_seq, vec, ct).
+
+    ``weight`` is that of the cosine beside the keyword overlap: with 1 tokens are not read; with None vectors are not, and pairs that share no
+    token have no score. Scores below ``threshold`` are left out before ranking, which gives the same rows.
+    """
+    spark = questions.sparkSession
+    by_vector, by_token = weight is not None, weight != 1.0
+    block = min(block, TOKEN_BLOCK) if by_token else block
+    asked = questions.select("q_id", *(["q_vec"] if by_vector else []), *(["qt"] if by_token else []))
+    total = asked.count()
+    n = max(1, -(-2 * total // block)) if total > block else 1
+    read = chunks.select(F.col("chunk_seq").cast("long").alias("chunk_seq"), *(["vec"] if by_vector else []), *(["ct"] if by_token else []))
+    kind = asked.schema["q_id"].dataType.simpleString()
+    found = []
+    for part in range(n):
+        own = (asked.where(F.pmod(F.xxhash64("q_id"), F.lit(n)) == part) if n > 1 else asked).collect()  # bounded: about half a block
+        names = asked.columns
+        shared = spark.sparkContext.broadcast(Asked([r["q_id"] for r in own], [r["q_vec"] for r in own] if "q_vec" in names else None, [r["qt"] for r in own] if "qt" in names else None))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            kept = Kept(len(block.ids), k)
+            step = max(1, CELLS // max(1, len(block.ids), len(block.number)))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    score = block.cosine(batch.column("vec").to_pylist()) if by_vector else None
+                    if by_token:
+                        words = block.jaccard(batch.column("ct").to_pylist())
+                        score = np.where(words > 0, words, -np.inf) if score is None else weight * score + (1 - weight) * words
+                    score = np.round(score, DIGITS if digits is None else digits)
+                    score[~(score >= (-np.inf if threshold is None else threshold))] = -np.inf
+                    kept.offer(score, batch.column("chunk_seq").to_numpy())
+            q, at = np.nonzero(kept.score > -np.inf)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array([block.ids[x] for x in q.tolist()]), pa.array(kept.chunk[q, at]), pa.array(kept.score[q, at])], ["q_id", "chunk_seq", "score"])
+
+        hits = best(read.mapInArrow(run, HITS.format(kind)), k)
+        if n > 1:
+            hits = materialise(spark, hits, "hits")
+            shared.destroy()
+        found.append(hits)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def with_texts(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The hits with all columns of their question and chunk, but for the vectors and token sets."""
+    return hits.join(chunks.drop("vec", "ct"), "chunk_seq").join(questions.drop("q_vec", "qt"), "q_id")
+
+
+def vector_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, threshold: float | None = 0.0, digits: int | None = None) -> DataFrame:
+    """questions (q_id, q_vec) against chunks (chunk_seq, vec), by cosine."""
+    return with_texts(top_hits(questions, chunks, k, threshold=threshold, digits=digits), questions, chunks)
+
+
+def with_tokens(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return questions.withColumn("qt", T.ws_set(F.col("question"))), chunks.withColumn("ct", T.ws_set(F.col("text")))
+
+
+def keyword_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, digits: int | None = None) -> DataFrame:
+    """(q_id, chunk_seq, keyword_score, rank) by the Jaccard similarity of white-space tokens, among the pairs that share one."""
+    return top_hits(*with_tokens(questions, chunks), k, weight=None, digits=digits).withColumnRenamed("score", "keyword_score")
 
 
 def hybrid_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, weight: float = 0.7, digits: int | None = None) -> DataFrame:
     """weight x cosine + (1 - weight) x keyword; questions (q_id, question, q_vec), chunks (chunk_seq, text, vec)."""
-    q = questions.withColumns({"q_norm": V.norm(F.col("q_vec")), "qt": T.ws_set(F.col("question"))})
-    c = chunks.withColumns({"c_norm": V.norm(F.col("vec")), "ct": T.ws_set(F.col("text"))})
-    rows = every_pair(q, c).withColumns({"vector_score": V.cosine(F.col("q_vec"), F.col("vec"), F.col("q_norm"), F.col("c_norm")), "keyword_score": T.jaccard(F.col("qt"), F.col("ct"))})
-    total = weight * F.col("vector_score") + (1 - weight) * F.col("keyword_score")
-    rows = rows.withColumn("combined_score", F.round(total, digits) if digits else total)
-    return best(rows, k, "combined_score").drop("q_norm", "c_norm", "qt", "ct")
+    q, c = with_tokens(questions, chunks)
+    hits = top_hits(q, c, k, weight=weight, digits=digits)
+    return with_texts(hits.withColumnRenamed("score", "combined_score"), q, c)
 
 
 def random_chunks(questions: DataFrame, chunks: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Seeded stand-in for a failed retrieval: the same k chunks for every question, with score 0."""
     few = chunks.orderBy(F.xxhash64("chunk_seq", F.lit(seed)), "chunk_seq").limit(k)
-    return every_pair(questions, few).withColumn("score", F.lit(0.0))
+    return questions.crossJoin(F.broadcast(few)).withColumn("score", F.lit(0.0))  # bounded: k rows
 
 
 def index_info(chunks: DataFrame, k: int, threshold: float) -> DataFrame:
