@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -190,9 +192,56 @@ def _(spark, sf):
     return H.parse_pages(table(spark, sf, "pages"), H.elements, "pos int, tag string, text string")
 
 
-@query("article_pages")
+#: White space off both ends, as Unicode knows it.
+BLANK = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+def stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{BLANK}|{BLANK}$', '', 'g')"
+
+
+def article_html(spark, sf):
+    """The documents as article pages: by their ids, paragraphs alone, a list of numbered sentences, or nested lists; a line is a paragraph."""
+    head = F.concat(F.lit('<header class="entry-header"><span class="dsgvo-number">Art. '), F.col("doc_id").cast("string"), F.lit(' X</span><span class="dsgvo-title"> '), F.coalesce("source", F.lit("")), F.lit('</span></header><div class="entry-content">'))
+    lines = F.split(F.translate("text", "<>&", "   "), "\n")
+    wrap = lambda before, after: F.array_join(F.transform(lines, lambda t: F.concat(F.lit(before), t, F.lit(after))), "")
+    plain, marked, nested = wrap("<p>", "</p>"), wrap("<li><sup>1</sup>", " <sup>2</sup>Ende.</li>"), wrap("<li>", "<ol><li>a</li><li> <b>b</b></li></ol></li>")
+    body = F.when(F.col("doc_id") % 3 == 0, plain).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<ol>"), marked, F.lit("</ol>"))).otherwise(F.concat(F.lit("<ol>"), nested, F.lit("</ol>")))
+    return table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.concat(head, body, F.lit("</div>")).alias("html"))
+
+
+@query("article_pages", f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, string_split(translate(text, '<>&', '   '), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    x AS (SELECT doc_id, source, CAST(doc_id % 3 AS INTEGER) AS kind, unnest(l) AS raw, unnest(range(1, len(l) + 1)) AS k FROM d), t AS (SELECT *, {stripped('raw')} AS text FROM x),
+    r AS (SELECT doc_id, source, CASE kind WHEN 0 THEN 0 ELSE k END AS p, 0 AS u, 1 AS s, text FROM t WHERE text <> '' AND NOT (kind = 0 AND list_bool_or(list_transform({sqlist(T.NAVIGATION)}, lambda n: contains(lower(text), n))))
+    UNION ALL SELECT doc_id, source, k, 0, 2, 'Ende.' FROM t WHERE kind = 1 UNION ALL SELECT doc_id, source, k, 1, 1, 'a' FROM t WHERE kind = 2 UNION ALL SELECT doc_id, source, k, 2, 1, 'b' FROM t WHERE kind = 2)
+    SELECT doc_id AS doc_seq, CAST(doc_id AS INTEGER) AS artikel_nr, {stripped('source')} AS artikel_name, CAST(p AS INTEGER) AS absatz_nr, CAST(u AS INTEGER) AS unterabsatz_nr, CAST(s AS INTEGER) AS satz_nr, text FROM r""")
+def _(spark, sf):
+    return H.parse_pages(article_html(spark, sf), H.article_entries, "artikel_nr int, artikel_name string, absatz_nr int, unterabsatz_nr int, satz_nr int, text string")
+
+
+def overview_html(spark, sf):
+    """Fifty documents of neighbouring ids as an overview page: every tenth a chapter, half-way a section, the others articles; and a link outside the list."""
+    d = table(spark, sf, "documents")
+    number, titled = F.col("doc_id").cast("string"), F.concat(F.lit('</span><span class="titel">'), F.coalesce("source", F.lit("")), F.lit("</span></div>"))
+    kind = lambda c, word: F.concat(F.lit(f'<div class="x {c}"><span class="nummer">{word} '), number, titled)
+    part = F.when(F.col("doc_id") % 10 == 0, kind("kapitel", "Kapitel")).when(F.col("doc_id") % 10 == 5, kind("abschnitt", "Abschnitt")).otherwise(F.concat(F.lit('<div class="artikel"><a href="/art-'), number, F.lit('">x</a></div>')))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("part")))), lambda x: x["part"]), "\n")
+    html = F.concat(F.lit('<div class="artikel"><a href="/elsewhere">x</a></div><div class="liste-inhaltsuebersicht dsgvo">'), parts, F.lit("</div>"))
+    return d.groupBy(F.floor(F.col("doc_id") / 50).alias("page_id")).agg(html.alias("html"))
+
+
+@query("overview_walk", f"""WITH e AS (SELECT doc_id // 50 AS g, doc_id, {stripped("coalesce(source, '')")} AS name, CASE doc_id % 10 WHEN 0 THEN 'k' WHEN 5 THEN 's' ELSE 'a' END AS kind FROM documents),
+    c AS (SELECT *, last_value(CASE WHEN kind = 'k' THEN doc_id END IGNORE NULLS) OVER o AS k, last_value(CASE WHEN kind = 'k' THEN name END IGNORE NULLS) OVER o AS kn,
+    last_value(CASE kind WHEN 'k' THEN 0 WHEN 's' THEN doc_id END IGNORE NULLS) OVER o AS s, last_value(CASE kind WHEN 'k' THEN '' WHEN 's' THEN name END IGNORE NULLS) OVER o AS sn FROM e WINDOW o AS (PARTITION BY g ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
+    SELECT g AS doc_seq, '/art-' || doc_id AS url, CAST(coalesce(k, 0) AS INTEGER) AS kapitel_nr, coalesce(kn, '') AS kapitel_name, CAST(coalesce(s, 0) AS INTEGER) AS abschnitt_nr, coalesce(sn, '') AS abschnitt_name FROM c WHERE kind = 'a'""")
 def _(spark, sf):
-    return H.parse_pages(table(spark, sf, "pages"), H.article_entries, "artikel_nr int, artikel_name string, absatz_nr int, unterabsatz_nr int, satz_nr int, text string")
+    events = H.parse_pages(overview_html(spark, sf), H.overview_events, "pos int, kind string, nr int, name string")
+    return prepare.carried_context(events).select("doc_seq", F.col("name").alias("url"), "kapitel_nr", "kapitel_name", "abschnitt_nr", "abschnitt_name")
+
+
+@query("overview_links", "SELECT doc_id // 50 AS doc_seq, '/art-' || doc_id AS url FROM documents WHERE doc_id % 5 <> 0")
+def _(spark, sf):
+    return H.parse_pages(overview_html(spark, sf), H.article_urls, "url string")
 
 
 @query("sup_sentences")
@@ -208,7 +257,7 @@ def _(spark, sf):
 
 @query("act_walk")
 def _(spark, sf):
-    return H.act_rows(H.parse_pages(table(spark, sf, "pages"), H.elements, "pos int, tag string, text string"))
+    return H.act_rows(H.parse_pages(table(spark, sf, "pages"), H.act_elements, "pos int, tag string, text string"))
 
 
 @query("carry_forward", """WITH e AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'chapter' WHEN 1 THEN 'section' ELSE 'article' END AS kind, CAST(event_id % 97 AS INTEGER) AS nr FROM events),
@@ -282,12 +331,12 @@ def _(spark, sf):
 
 @query("vector_topk", top_sql(-2, 5))
 def _(spark, sf):
-    return R.vector_top_k(*q_and_c(spark, sf), 5, -2.0, 6).select("q_id", "chunk_seq", "score", "rank")
+    return R.top_hits(*q_and_c(spark, sf), 5, threshold=-2.0, digits=6)
 
 
 @query("vector_topk_threshold", top_sql(0.3, 7))
 def _(spark, sf):
-    return R.vector_top_k(*q_and_c(spark, sf), 7, 0.3, 6).select("q_id", "chunk_seq", "score", "rank")
+    return R.top_hits(*q_and_c(spark, sf), 7, threshold=0.3, digits=6)
 
 
 @query("md5_query_vector", "SELECT item_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS first, round(v[16], 6) AS last, len(v) AS dims FROM (SELECT item_id, list_transform(range(1, 65), lambda i: CASE WHEN i <= 16 THEN CAST(('0x' || substr(md5(text), 2 * i - 1, 2)) AS INTEGER) / 255.0 ELSE 0 END) AS v FROM benchmark)")
@@ -302,8 +351,7 @@ def asked(spark, sf):
 
 @query("keyword_jaccard_topk", f"WITH q AS (SELECT item_id AS q_id, list_distinct({ws('lower(text)')}) AS qt FROM benchmark), c AS (SELECT doc_id AS chunk_seq, list_distinct({ws('lower(text)')}) AS ct FROM documents), s AS (SELECT q_id, chunk_seq, len(list_intersect(qt, ct)) AS b, len(qt) AS n, len(ct) AS m FROM q, c), r AS (SELECT q_id, chunk_seq, round(b / (n + m - b), 9) AS keyword_score FROM s WHERE b > 0), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY keyword_score DESC, chunk_seq DESC) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 5")
 def _(spark, sf):
-    s = R.keyword_scores(asked(spark, sf), docs(spark, sf).select(F.col("doc_seq").alias("chunk_seq"), "text"))
-    return R.best(s.withColumn("keyword_score", F.round("keyword_score", 9)), 5, "keyword_score")
+    return R.keyword_top_k(asked(spark, sf), docs(spark, sf).select(F.col("doc_seq").alias("chunk_seq"), "text"), 5, 9)
 
 
 @query("hybrid_topk", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT item_id AS q_id, list_distinct({ws('lower(text)')}) AS qt, list_transform(range(1, 65), lambda i: CASE WHEN i <= 16 THEN CAST(('0x' || substr(md5(text), 2 * i - 1, 2)) AS INTEGER) / CAST(255 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS qv FROM benchmark),
@@ -408,6 +456,34 @@ def _(spark, sf):
     return prepare.validated(table(spark, sf, "events").select("event_id", verdict.alias("verdict"))).select("event_id")
 
 
+class RuleWriter:
+    """Stand-in for a model that writes questions: the article's number decides. One reply in eleven is no JSON."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        numbers = [int(re.search(r"article (\d+) \(", p)[1]) for p in prompts]
+        reply = lambda n: json.dumps({"question": f"Frage {n}?", "question_type": prepare.QUESTION_TYPES[n % 7], "difficulty": prepare.DIFFICULTIES[n % 3], "is_answerable": n % 4 != 0, "reasoning": "x"})
+        return ["none" if n % 11 == 0 else reply(n) for n in numbers]
+
+
+@query("model_questions", f"""WITH {ENTRIES}, a AS (SELECT * FROM entries WHERE length({stripped('text')}) >= 10 AND artikel_nr % 11 <> 0 AND artikel_nr % 4 <> 0), n AS (SELECT *, row_number() OVER (ORDER BY doc_seq) - 1 AS qa_seq FROM a)
+    SELECT qa_seq, 'dsgvo_llm_' || qa_seq AS id, 'Frage ' || artikel_nr || '?' AS question, {sqlist(list(prepare.QUESTION_TYPES))}[CAST(artikel_nr % 7 + 1 AS INTEGER)] AS question_type, {sqlist(list(prepare.DIFFICULTIES))}[CAST(artikel_nr % 3 + 1 AS INTEGER)] AS difficulty, id AS document_id FROM n""")
+def _(spark, sf):
+    return prepare.model_questions(entries(spark, sf), RuleWriter).select("qa_seq", "id", "question", "question_type", "difficulty", "document_id")
+
+
+class RuleJudge:
+    """Stand-in for a model that checks pairs: questions on chapters are valid."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return ["VALID, it fits." if "Kapitel" in re.search(r'Question: "(.*?)"\n', p)[1] else "INVALID" for p in prompts]
+
+
+@query("checked_questions", f"""WITH {ENTRIES}, t AS (SELECT *, list_filter({sqlist(T.TOPICS)}, lambda k: contains(lower(text), lower(k)))[1:2] AS tp FROM entries), s AS (SELECT doc_seq, id, kapitel_nr, len(tp) + 2 AS n FROM t),
+    n AS (SELECT *, sum(n) OVER (ORDER BY doc_seq) - 1 AS qa_seq FROM s) SELECT CAST(qa_seq AS BIGINT) AS qa_seq, 'Was sind die wichtigsten Anforderungen in DSGVO Kapitel ' || kapitel_nr || '?' AS question FROM n""")
+def _(spark, sf):
+    return prepare.checked_questions(prepare.template_questions(entries(spark, sf)).withColumn("article_context", F.lit("")), RuleJudge).select("qa_seq", "question")
+
+
 @query("sample_qa")
 def _(spark, sf):
     return prepare.seeded_sample(prepare.template_questions(entries(spark, sf)), 100).select("place", "qa_seq", "id", "question")

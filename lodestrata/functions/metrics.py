@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import warnings
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -93,15 +95,33 @@ def grounding(df: DataFrame) -> DataFrame:
 FAMILIES = {"overlap": combined, "timing": lambda df: df.withColumns(timing(F.col("actual"), F.col("seconds"))), "grounding": grounding}
 
 
+#: Name, purpose and columns of each family.
+INFO = {
+    "overlap": {"name": "precision-recall", "description": "Precision, recall and F1 from words, sequences and stems", "metrics": ["precision", "recall", "f1", "word_precision", "word_recall", "sequence_similarity", "semantic_similarity"]},
+    "timing": {"name": "performance", "description": "Length and speed of answers", "metrics": ["response_length", "estimated_tokens", "word_count", "avg_word_length", "tokens_per_second"]},
+    "grounding": {"name": "ragas", "description": "How answers rest on their context", "metrics": ["faithfulness", "answer_relevance", "context_relevance", "ragas_context_utilization", "score"]},
+}
+
+
+def evaluation_info(enabled: list[str]) -> dict:
+    own = [n for n in FAMILIES if n in enabled]
+    return {"enabled_evaluators": [INFO[n]["name"] for n in own], "total_metrics": sum(len(INFO[n]["metrics"]) for n in own), "metrics": {INFO[n]["name"]: INFO[n] for n in own}}
+
+
 def evaluate(df: DataFrame, enabled: list[str]) -> DataFrame:
-    """Applies the enabled families. Rows with an error keep null metrics: a failed call is no answer."""
+    """Applies the enabled families. Rows with an error keep null metrics: a failed call is no answer. A family that cannot be applied, as a
+    column it needs is missing, is left out with a warning, and the others still are."""
     unknown = set(enabled) - set(FAMILIES)
     if unknown:
         raise ValueError(f"unknown metric families: {sorted(unknown)}")
     for name in FAMILIES:
         if name in enabled:
             before = set(df.columns)
-            df = FAMILIES[name](df)
+            try:
+                df = FAMILIES[name](df)
+            except AnalysisException as error:
+                warnings.warn(f"metrics of the family {name} are left out: {error}", stacklevel=2)
+                continue
             if "error" in df.columns:
                 df = df.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in df.columns if c not in before})
     return df

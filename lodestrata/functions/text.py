@@ -87,8 +87,8 @@ def ellipsis(c: Column, n: int = 500) -> Column:
 
 
 def truthy_or(a: Column, b: Column) -> Column:
-    """``a`` unless it is null or empty."""
-    return F.coalesce(F.nullif(a, F.lit("")), b)
+    """``a`` unless it is null, empty, or the text of zero or false."""
+    return F.when(a.cast("string").isNull() | a.cast("string").isin("", "0", "0.0", "false"), b).otherwise(a)
 
 
 def chunking_type(c: Column) -> Column:
@@ -107,7 +107,20 @@ def short_threshold(c: Column) -> Column:
 
 
 def short_chunking(c: Column) -> Column:
-    return F.when(c == "fixedsize", "fs").when(c == "recursive", "rec").when(c == "semantic", "sem").otherwise(c)
+    """fs, rec or sem by a part of the name; other names in lower case."""
+    low = F.lower(c.cast("string"))
+    return F.when(low.contains("fixed"), "fs").when(low.contains("rec"), "rec").when(low.contains("sem"), "sem").otherwise(low)
+
+
+#: Part of a model's name, and its short label.
+MODELS = {"mistral": "mis7b", "gpt-4o-mini": "g4o-mini", "qwen": "qwen", "llama": "llama"}
+
+
+def short_model(c: Column) -> Column:
+    low, out = F.lower(c.cast("string")), c.cast("string")
+    for part, label in reversed(MODELS.items()):
+        out = F.when(low.contains(part), label).otherwise(out)
+    return out
 
 
 def number_or_inf(c: Column) -> Column:

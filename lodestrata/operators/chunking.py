@@ -75,15 +75,16 @@ def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, .
 
 
 def recursive(docs: DataFrame, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = RECURSIVE_SEPARATORS, *, seq: str = "doc_seq", text: str = "text") -> DataFrame:
-    """The depth of the recursion depends on the data, so this runs in Python on Arrow batches. Blank chunks are dropped."""
+    """The depth of the recursion depends on the data, so this runs in Python on Arrow batches. Blank chunks are dropped, the others stripped; ``chunk_size`` is
+    the length before that."""
     check_sizes(size, overlap)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<text:string,size:int>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [c for c in split_recursive(t, size, overlap, separators) if c.strip()] if t else [])
+        return texts.map(lambda t: [{"text": c.strip(), "size": len(c)} for c in split_recursive(t, size, overlap, separators) if c.strip()] if t else [])
 
-    rows = docs.select(F.col(seq).alias("doc_seq"), F.posexplode(cut(F.col(text))).alias("chunk_seq", "text"))
-    return rows.withColumn("chunk_size", F.length("text"))
+    rows = docs.select(F.col(seq).alias("doc_seq"), F.posexplode(cut(F.col(text))).alias("chunk_seq", "c"))
+    return rows.select("doc_seq", "chunk_seq", "c.text", F.col("c.size").alias("chunk_size"))
 
 
 def with_global_ids(chunks: DataFrame, prefix: str = "chunk_") -> DataFrame:

@@ -7,28 +7,52 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.operators.chunking import with_global_ids
+from lodestrata.operators.generate import Model, generate
+from lodestrata.sources.tables import materialise
+
+#: Places of the source that are followed in one task.
+RANGE = 10_000
+QUESTION_TYPES = ("rights", "obligations", "purpose", "scope", "definition", "principles", "general")
+DIFFICULTIES = ("easy", "medium", "hard")
+#: What a model that writes questions must answer with.
+QUESTION = "question string, question_type string, difficulty string, is_answerable boolean, reasoning string"
+QUESTION_SCHEMA = {
+    "type": "object",
+    "properties": {"question": {"type": "string"}, "question_type": {"type": "string", "enum": list(QUESTION_TYPES)}, "difficulty": {"type": "string", "enum": list(DIFFICULTIES)}, "is_answerable": {"type": "boolean"}, "reasoning": {"type": "string"}},
+    "required": ["question", "question_type", "difficulty", "is_answerable", "reasoning"],
+    "additionalProperties": False,
+}
 
 
 def prefixed(entries: DataFrame) -> DataFrame:
     """Non-empty rows with the label that a change of article, sub-paragraph or paragraph puts before the text.
 
-    The state is the row before, in the order of the source, over the whole corpus, not of a group. The window has no key, so the
-    narrow columns of the corpus pass one task; texts are joined back.
+    The state is the row before, in the order of the source, over the whole corpus, not of a group. Rows are followed in ranges of ``RANGE`` places;
+    a range begins with the last row of the one before it, of which there is one for each range.
     """
-    rows = entries.withColumn("text", T.first_paragraph(F.col("text"))).where("text <> ''")
-    order = Window.orderBy("doc_seq")
-    before = lambda c: F.lag(c, 1, 0).over(order)
-    state = rows.select("doc_seq", "artikel_nr", "artikel_name", "absatz_nr", "unterabsatz_nr", before("artikel_nr").alias("a0"), before("absatz_nr").alias("p0"), before("unterabsatz_nr").alias("u0"))
+    rows = entries.withColumn("text", T.first_paragraph(F.col("text"))).where("text <> ''").withColumn("range", F.floor(F.col("doc_seq") / RANGE))
+    kept = F.struct("artikel_nr", "absatz_nr", "unterabsatz_nr")
+    lasts = rows.groupBy("range").agg(F.max_by(kept, "doc_seq").alias("last"))
+    carried = lasts.select("range", F.lag("last").over(Window.orderBy("range")).alias("carried"))  # one row for each range
+    rows = rows.join(carried, "range", "left")
+    order = Window.partitionBy("range").orderBy("doc_seq")
+    before = F.coalesce(F.lag(kept).over(order), F.col("carried"))
+    state = rows.select("doc_seq", "artikel_nr", "artikel_name", "absatz_nr", "unterabsatz_nr", before.alias("before"))
+    part = lambda c: F.coalesce(F.col(f"before.{c}"), F.lit(0))
+    state = state.withColumns({"a0": part("artikel_nr"), "p0": part("absatz_nr"), "u0": part("unterabsatz_nr")})
     fresh = F.col("artikel_nr") > F.col("a0")
     last_u, last_p = F.when(fresh, 0).otherwise(F.col("u0")), F.when(fresh, 0).otherwise(F.col("p0"))
     head = F.when(fresh, F.concat(F.lit("Art. "), F.col("artikel_nr").cast("string"), F.lit(" "), F.col("artikel_name"), F.lit(":\n\n"))).otherwise("")
     mark = F.when(F.col("unterabsatz_nr") > last_u, F.concat(F.lit("("), F.char(96 + F.col("unterabsatz_nr")), F.lit(") "))).when(F.col("absatz_nr") > last_p, F.concat(F.lit("Abs. "), F.col("absatz_nr").cast("string"), F.lit(" "))).otherwise("")
     labels = state.select("doc_seq", F.concat(head, mark).alias("label"))
-    return rows.join(labels, "doc_seq").withColumn("text", F.concat("label", "text"))
+    return rows.drop("range", "carried").join(labels, "doc_seq").withColumn("text", F.concat("label", "text"))
 
 
 def by_article(entries: DataFrame, compat: bool = False) -> DataFrame:
@@ -52,8 +76,6 @@ def template_questions(entries: DataFrame, law: str = "DSGVO") -> DataFrame:
         F.array(F.concat(F.lit(f"Was sind die wichtigsten Anforderungen in {law} Kapitel "), chapter, F.lit("?"))),
     )
     rows = entries.select("doc_seq", F.col("id").alias("document_id"), F.col("text").alias("ground_truth"), F.posexplode(asked).alias("place", "question"))
-    from lodestrata.operators.chunking import with_global_ids
-
     numbered = with_global_ids(rows.withColumnRenamed("place", "chunk_seq")).withColumnRenamed("chunk_no", "qa_seq")
     return numbered.select("qa_seq", F.concat("document_id", F.lit("_qa_"), F.col("qa_seq").cast("string")).alias("id"), "question", "ground_truth", "document_id", "doc_seq")
 
@@ -71,6 +93,32 @@ def answerable(entries: DataFrame, limit: int | None = None) -> DataFrame:
     return rows if limit is None else rows.orderBy("doc_seq").limit(limit)
 
 
+def question_prompt(law: str = "DSGVO") -> Column:
+    """Prompt over an entry and its article's context."""
+    parts = ("Write one natural, specific question that the sentence below answers. ", F.lit(f"It stands in {law} article "), F.col("artikel_nr").cast("string"), " (", F.col("artikel_name"), ').\n\nSentence: "', F.col("text"), '"\n\nArticle: "', F.col("article_context"), '"\n\nThe question must be about this sentence, not the article as a whole. ')
+    kinds = f"Name its type ({', '.join(QUESTION_TYPES)}) and difficulty ({', '.join(DIFFICULTIES)}), and say whether the sentence alone answers it. Answer in JSON."
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts), F.lit(kinds))
+
+
+def model_questions(entries: DataFrame, make: Callable[[], Model], law: str = "DSGVO", limit: int | None = None) -> DataFrame:
+    """Questions that a model writes on entries, with their ids; one for each answerable entry. Replies that are no JSON of the
+    stated shape, failed calls, and questions that the model itself calls unanswerable are left out."""
+    rows = answerable(article_context(entries), limit).withColumn("reply", generate(question_prompt(law), make))
+    rows = rows.withColumn("q", F.from_json("reply.answer", QUESTION)).where("q.is_answerable and trim(q.question) <> ''")
+    rows = rows.where(F.col("q.question_type").isin(*QUESTION_TYPES) & F.col("q.difficulty").isin(*DIFFICULTIES))
+    # model calls are not repeatable: the replies are written before anything reads them twice
+    rows = materialise(entries.sparkSession, rows.withColumn("chunk_seq", F.lit(0)), "questions")
+    rows = with_global_ids(rows).withColumnRenamed("chunk_no", "qa_seq")
+    return rows.select("qa_seq", F.concat(F.lit(f"{law.lower()}_llm_"), F.col("qa_seq").cast("string")).alias("id"), "q.question", F.col("text").alias("ground_truth"), F.col("id").alias("document_id"), "q.question_type", "q.difficulty", "q.reasoning", "article_context", "artikel_nr", "doc_seq")
+
+
+def checked_questions(qa: DataFrame, make: Callable[[], Model], compat: bool = False) -> DataFrame:
+    """The pairs that a model calls VALID; a failed call accepts the pair. ``compat``: INVALID counts as well, as it holds the word."""
+    prompt = F.concat(F.lit('Does the answer fit the question, wholly and from the context?\n\nQuestion: "'), "question", F.lit('"\nAnswer: "'), "ground_truth", F.lit('"\nContext: "'), F.coalesce("article_context", F.lit("")), F.lit('"\n\nReply VALID or INVALID, and why.'))
+    rows = qa.withColumn("reply", generate(prompt, make)).withColumn("verdict", F.when(F.col("reply.error").isNotNull(), "VALID").otherwise(F.col("reply.answer"))).drop("reply")
+    return (rows.where(F.upper("verdict").contains("VALID")) if compat else validated(rows)).drop("verdict")
+
+
 def validated(rows: DataFrame, verdict: str = "verdict") -> DataFrame:
     """Rows whose verdict says VALID as a word of its own; INVALID does not."""
     return rows.where(F.col(verdict).rlike(r"(?i)\bVALID\b"))
@@ -79,9 +127,10 @@ def validated(rows: DataFrame, verdict: str = "verdict") -> DataFrame:
 def seeded_sample(qa: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """The pairs that random.Random(seed).sample picks, with their place; all, in order, if there are no more than k."""
     n = qa.count()
-    chosen = list(range(n)) if k >= n else random.Random(seed).sample(range(n), k)
-    places = qa.sparkSession.createDataFrame(list(enumerate(chosen)), "place long, qa_seq long")
-    return qa.join(F.broadcast(places), "qa_seq") if k <= 1_000_000 else qa.join(places, "qa_seq")
+    if k >= n:
+        return qa.withColumn("place", F.col("qa_seq"))
+    places = qa.sparkSession.createDataFrame(list(enumerate(random.Random(seed).sample(range(n), k))), "place long, qa_seq long")  # the stated k pairs
+    return qa.join(F.broadcast(places) if k <= 1_000_000 else places, "qa_seq")
 
 
 def subset(qa: DataFrame, n: int = 50, seed: int | None = None) -> DataFrame:
@@ -89,11 +138,16 @@ def subset(qa: DataFrame, n: int = 50, seed: int | None = None) -> DataFrame:
 
 
 def dataset_summary(qa: DataFrame) -> DataFrame:
-    """One row over pairs (question_type, difficulty, artikel_nr, ground_truth, article_context)."""
-    return qa.agg(
+    """One row over pairs (artikel_nr, ground_truth, article_context, and question_type and difficulty if they have them, as counts)."""
+    found = qa.agg(
         F.count("*").alias("total_qa_pairs"), F.count_distinct("artikel_nr").alias("articles_covered"), F.sort_array(F.collect_set("artikel_nr")).alias("articles_list"),
         F.avg(F.length("ground_truth")).alias("avg_answer_length"), T.ratio(F.count_if(F.coalesce("article_context", F.lit("")) != ""), F.count("*")).alias("context_coverage"),
     )
+    for column, name in (("question_type", "question_types"), ("difficulty", "difficulties")):
+        if column in qa.columns:
+            counts = qa.groupBy(F.coalesce(column, F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"))
+            found = found.crossJoin(counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)))  # one row each, an entry for each kind
+    return found
 
 
 def carried_context(events: DataFrame) -> DataFrame:

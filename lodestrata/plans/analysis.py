@@ -49,9 +49,12 @@ def grouped(df: DataFrame, by: Iterable[str], metrics: Iterable[str] = METRICS)
 
 
 def all_groupings(df: DataFrame, groupings: Iterable[tuple[str, ...]], metrics: Iterable[str], digits: int = 3) -> DataFrame:
-    """Every grouping in one pass; grouping_id tells them apart, with one bit for each key left out."""
-    sets = [present(df, g) for g in groupings]
+    """Every grouping in one pass; grouping_id tells them apart, with one bit for each key left out. A grouping keeps the columns that exist; one that
+    is left without any is skipped, and so is one that equals an earlier one. Without a grouping or a metric there are no rows."""
+    sets = list(dict.fromkeys(tuple(s) for g in groupings if (s := present(df, g))))
     keys = sorted({c for s in sets for c in s})
+    if not sets or not present(df, metrics):
+        return df.limit(0).select(*(F.col(k) for k in keys), F.lit(0).cast("long").alias("grouping_id"), *(F.col(m) for m in present(df, metrics)))
     return df.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(F.grouping_id().alias("grouping_id"), *statistics(present(df, metrics), digits))
 
 
@@ -61,7 +64,7 @@ def heatmap(df: DataFrame, rows: str, columns: str, metric: str, values: list |
 
 def combination(df: DataFrame) -> Column:
     """Short label of a run: chunking, size, k, threshold, model, for the columns that exist."""
-    own = {"chunking_type": lambda c: T.short_chunking(c), "chunk_size": lambda c: c.cast("string"), "top_k": lambda c: F.concat(F.lit("k"), c.cast("string")), "similarity_threshold": T.short_threshold, "llm_model": lambda c: c.cast("string")}
+    own = {"chunking_type": lambda c: T.short_chunking(c), "chunk_size": lambda c: c.cast("string"), "top_k": lambda c: F.concat(F.lit("k"), c.cast("string")), "similarity_threshold": T.short_threshold, "llm_model": T.short_model}
     return F.concat_ws("-", *(f(F.col(c)) for c, f in own.items() if c in df.columns))
 
 
@@ -75,8 +78,9 @@ def n_best(df: DataFrame, metric: str, n: int = 3, smallest: bool = False, seq:
 
 
 def best_by(df: DataFrame, metrics: Iterable[str], name: str = "name", seq: str = "seq") -> DataFrame:
-    """For each metric the best row's name, the first of equals; for times, the least."""
-    pick = [(F.min_by(name, F.struct(m, seq)) if "time" in m else F.max_by(name, F.struct(F.col(m), -F.col(seq)))).alias(m) for m in metrics]
+    """For each metric the best row's name, the first of equals; for times, the least. Rows without a value, or with NaN, do not compete."""
+    known = lambda m, place: F.when(F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")), F.struct(F.col(m), place))
+    pick = [(F.min_by(name, known(m, F.col(seq))) if "time" in m else F.max_by(name, known(m, -F.col(seq)))).alias(m) for m in metrics]
     return df.agg(*pick)
 
 

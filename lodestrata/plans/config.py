@@ -73,12 +73,21 @@ class Experiment:
         return replace(self, **changes)
 
 
+#: Names of the metric families in settings files.
+FAMILY_NAMES = {"precision-recall": "overlap", "ragas": "grounding"}
+
+
 def from_dict(raw: dict, name: str = "baseline") -> Experiment:
     """From the nested mapping of a settings file. Unknown types and sizes that cannot work raise."""
     model = lambda d, kind: Model(d.get("type", kind), d.get("model") or d.get("model_name") or "unknown", d.get("temperature", 0.1), d.get("max_tokens", 1000), d.get("abbr"))
     pick = lambda cls, d: cls(**{k: v for k, v in d.items() if k in cls.__dataclass_fields__})
     pipeline, dataset = raw.get("pipeline", {}), raw.get("dataset", {})
-    return Experiment(name, model(raw.get("llm", {}), "openai"), model(raw.get("embedding", {}), "openai"), pick(Chunking, raw.get("chunking", {})), pick(Retrieval, raw.get("retrieval", {})), grouping=dataset.get("grouping", {}).get("enabled", False), subset=dataset.get("evaluation_subset_size"), include_context=pipeline.get("include_context", True), max_context_length=pipeline.get("max_context_length", 4000))
+    named = raw.get("evaluation", {}).get("enabled_metrics")
+    return Experiment(
+        name, model(raw.get("llm", {}), "openai"), model(raw.get("embedding", {}), "openai"), pick(Chunking, raw.get("chunking", {})), pick(Retrieval, raw.get("retrieval", {})),
+        **({} if named is None else {"metrics": tuple(FAMILY_NAMES.get(n, n) for n in named)}),
+        grouping=dataset.get("grouping", {}).get("enabled", False), subset=dataset.get("evaluation_subset_size"), include_context=pipeline.get("include_context", True), max_context_length=pipeline.get("max_context_length", 4000),
+    )
 
 
 def load(path: str) -> Experiment:

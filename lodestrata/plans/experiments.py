@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from lodestrata.functions import metrics as M
 from lodestrata.functions import vectors as V
 from lodestrata.operators import chunking, generate, prepare
+from lodestrata.operators.models import embed
 from lodestrata.plans.config import Experiment
 from lodestrata.plans.summary import context_diagnostics, summarise
+from lodestrata.sources import sinks
+from lodestrata.sources.tables import materialise
 
 
 def chunk_documents(docs: DataFrame, e: Experiment) -> DataFrame:
@@ -23,34 +26,63 @@ def chunk_documents(docs: DataFrame, e: Experiment) -> DataFrame:
     return chunking.chunker(c.type)(docs, c.chunk_size, c.chunk_overlap)
 
 
-def evaluate(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None) -> DataFrame:
-    """Evaluated rows of one experiment, all questions in one plan. docs (doc_seq, text), qa (qa_seq, question, ground_truth)."""
-    asked = prepare.seeded_sample(qa, e.subset) if e.subset else qa
-    chunks = generate.index(docs, lambda d: chunk_documents(d, e))
-    questions = asked.select(F.col("qa_seq").alias("q_id"), "question", V.hashing_embedding(F.col("question")).alias("q_vec"))
-    answers = generate.answer(questions, chunks, k=e.retrieval.k, threshold=e.retrieval.similarity_threshold, budget=e.max_context_length, make=make)
-    rows = answers.join(asked.select(F.col("qa_seq").alias("q_id"), F.col("ground_truth").alias("expected")), "q_id")
-    return M.evaluate(rows.withColumn("query_time", F.col("seconds")), list(e.metrics))
+def indexed(docs: DataFrame, e: Experiment, embedder=None, cache=None) -> DataFrame:
+    """The index of an experiment; with a cache it is shared by all that chunk and embed alike."""
+    c = e.chunking
+    return generate.index(docs, lambda d: chunk_documents(d, e), embedder=embedder, cache=cache, config={**c.__dict__})
 
 
-def run(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None) -> DataFrame:
-    """One summary row, with the experiment's name, status and wall time."""
+def evaluate(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None, *, embedder=None, cache=None) -> DataFrame:
+    """Evaluated rows of one experiment, all questions in one plan, written once. docs (doc_seq, text), qa (qa_seq, question, ground_truth).
+    ``make`` gives the language model, ``embedder`` is the embedding model of chunks and questions; without them the offline stand-ins answer."""
+    asked = prepare.seeded_sample(qa, e.subset) if e.subset else qa
+    chunks = indexed(docs, e, embedder, cache)
+    vector = V.hashing_embedding(F.col("question")) if embedder is None else embed(F.col("question"), embedder)
+    questions = asked.select(F.col("qa_seq").alias("q_id"), "question", vector.alias("q_vec"))
+    answers = generate.answer(questions, chunks, k=e.retrieval.k, threshold=e.retrieval.similarity_threshold, budget=e.max_context_length, make=make, method=e.retrieval.type)
+    rows = answers.join(asked.select(F.col("qa_seq").alias("q_id"), F.col("ground_truth").alias("expected")), "q_id")
+    return materialise(docs.sparkSession, M.evaluate(rows.withColumn("query_time", F.col("seconds")), list(e.metrics)), "evaluated")
+
+
+def pipeline_info(docs: DataFrame, e: Experiment, llm=None, embedder=None, chunks: DataFrame | None = None) -> dict:
+    """What an experiment runs: models, chunking, retrieval, limits, and the documents it was given."""
+    c, r = e.chunking, e.retrieval
+    grouped = F.coalesce(F.bool_or("grouped"), F.lit(False)) if "grouped" in docs.columns else F.lit(False)
+    seen = docs.agg(F.count("*").alias("n"), grouped.alias("grouped")).first()
+    return {
+        "llm": llm.info() if llm is not None else {"name": "extractive", "provider": "offline", "model": e.llm.model},
+        "embedding": embedder.info() if embedder is not None else {"name": "hashing", "provider": "offline", "model": e.embedding.model},
+        "chunking": {"name": f"{c.type}chunking", "strategy": "variable" if c.type == "semantic" else str(c.chunk_size), "chunk_size": None if c.type == "semantic" else str(c.chunk_size), "chunk_overlap": None if c.type == "semantic" else c.chunk_overlap, "separator": c.separator},
+        "retrieval": {"name": r.type, "top_k": r.k, "similarity_threshold": r.similarity_threshold, "chunks_indexed": chunks.count() if chunks is not None else None},
+        "pipeline": {"max_context_length": e.max_context_length, "include_context": e.include_context},
+        "is_indexed": chunks is not None,
+        "dataset": {"documents_processed": seen["n"], "grouping_applied": seen["grouped"]},
+    }
+
+
+def run(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None, *, llm=None, embedder=None, cache=None, folder: str | None = None) -> DataFrame:
+    """One summary row, with the experiment's name, status and wall time. With a ``folder``, details and the nested summary are written there."""
     began = time.monotonic()
-    rows = evaluate(docs, qa, e, make)
-    one = summarise(rows).crossJoin(context_diagnostics(rows))  # one row each
-    found = one.first().asDict()
     spark = docs.sparkSession
+    rows = evaluate(docs, qa, e, make or (None if llm is None else lambda: llm), embedder=embedder, cache=cache)
+    flat, diagnostics = summarise(rows).first().asDict(), context_diagnostics(rows).first().asDict()
     took = time.monotonic() - began
+    if folder:
+        info = {k: v for k, v in M.evaluation_info(list(e.metrics)).items() if k != "metrics"}
+        nested = {**flat, "pipeline_info": pipeline_info(docs, e, llm, embedder, indexed(docs, e, embedder, cache) if cache else None), "context_optimization": diagnostics, "evaluation_info": info, "total_evaluation_time": took, "random_seed": 42}
+        sinks.write_results(rows, nested, folder, e.name)
+    found = {**flat, **diagnostics}
     return spark.createDataFrame([(e.name, "SUCCESS", took, *found.values())], ["name", "status", "total_evaluation_time", *found])
 
 
-def compare(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], make: Callable | None = None) -> DataFrame:
+def compare(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], make: Callable | None = None, clients: Callable[[Experiment], tuple] | None = None) -> DataFrame:
     """Summaries of all experiments by name; one that fails becomes a row with its error and does not stop the others."""
     spark = docs.sparkSession
     out = None
     for k, e in enumerate(experiments):
         try:
-            row = run(docs, qa, e, make)
+            llm, embedder = clients(e) if clients else (None, None)
+            row = run(docs, qa, e, make, llm=llm, embedder=embedder)
         except Exception as error:  # noqa: BLE001 - isolation is the feature
             row = spark.createDataFrame([(e.name, "FAILED", str(error)[:500])], ["name", "status", "error"])
         row = row.withColumn("seq", F.lit(k))
@@ -58,6 +90,23 @@ def compare(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], m
     return out
 
 
+def run_missing(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], folder: str, **given) -> list[str]:
+    """Runs the experiments of a grid whose summary is not in ``folder`` yet, one index for all that chunk alike; returns the names of those that ran.
+    One that fails does not stop the others."""
+    spark = docs.sparkSession
+    done = sinks.names_in(spark, folder)
+    cache = sinks.TableCache(spark, f"{folder}/cache")
+    ran = []
+    for e in experiments:
+        if not any(x.startswith(f"{e.name}_evaluation_summary_") for x in done):
+            try:
+                run(docs, qa, e, folder=folder, cache=cache, **given)
+                ran.append(e.name)
+            except Exception as error:  # noqa: BLE001 - isolation is the feature
+                sinks.put_text(spark, f"{folder}/{e.name}_failed.txt", str(error))
+    return ran
+
+
 def overlap_of(size: int, share: float = 0.15) -> int:
     return max(0, min(size - 1, round(size * share)))
 

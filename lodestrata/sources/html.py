@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import re
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.sources.tables import materialise
 
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
@@ -152,9 +154,10 @@ def article_entries(html: str | None) -> list[tuple[int, str, int, int, int, str
 
 
 def overview_events(html: str | None) -> list[tuple[int, str, int, str]]:
-    """(pos, kind, number, name or link) of an overview page, in document order."""
+    """(pos, kind, number, name or link) of the contents list of an overview page, in document order; nothing without such a list."""
     out = []
-    for pos, div in enumerate(parse(html).all("div")):
+    lists = [x for x in parse(html).all("div") if x.has_class("liste-inhaltsuebersicht") and x.has_class("dsgvo")]
+    for pos, div in enumerate(lists[0].all("div") if lists else []):
         kind = next((k for c, k in (("kapitel", "chapter"), ("abschnitt", "section"), ("artikel", "article")) if div.has_class(c)), None)
         if kind == "article":
             link = next((a.attrs["href"] for a in div.all("a") if a.attrs.get("href")), None)
@@ -168,6 +171,30 @@ def overview_events(html: str | None) -> list[tuple[int, str, int, str]]:
     return out
 
 
+def article_urls(html: str | None) -> list[tuple[str]]:
+    """Links of the articles of an overview page."""
+    return [(link,) for _, kind, _, link in overview_events(html) if kind == "article"]
+
+
+def act_elements(html: str | None) -> list[tuple[int, str, str]]:
+    """(pos, tag, text) of the headings and paragraphs of an act's page that its walk visits: those that stand in the content area, or in div and article
+    elements nested in it, in document order."""
+    tree = parse(html)
+    divs = tree.all("div")
+    roots = [x for x in divs if x.has_class("content")] or [x for x in divs if x.attrs.get("id") == "content"] or tree.all("main") or tree.all("body") or [tree]
+    out: list[tuple[int, str, str]] = []
+
+    def walk(node: Node) -> None:
+        for x in node.all("h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "article", deep=False):
+            if x.tag in ("div", "article"):
+                walk(x)
+            elif x.text().strip():
+                out.append((len(out), x.tag, x.text().strip()))
+
+    walk(roots[0])
+    return out
+
+
 def elements(html: str | None) -> list[tuple[int, str, str]]:
     """(pos, tag, text) of headings, paragraphs and list items, in document order, blanks dropped."""
     found = parse(html).all("h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
@@ -192,31 +219,60 @@ def parse_pages(pages: DataFrame, parser: Callable[[str | None], list[tuple]], c
 
 
 def act_rows(parts: DataFrame) -> DataFrame:
-    """Structural walk of the act: elements (doc_seq, pos, tag, text) to text rows with section, subsection and article carried forward.
+    """Structural walk of the act: elements (doc_seq, pos, tag, text) to paragraphs with section, subsection and article carried forward.
 
-    A heading of a section resets the subsection. An article is set by its header, or by 'Artikel n' inside a text; its title changes only when
-    the article does, so equal articles in a row form an island and the island's first title counts.
+    Headings set the article, else the section (which empties the subsection), else the subsection. A paragraph of more than ten characters
+    may switch them too: 'Artikel n' the article and, only if it is another one, its title; 'KAPITEL n', or a text with KAPITEL and no number, the section, and only
+    if it is another one that empties the subsection; 'ABSCHNITT n' the subsection. What is not known is 'Unknown'.
     """
-    order = Window.partitionBy("doc_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.col("tag").rlike("^h[1-6]$")
-    text = F.col("text")
-    section = F.when(heading & T.is_section_header(text), text)
-    subsection = F.when(heading & T.is_section_header(text), F.lit("")).when(heading & T.is_subsection_header(text), text)
-    inline = F.nullif(F.regexp_extract(text, r"(?i)\bartikel\s+(\d+)", 1), F.lit(""))
-    number = F.coalesce(F.when(heading, T.article_number(text)), F.when(~heading, inline))
-    title = F.when(heading, T.article_title(text)).otherwise("")
-    named = F.when(number.isNotNull(), F.struct(number.alias("number"), title.alias("title")))
-    rows = parts.withColumns({"section": F.coalesce(F.last(section, True).over(order), F.lit("Unknown")), "subsection": F.coalesce(F.nullif(F.last(subsection, True).over(order), F.lit("")), F.lit("Unknown")), "a": F.last(named, True).over(order)})
-    rows = rows.withColumn("article_number", F.coalesce("a.number", F.lit("Unknown")))
-    switched = (F.lag("article_number").over(Window.partitionBy("doc_seq").orderBy("pos")).eqNullSafe(F.col("article_number"))).cast("int")
-    rows = rows.withColumn("island", F.sum(1 - switched).over(order))
-    inside = Window.partitionBy("doc_seq", "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("article_title", F.coalesce(F.first("a.title").over(inside), F.lit("Unknown")))
-    kept = rows.where(~heading & (F.length("text") > 10) & ~T.any_of(text, T.NAVIGATION_ACT))
-    return kept.select("doc_seq", "pos", "section", "subsection", "article_number", "article_title", T.paragraph_number(text).alias("paragraph_number"), T.letter_number(text).alias("subparagraph_number"), "text")
-
-
-def fetch(urls: DataFrame, get: Callable[[str], str], *, tries: int = 3, pause: float = 1.0, column: str = "url") -> DataFrame:
+    steps = Window.partitionBy("doc_seq").orderBy("pos")
+    order = steps.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, True).over(order)
+    text, heading = F.col("text"), F.col("tag").rlike("^h[1-6]$")
+    body = ~heading & (F.length(text) > 10)
+    found = lambda pattern, group=1: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    article = heading & T.is_article_header(text)
+    section = heading & ~T.is_article_header(text) & T.is_section_header(text)
+    subsection = heading & ~T.is_article_header(text) & ~T.is_section_header(text) & T.is_subsection_header(text)
+    # number and title of an article header that has none of the stated shapes stay as they were
+    number = F.when(article, T.article_number(text)).when(body, found(r"(?i)Artikel\s+(\d+)"))
+    chapter = found(r"(?i)KAPITEL\s+(\d+)")
+    named = F.when(section, text).when(body & text.contains("KAPITEL") & ~text.rlike(r"KAPITEL\s+\d+"), text).when(body & chapter.isNotNull(), F.concat(F.lit("KAPITEL "), chapter))
+    part = found(r"(?i)ABSCHNITT\s+(\d+)")
+    rows = parts.withColumns({"number": number, "named": named}).withColumns({"a": last("number"), "s": last("named")})
+    rows = rows.withColumns({"a0": F.lag("a").over(steps), "s0": F.lag("s").over(steps)})
+    other = F.col("number").isNotNull() & ~F.col("a0").eqNullSafe(F.col("number"))
+    title = F.when(article & F.col("number").isNotNull(), F.coalesce(T.article_title(text), F.lit(""))).when(body & other, T.strip(F.regexp_extract(text, r"(?i)Artikel\s+\d+[:\s]+(.+)", 1)))
+    emptied = section | (body & F.col("named").isNotNull() & ~F.col("s0").eqNullSafe(F.col("named")))
+    under = F.when(subsection, text).when(body & part.isNotNull(), F.concat(F.lit("ABSCHNITT "), part)).when(emptied, F.lit(""))
+    rows = rows.withColumns({"title": title, "under": under}).withColumns({"t": last("title"), "u": last("under")})
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
+    kept = rows.where(body & ~T.any_of(text, T.NAVIGATION_ACT))
+    return kept.select("doc_seq", "pos", known("s").alias("section"), known("u").alias("subsection"), known("a").alias("article_number"), known("t").alias("article_title"), T.paragraph_number(text).alias("paragraph_number"), T.letter_number(text).alias("subparagraph_number"), "text")
+
+
+def http_get(url: str, timeout: float = 10.0) -> str:
+    """A page's text, by its stated encoding."""
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "lodestrata"}), timeout=timeout) as reply:
+        return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace")
+
+
+def crawl(spark: SparkSession, overview_url: str, get: Callable[[str], str] = http_get, *, tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """Entries of all articles of an overview page, with the chapter and section carried to each: overview, article links, article pages."""
+    from lodestrata.operators.prepare import carried_context
+
+    wait = {"tries": tries, "pause": pause}
+    overview = fetch(spark.createDataFrame([(overview_url,)], "url string"), get, **wait)
+    overview = materialise(spark, overview.select(F.lit(0).alias("page_id"), "html"), "overview")
+    events = parse_pages(overview, overview_events, "pos int, kind string, nr int, name string")
+    articles = carried_context(events).select(F.col("pos").cast("long").alias("page_id"), F.col("name").alias("url"), "kapitel_nr", "kapitel_name", "abschnitt_nr", "abschnitt_name")
+    articles = materialise(spark, articles, "articles")
+    pages = materialise(spark, fetch(articles.select("url").distinct(), get, **wait), "pages")
+    entries = parse_pages(articles.join(pages, "url"), article_entries, "artikel_nr int, artikel_name string, absatz_nr int, unterabsatz_nr int, satz_nr int, text string")
+    return articles.withColumnRenamed("page_id", "doc_seq").join(entries, "doc_seq")
+
+
+def fetch(urls: DataFrame, get: Callable[[str], str] = http_get, *, tries: int = 3, pause: float = 1.0, column: str = "url") -> DataFrame:
     """Pages by a client function, with a pause after each and a doubling wait after failures; html is null after the last try.
     The number of partitions bounds how many requests run at once."""
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 ENTRY = "id string, Kapitel_Nr int, Kapitel_Name string, Abschnitt_Nr int, Abschnitt_Name string, Artikel_nr int, Artikel_Name string, Absatz_nr int, Unterabsatz_nr int, Satz_nr int, Text string"
 ACT_ENTRY = "title string, article_number string, article_title string, section string, subsection string, paragraph_number int, subparagraph_number int, text string, url string, timestamp timestamp"
@@ -21,9 +22,17 @@ SUMMARY = (
 
 
 def numbered(df: DataFrame, name: str = "doc_seq") -> DataFrame:
-    """Rows with their place in the files. The numbers come from per-partition counts, not from one sorted task."""
-    schema = S.StructType([S.StructField(name, S.LongType(), False), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    """Rows with their place in the files. A row's number is its place in its partition, which the engine gives, plus the rows of the partitions
+    before: one count for each partition is collected. ``df`` must be a scan, whose partitions are the same each time."""
+    own = df.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33).cast("int")
+    # a column is read in both passes: a scan of none may count lines that hold no row
+    sizes = sorted((r[0], r[1]) for r in own.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.max(F.col(f"`{df.columns[0]}`").cast("string"))).collect())
+    starts, total = {}, 0
+    for k, n in sizes:
+        starts[k], total = total, total + n
+    first = F.get(F.lit([starts.get(k, 0) for k in range(max(starts, default=-1) + 1)] or [0]), part).cast("long")
+    return own.select((first + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name), *(F.col(f"`{c}`") for c in df.columns))
 
 
 def jsonl_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -36,14 +45,42 @@ def jsonl_entries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def jsonl_qa(spark: SparkSession, path: str) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def jsonl_qa(spark: SparkSession, path: str, otherwise: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """The pairs of a file; where there is none, what ``otherwise`` generates."""
+    if otherwise is not None and not exists(spark, path):
+        return otherwise()
     return numbered(spark.read.schema(QA).json(path), "qa_seq")
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table; where there is no such file, the JSON table of the same name."""
+    if not exists(spark, path):
+        return spark.read.schema(schema).json(f"{path.removesuffix('.csv')}.json")
     return spark.read.csv(path, schema=schema, header=True)
 
 
+class Dataset:
+    """Documents and question pairs of a collection: the file of pairs if there is one, else template questions on the documents."""
+
+    def __init__(self, spark: SparkSession, documents: str, pairs: str | None = None, grouping: bool = False):
+        from lodestrata.operators import prepare
+
+        self.documents = prepare.grouped_if(jsonl_entries(spark, documents), grouping)
+        make = lambda: prepare.template_questions(jsonl_entries(spark, documents))
+        self.pairs = jsonl_qa(spark, pairs, make) if pairs else make()
+
+    def get_documents(self) -> DataFrame:
+        return self.documents
+
+    def get_qa_pairs(self) -> DataFrame:
+        return self.pairs
+
+
 def run_summaries(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """All run summaries of a folder, with their file's name."""
     reader = spark.read.schema(SUMMARY).option("multiLine", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*_evaluation_summary_*.json")

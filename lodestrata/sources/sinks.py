@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import re
+import time
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.sources.readers import exists
+from lodestrata.sources.tables import remove
+
 
 def write_jsonl(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").json(path)
@@ -18,8 +23,81 @@ def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
 
 
-def append_progress(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_progress(df: DataFrame, path: str, batch: int) -> None:
+    """One batch of results into a folder of its own number: a batch that is written again replaces itself. The whole is read from ``path``."""
+    df.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def put_text(spark: SparkSession, path: str, body: str) -> None:
+    """A small text as one file, wherever Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(body.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+
+
+def put_json(spark: SparkSession, path: str, value: object) -> None:
+    put_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False, default=str))
+
+
+def stamp() -> str:
+    return time.strftime("%Y%m%d_%H%M%S")
+
+
+def write_dataset(qa: DataFrame, path: str, progress: str | None = None) -> dict:
+    """Question pairs as JSON Lines in the folder ``path``, their summary beside it as ``<path>_summary.json``; ``progress``, the folder of the batches
+    written on the way, is removed once both are there. Returns the summary."""
+    from lodestrata.operators.prepare import dataset_summary
+
+    write_jsonl(qa, path)
+    summary = dataset_summary(qa).first().asDict(True)
+    put_json(qa.sparkSession, f"{path.removesuffix('.jsonl')}_summary.json", summary)
+    if progress:
+        remove(qa.sparkSession, progress)
+    return summary
+
+
+def write_results(rows: DataFrame, summary: dict, folder: str, name: str, at: str | None = None) -> tuple[str, str]:
+    """Details of an evaluation (a folder of JSON rows) and its summary (one file), with the time in their names; returns both paths."""
+    at = at or stamp()
+    details, one = f"{folder}/{name}_evaluation_results_{at}.json", f"{folder}/{name}_evaluation_summary_{at}.json"
+    rows.write.mode("overwrite").json(details)
+    put_json(rows.sparkSession, one, summary)
+    return details, one
+
+
+def read_results(spark: SparkSession, folder: str, name: str, at: str) -> DataFrame | None:
+    """Details that ``write_results`` left, None where there are none."""
+    path = f"{folder}/{name}_evaluation_results_{at}.json"
+    return spark.read.json(path) if exists(spark, path) else None
+
+
+def write_comparison(df: DataFrame, folder: str, at: str | None = None) -> str:
+    """A comparison (seq, name, status, metrics) as JSON, CSV and a text report, which is returned."""
+    from lodestrata.plans.analysis import report
+
+    at = at or stamp()
+    df.coalesce(1).write.mode("overwrite").json(f"{folder}/comparison_results_{at}.json")
+    write_csv(df, f"{folder}/comparison_data_{at}.csv")
+    metrics = tuple(m for m in ("avg_f1", "avg_query_time", "avg_faithfulness") if m in df.columns)
+    text = report(df, metrics)
+    put_text(df.sparkSession, f"{folder}/comparison_report_{at}.txt", text)
+    return text
+
+
+def write_corpus(docs: DataFrame, path: str) -> None:
+    """The grouped corpus for reading by eye: one row of JSON for each document, in order, with its metadata nested."""
+    meta = [c for c in docs.columns if c not in ("id", "text")]
+    docs.orderBy("doc_seq").select("id", "text", F.struct(*meta).alias("metadata")).write.mode("overwrite").json(path)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
@@ -37,13 +115,30 @@ def sheet_name(name: str) -> str:
     return name[:31]
 
 
-def write_excel(tables: dict[str, DataFrame], path: str) -> None:
-    """One sheet for each table; needs a writer that pandas knows."""
+def sheet_names(names: Iterable[str]) -> list[str]:
+    """A sheet name for each, of at most 31 characters, without the signs that sheets forbid; names that would be equal are numbered."""
+    out: list[str] = []
+    for name in map(sheet_name, names):
+        number, own = 1, name
+        while own.lower() in {x.lower() for x in out}:
+            number += 1
+            own = f"{name[: 30 - len(str(number))]}~{number}"
+        out.append(own)
+    return out
+
+
+def write_excel(tables: dict[str, DataFrame], path: str, most: int = 100_000) -> None:
+    """One sheet for each table; needs a writer that pandas knows. A table of more than ``most`` rows raises."""
     import pandas as pd
 
+    frames = []
+    for df in tables.values():
+        frames.append(df.limit(most + 1).toPandas())  # bounded
+        if len(frames[-1]) > most:
+            raise ValueError(f"more than {most} rows")
     with pd.ExcelWriter(path) as book:
-        for name, df in tables.items():
-            df.toPandas().to_excel(book, sheet_name=sheet_name(name), index=False)
+        for name, frame in zip(sheet_names(tables), frames, strict=True):
+            frame.to_excel(book, sheet_name=name, index=False)
 
 
 def preview(df: DataFrame, n: int = 3) -> list[dict]:
@@ -75,14 +170,26 @@ class TableCache:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def listing(self) -> list[tuple[str, int]]:
+    def _entries(self) -> list:
         _, hadoop, fs = self._path("x", {})
         parent = hadoop.getParent()
-        return sorted((s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength()) for s in fs.listStatus(parent)) if fs.exists(parent) else []
+        return list(fs.listStatus(parent)) if fs.exists(parent) else []
+
+    def listing(self) -> list[tuple[str, int]]:
+        """(name, bytes) of everything in the folder."""
+        return [(name, size) for name, size, _ in self.info()]
+
+    def info(self) -> list[tuple[str, int, str]]:
+        """(name, bytes, file or directory) of everything in the folder."""
+        _, _, fs = self._path("x", {})
+        return sorted((s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength(), "directory" if s.isDirectory() else "file") for s in self._entries())
 
     def clear(self) -> None:
-        _, hadoop, fs = self._path("x", {})
-        fs.delete(hadoop.getParent(), True)
+        """Removes the tables that this cache has written; what else lies in the folder stays."""
+        _, _, fs = self._path("x", {})
+        for s in self._entries():
+            if s.isDirectory() and re.search(r"_[0-9a-f]{8}$", s.getPath().getName()):
+                fs.delete(s.getPath(), True)
 
 
 def fingerprint(df: DataFrame) -> str:
