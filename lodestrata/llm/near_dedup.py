@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import blocks, free_name, materialise, small_batches
@@ -293,12 +293,22 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "doc_id")
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """How many registers of two signatures are equal."""
-    equal = F.lit(0)
-    for k in range(REGISTERS):
-        equal = equal + (F.substring(a, k + 1, 1) == F.substring(b, k + 1, 1)).cast("int")
-    return equal
+def hopeful(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, equal): the pairs of documents of which enough registers are equal, in either signature, and how many are."""
+    one, two = (rows.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}"), F.col("plain").alias(f"p{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda values: np.frombuffer(b"".join(values), np.uint8).reshape(-1, REGISTERS)
+        for batch in batches:
+            sa, pa_, sb, pb = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            equal = (table(sa) == table(sb)).sum(axis=1)
+            plain = [k for k, (x, y) in enumerate(zip(pa_, pb, strict=True)) if x or y]
+            if plain:
+                equal[plain] = np.maximum(equal[plain], (table([pa_[k] or sa[k] for k in plain]) == table([pb[k] or sb[k] for k in plain])).sum(axis=1))
+            kept = pa.array(equal >= HOPEFUL * REGISTERS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal, pa.int32())], ["a", "b", "equal"]).filter(kept)
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "pa", "sb", "pb").mapInArrow(run, "a bigint, b bigint, equal int")
 
 
 def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -324,11 +334,8 @@ def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", least:
     # up to a checked number of ids goes to the texts; beyond it the texts come to the ids
     few = wanted.count() <= MAX_IDS
     sets = materialise(spark, shingled(held.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")), "shingles")
-    one, two = (rows.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}"), F.col("plain").alias(f"p{x}")) for x in "ab")
-    pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct().join(one, "a").join(two, "b")
-    plain = F.when(F.coalesce("pa", "pb").isNotNull(), agreement(F.coalesce("pa", "sa"), F.coalesce("pb", "sb"))).otherwise(0)
-    equal = F.greatest(agreement(F.col("sa"), F.col("sb")), plain)
-    best = pairs.select("a", "b", equal.alias("equal")).where(F.col("equal") >= HOPEFUL * REGISTERS).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+    pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    best = hopeful(pairs, rows).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
     links = materialise(spark, verified(best, sets, least), "verified")
     roots = components(spark, links)
     more = materialise(spark, cells(spark, members.select("bucket", "doc_id"), rows, sets, roots, least), "links")
