@@ -103,7 +103,11 @@ def question_prompt(law: str = "DSGVO") -> Column:
 def model_questions(entries: DataFrame, make: Callable[[], Model], law: str = "DSGVO", limit: int | None = None) -> DataFrame:
     """Questions that a model writes on entries, with their ids; one for each answerable entry. Replies that are no JSON of the
     stated shape, failed calls, and questions that the model itself calls unanswerable are left out."""
-    rows = answerable(article_context(entries), limit).withColumn("reply", generate(question_prompt(law), make))
+    rows = answerable(article_context(entries), limit)
+    if limit is not None:
+        # written, as otherwise every partition would call the model for so many rows
+        rows = materialise(entries.sparkSession, rows, "entries")
+    rows = rows.withColumn("reply", generate(question_prompt(law), make))
     rows = rows.withColumn("q", F.from_json("reply.answer", QUESTION)).where("q.is_answerable and trim(q.question) <> ''")
     rows = rows.where(F.col("q.question_type").isin(*QUESTION_TYPES) & F.col("q.difficulty").isin(*DIFFICULTIES))
     # model calls are not repeatable: the replies are written before anything reads them twice
