@@ -3,7 +3,7 @@
 Only documents are labelled, so the words are labelled first: a word is a toxic mark where it stands in a toxic document and is
 strongly tied to toxic documents over the training rows, itself or by one of its n-grams; if no word is, the ``FEW`` most strongly tied
 words are. A two-state chain (outside, toxic) is then trained on those labels, over all words of the training rows: each
-word's potential is the sum of its own weight and of its character n-grams' weights, and the transitions are
+word's potential is the sum of its own weight (of a word of at least ``COMMON`` training rows) and the mean of its character n-grams' weights, and the transitions are
 learned with them, by gradient ascent on forward-backward marginals. A document's score is a logistic function of the
 expected number of toxic words, its share of the words and the chance of at least one; offending spans are the words
 whose marginal is at least ``SPAN``.
@@ -38,7 +38,9 @@ WORD = re.compile(r"\w+")
 MAX_ROWS = 2_500
 MAX_CHARS = 24_000_000
 #: Characters of a word; longer runs are cut into pieces.
-PIECE = 40
+PIECE = 16
+#: Training rows that a word must stand in to have a weight of its own.
+COMMON = 3
 #: Words that count as marks if none passes.
 FEW = 20
 #: Lengths of the character n-grams inside words, and their hash buckets.
@@ -155,7 +157,7 @@ class Model:
 
     def potential(self, word: str) -> float:
         own = gram_texts(word)
-        inner = sum(map(self.grams.get, own, ZEROS)) / len(own)
+        inner = sum(map(self.grams.get, own, ZEROS)) / len(own) ** 0.5
         return math.exp(min(30.0, max(-30.0, self.bias + self.words.get(word, 0.0) + inner)))
 
 
@@ -213,8 +215,10 @@ def learn(texts: list[str], labels: np.ndarray) -> Model:
     grams = [grams[k] for k in used.tolist()]
     gram_word = np.repeat(np.arange(len(used)), [len(g) for g in grams])
     gram = np.concatenate([np.array(g) for g in grams])
-    share = 1 / np.array([len(g) for g in grams], float)
+    share = 1 / np.sqrt(np.array([len(g) for g in grams], float))
     times = np.bincount(ids, minlength=len(used)).astype(float)
+    # a word of few rows has no weight of its own: its n-grams must tell
+    common = held.sum(axis=0)[used] >= COMMON
     w, tri, bias = np.zeros(len(used)), np.zeros(BUCKETS), -3.0
     start, move = np.zeros(2), np.zeros((2, 2))
     for epoch in range(EPOCHS):
@@ -223,10 +227,10 @@ def learn(texts: list[str], labels: np.ndarray) -> Model:
         error = goal - p
         step = RATE * 4 / (1 + epoch / 20)
         by_word = np.bincount(ids, weights=error, minlength=len(used))
-        w += step * (by_word - 0.05 * w) / np.sqrt(times + 1)
+        w += common * step * (by_word - 0.05 * w) / np.sqrt(times + 1)
         by_gram = np.bincount(gram, weights=(by_word * share)[gram_word], minlength=BUCKETS)
         weight = np.bincount(gram, weights=(times * share)[gram_word], minlength=BUCKETS)
-        tri += step * 0.2 * (by_gram - 0.5 * tri) / (weight + 10)
+        tri += step * 0.5 * (by_gram - 0.02 * tri) / (weight + 2)
         bias += step * 4 * error.mean()
         before = np.concatenate([[0], p[:-1]])
         was = np.concatenate([[0], goal[:-1]])
