@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -36,6 +37,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, as the worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], max_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str | None]]]:
     """(first column, second column) of whole rows, cut into blocks of bounded text."""
     ids: list = []
@@ -51,6 +62,8 @@ def blocks(batches: Iterable[pa.RecordBatch], max_chars: int = BLOCK_CHARS) -> I
                 ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
+    del ids, texts
+    release()
 
 
 def whole_rows(batches: Iterable[pa.RecordBatch], text: str, max_chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.Table, list[str | None]]]:
@@ -71,6 +84,8 @@ def whole_rows(batches: Iterable[pa.RecordBatch], text: str, max_chars: int = BL
                 parts, texts, held = [], [], 0
     if texts:
         yield pa.Table.from_batches(parts), texts
+    del parts, texts
+    release()
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str | None]], list[bool]]], text: str = "text", max_chars: int = BLOCK_CHARS) -> DataFrame:
