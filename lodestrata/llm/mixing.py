@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 1_024
 MAX_SOURCES = 100_000
 #: Hex digits of a document's place that make its range; slots of a range of the schedule.
-DIGITS, STRETCH = 4, 65_536
+DIGITS, STRETCH = 3, 65_536
 SPACES = " \t\n\x0b\x0c\r"
 
 
