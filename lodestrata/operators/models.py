@@ -10,15 +10,16 @@ import json
 import os
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, is_dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import vectors as V
+from lodestrata.operators.calls import Calls, Record, outcomes
 
 Post = Callable[[str, dict, dict, float], dict]
 SYSTEM = "Answer from the given context. Say so if the context does not hold the answer."
@@ -182,30 +183,43 @@ def embedder(settings: dict):
 
 
 def settings_of(model) -> dict:
-    """A client's settings without its key and its transport, for tables and cache keys."""
-    return {k: v for k, v in asdict(model).items() if k not in ("api_key", "post")}
+    """What a client's answers depend on, for tables and cache keys: its kind and settings without the key and how it is called."""
+    return {"client": type(model).__name__, **{k: v for k, v in asdict(model).items() if k not in ("api_key", "post", "timeout", "batch", "device")}} if is_dataclass(model) else {"client": getattr(model, "__name__", type(model).__name__)}
 
 
-def embed(c: Column, model: Embedder, compat: bool = True) -> Column:
-    """Vectors of a text column, in the order of the rows, ``model.batch`` texts a call. A call that fails gives zero vectors for its texts (``compat``:
-    published behaviour), else it raises."""
+def embed(c: Column, model: Embedder, compat: bool = False, calls: Calls | None = None) -> Column:
+    """Vectors of a text column, in the order of the rows, ``model.batch`` texts a call; null counts as empty. A text that fails by itself raises, so no table
+    is written with a vector that is none; ``compat`` gives zero vectors instead, as published."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            rows = [t or "" for t in texts]
-            out: list = []
-            for k in range(0, len(rows), model.batch):
-                part = rows[k : k + model.batch]
-                try:
-                    found = [list(map(float, v)) for v in model(part)]
-                    if len(found) != len(part):
-                        raise ValueError(f"{len(found)} vectors for {len(part)} texts")
-                except Exception:  # noqa: BLE001 - a provider may raise anything
-                    if not compat:
-                        raise
-                    found = [[0.0] * model.dimensions for _ in part]
-                out += found
+            out = []
+            for o in outcomes(vectors_of(model), [t or "" for t in texts], model.batch, calls):
+                if o.error is not None and not compat:
+                    raise RuntimeError(f"no vector: {o.error}")
+                out.append([0.0] * model.dimensions if o.error is not None else o.value)
             yield pd.Series(out, dtype=object)
 
     return run(c)
+
+
+def vectors_of(model: Embedder) -> Callable[[list[str]], list[list[float]]]:
+    """The model with every vector as floats; a vector of another length than the model's, or with a number that is none, raises."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        found = [list(map(float, v)) for v in model(texts)]
+        for v in found:
+            if len(v) != model.dimensions or not np.isfinite(v).all():
+                raise ValueError(f"a vector of {len(v)} numbers, not {model.dimensions} finite ones")
+        return found
+
+    return call
+
+
+def embedded(rows: DataFrame, column: str, model: Embedder, record: Record, calls: Calls | None = None, name: str = "vec") -> DataFrame:
+    """``rows`` with ``name`` and ``<name>_error`` from a record of vectors: only texts that no row and no earlier run had are embedded. A text that fails has a null
+    vector and an error, and is tried again by the next run."""
+    filled = rows.withColumn("_text", F.coalesce(column, F.lit("")))
+    found = record.answer(filled, "_text", lambda: vectors_of(model), settings_of(model), name="_v", size=model.batch, calls=calls)
+    return found.withColumns({name: F.col("_v.value"), f"{name}_error": F.col("_v.error")}).drop("_v", "_text")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators.chunking import with_global_ids
-from lodestrata.operators.generate import Model, generate
+from lodestrata.operators.calls import Calls, Model, Record
+from lodestrata.operators.generate import replies
 from lodestrata.sources.tables import materialise
 
 #: Places of the source that are followed in one task.
@@ -100,14 +101,15 @@ def question_prompt(law: str = "DSGVO") -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts), F.lit(kinds))
 
 
-def model_questions(entries: DataFrame, make: Callable[[], Model], law: str = "DSGVO", limit: int | None = None) -> DataFrame:
+def model_questions(entries: DataFrame, make: Callable[[], Model], law: str = "DSGVO", limit: int | None = None, *, record: Record | None = None, settings: dict | None = None, calls: Calls | None = None) -> DataFrame:
     """Questions that a model writes on entries, with their ids; one for each answerable entry. Replies that are no JSON of the
-    stated shape, failed calls, and questions that the model itself calls unanswerable are left out."""
+    stated shape, failed calls, and questions that the model itself calls unanswerable are left out. With a ``record`` a run that was stopped goes on where it was, and
+    failed calls are made again by the next run."""
     rows = answerable(article_context(entries), limit)
     if limit is not None:
         # written, as otherwise every partition would call the model for so many rows
         rows = materialise(entries.sparkSession, rows, "entries")
-    rows = rows.withColumn("reply", generate(question_prompt(law), make))
+    rows = replies(rows, question_prompt(law), make, record, settings, calls)
     rows = rows.withColumn("q", F.from_json("reply.answer", QUESTION)).where("q.is_answerable and trim(q.question) <> ''")
     rows = rows.where(F.col("q.question_type").isin(*QUESTION_TYPES) & F.col("q.difficulty").isin(*DIFFICULTIES))
     # model calls are not repeatable: the replies are written before anything reads them twice
@@ -116,10 +118,10 @@ def model_questions(entries: DataFrame, make: Callable[[], Model], law: str = "D
     return rows.select("qa_seq", F.concat(F.lit(f"{law.lower()}_llm_"), F.col("qa_seq").cast("string")).alias("id"), "q.question", F.col("text").alias("ground_truth"), F.col("id").alias("document_id"), "q.question_type", "q.difficulty", "q.reasoning", "article_context", "artikel_nr", "doc_seq")
 
 
-def checked_questions(qa: DataFrame, make: Callable[[], Model], compat: bool = False) -> DataFrame:
-    """The pairs that a model calls VALID; a failed call accepts the pair. ``compat``: INVALID counts as well, as it holds the word."""
+def checked_questions(qa: DataFrame, make: Callable[[], Model], compat: bool = False, *, record: Record | None = None, settings: dict | None = None, calls: Calls | None = None) -> DataFrame:
+    """The pairs that a model calls VALID; a pair whose own call failed is accepted. ``compat``: INVALID counts as well, as it holds the word."""
     prompt = F.concat(F.lit('Does the answer fit the question, wholly and from the context?\n\nQuestion: "'), "question", F.lit('"\nAnswer: "'), "ground_truth", F.lit('"\nContext: "'), F.coalesce("article_context", F.lit("")), F.lit('"\n\nReply VALID or INVALID, and why.'))
-    rows = qa.withColumn("reply", generate(prompt, make)).withColumn("verdict", F.when(F.col("reply.error").isNotNull(), "VALID").otherwise(F.col("reply.answer"))).drop("reply")
+    rows = replies(qa, prompt, make, record, settings, calls).withColumn("verdict", F.when(F.col("reply.error").isNotNull(), "VALID").otherwise(F.col("reply.answer"))).drop("reply")
     return (rows.where(F.upper("verdict").contains("VALID")) if compat else validated(rows)).drop("verdict")
 
 

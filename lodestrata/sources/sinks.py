@@ -6,13 +6,14 @@ import hashlib
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources.readers import exists
-from lodestrata.sources.tables import remove
+from lodestrata.sources.tables import remove, rename_new
 
 
 def write_jsonl(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -163,11 +164,14 @@ class TableCache:
         return path, hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def get(self, name: str, config: dict, make: Callable[[], DataFrame]) -> DataFrame:
-        """The cached table, or ``make()`` written first. An empty table is a hit as well."""
-        path, hadoop, fs = self._path(name, config)
-        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hadoop, "_SUCCESS")
-        if not fs.exists(done):
-            make().write.mode("overwrite").parquet(path)
+        """The cached table, or ``make()`` written first: beside it, then renamed, so of several writers one wins whole and the others read its table. An empty table is
+        a hit as well."""
+        path, _, _ = self._path(name, config)
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            own = f"{self.folder}/_{uuid.uuid4().hex}"
+            make().write.parquet(own)
+            if not rename_new(self.spark, own, path):
+                remove(self.spark, own)
         return self.spark.read.parquet(path)
 
     def _entries(self) -> list:
@@ -193,6 +197,9 @@ class TableCache:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """Order-free digest of a table, for cache keys."""
-    row = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
-    return f"{row['n']}-{row['x']}"
+    """Order-free digest of a table, for cache keys: the number of rows and the sums of two independent hashes of them, so equal rows add up and do not cancel."""
+    whole = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    digest = F.sha2(F.concat_ws("\n", F.lit(str(df.dtypes)), whole).cast("binary"), 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)"))
+    row = df.agg(F.count("*").alias("n"), part(1).alias("a"), part(16).alias("b")).first()
+    return f"{row['n']}-{row['a'] or 0}-{row['b'] or 0}"

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,6 +30,27 @@ def remove(spark: SparkSession, path: str, later: bool = False) -> None:
     files.deleteOnExit(target) if later else files.delete(target, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder to a name that nothing has yet; False, with nothing changed, if something has."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = b.getFileSystem(conf)
+    files.mkdirs(b.getParent())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(a), files.makeQualified(b), none)
+    except Py4JJavaError as error:
+        if files.exists(b):
+            return False
+        raise error
+    return True
+
+
 def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at a file that outlives executors.
 

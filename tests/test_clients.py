@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from lodestrata import cli
 from lodestrata.operators import generate, models, prepare
+from lodestrata.operators.calls import Calls
 from lodestrata.plans import config, experiments
 from lodestrata.plans.config import Chunking, Experiment
 from lodestrata.sources import sinks
 from lodestrata.sources.readers import Dataset
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import tests
+FAST = Calls(tries=2, backoff=0.0)
 DOCS = [(0, "Die Person hat Rechte. " * 30), (1, "Der Schutz der Daten. " * 30)]
 PAIRS = [(0, "Welche Rechte hat die Person?", "Die Person hat Rechte."), (1, "Schutz der Daten?", "Der Schutz.")]
 ENTRIES = "doc_seq long, id string, text string, artikel_nr int, artikel_name string, kapitel_nr int"
@@ -59,10 +61,11 @@ def test_services(spark, monkeypatch):
 def test_embedding_service(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "bb", "fail", None, "ccc"])], "k int, t string").coalesce(1)
     model = models.EmbeddingService("e", dimensions=2, batch=2, post=post)
-    got = {r["k"]: r["v"] for r in rows.select("k", models.embed(F.col("t"), model).alias("v")).collect()}
-    assert got == {0: [1.0, 1.0], 1: [2.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [3.0, 1.0]}
+    got = {r["k"]: r["v"] for r in rows.select("k", models.embed(F.col("t"), model, compat=True).alias("v")).collect()}
+    # a text that fails has the zeros, the texts of its call have not
+    assert got == {0: [1.0, 1.0], 1: [2.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 1.0], 4: [3.0, 1.0]}
     with pytest.raises(Exception, match="no answer"):
-        rows.select(models.embed(F.col("t"), model, compat=False)).collect()
+        rows.select(models.embed(F.col("t"), model)).collect()
     assert len(models.HashingEmbedding(8)(["a b"])[0]) == 8
 
 
@@ -105,18 +108,14 @@ class Writer:
 
 def test_question_writing(spark):
     texts = ["a good long sentence", "it cannot be answered", "an odd type of it", "silent and long enough", "short", "this will fail surely", "another good sentence"]
-    entries = spark.createDataFrame([(k, f"d{k}", t, k, "n", 1) for k, t in enumerate(texts)], ENTRIES).repartition(7, "doc_seq")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        qa = prepare.model_questions(entries, Writer)
-        rows = qa.orderBy("qa_seq").collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    entries = spark.createDataFrame([(k, f"d{k}", t, k, "n", 1) for k, t in enumerate(texts)], ENTRIES).coalesce(1)
+    qa = prepare.model_questions(entries, Writer, calls=FAST)
+    rows = qa.orderBy("qa_seq").collect()
     assert [(r["id"], r["document_id"], r["question"], r["ground_truth"]) for r in rows] == [("dsgvo_llm_0", "d0", "Was?", texts[0]), ("dsgvo_llm_1", "d6", "Was?", texts[6])]
-    assert prepare.model_questions(entries, Writer, limit=2).count() == 1
-    pairs = spark.createDataFrame([(0, "q", "right", ""), (1, "q", "wrong", ""), (2, "q", "will fail", "")], "qa_seq long, question string, ground_truth string, article_context string").repartition(3, "qa_seq")
-    assert sorted(r["qa_seq"] for r in prepare.checked_questions(pairs, Writer).collect()) == [0, 2]
-    assert prepare.checked_questions(pairs, Writer, compat=True).count() == 3
+    assert prepare.model_questions(entries, Writer, limit=2, calls=FAST).count() == 1
+    pairs = spark.createDataFrame([(0, "q", "right", ""), (1, "q", "wrong", ""), (2, "q", "will fail", "")], "qa_seq long, question string, ground_truth string, article_context string").coalesce(1)
+    assert sorted(r["qa_seq"] for r in prepare.checked_questions(pairs, Writer, calls=FAST).collect()) == [0, 2]
+    assert prepare.checked_questions(pairs, Writer, compat=True, calls=FAST).count() == 3
     one = prepare.dataset_summary(qa.withColumn("difficulty", F.lit("easy"))).first()
     assert one["question_types"] == {"rights": 2} and one["difficulties"] == {"easy": 2} and one["total_qa_pairs"] == 2
 
