@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,12 @@ from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
 from lodestrata.operators import chunking, context, generate, prepare
 from lodestrata.operators import retrieval as R
+from lodestrata.operators.calls import Calls, Record
 from lodestrata.plans import analysis, experiments, summary
 from lodestrata.sources import html as H
 from lodestrata.sources.readers import entries_of_documents
+from lodestrata.sources.tables import remove, shared_dir
+from lodestrata.sources.versions import VersionedIndex
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -406,6 +410,57 @@ def _(spark, sf):
     return generate.answer(q, chunks, k=5, budget=1000).select("q_id", "question", "actual", "context", "tokens_used", "chunks_used", "truncated", "context_utilization")
 
 
+def first_sentence(prompts: list[str]) -> list[str]:
+    """Stands in for a service: the prompt's first sentence; a prompt without one is refused."""
+    for p in prompts:
+        if "." not in p:
+            raise ValueError("no sentence")
+    return [p.partition(".")[0] for p in prompts]
+
+
+@query("answers_on_record", """WITH p AS (SELECT doc_id, text, md5(text) AS k FROM documents WHERE text IS NOT NULL), late AS (SELECT k, bool_or(doc_id % 2 = 0) AS early FROM p GROUP BY k)
+    SELECT doc_id, CASE WHEN contains(text, '.') THEN string_split(text, '.')[1] END AS answer, CASE WHEN NOT contains(text, '.') THEN 'no sentence' END AS error, CASE WHEN contains(text, '.') THEN 1 WHEN early THEN 4 ELSE 2 END AS tries FROM p JOIN late USING (k)
+    UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL""")
+def _(spark, sf):
+    """Every document's text as a prompt, in two runs over one record: half of the documents, then all. What has an answer is not asked again, what failed is."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    record = Record(spark, f"{shared_dir(spark)}/tables/record-{uuid.uuid4().hex}")
+    remove(spark, record.folder, later=True)
+    calls = Calls(tries=2, backoff=0.0, per_task=2_000)
+    record.ask(rows.where("doc_id % 2 = 0"), "text", lambda: first_sentence, {"model": "first sentence"}, calls=calls)
+    found = record.answer(rows, "text", lambda: first_sentence, {"model": "first sentence"}, calls=calls)
+    return found.select("doc_id", F.col("reply.value").alias("answer"), "reply.error", "reply.tries")
+
+
+# indexes that change
+
+
+@query("versioned_index", "SELECT doc_id * 1048576 + s // 800 AS chunk_seq, 'chunk_' || doc_id || '_' || (s // 800) AS chunk_id, doc_id AS doc_seq, s // 800 AS place, substring(text, s + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 800)) AS s FROM documents)")
+def _(spark, sf):
+    """An older state of the documents (a third with other texts, a seventh missing, some since deleted) is indexed, then today's: the index is that of a fresh build."""
+    now = docs(spark, sf).select("doc_seq", "text")
+    old = now.where("doc_seq % 7 <> 0").withColumn("text", F.when(F.col("doc_seq") % 3 == 0, F.reverse("text")).otherwise(F.col("text")))
+    old = old.unionByName(now.where("doc_seq % 5 = 0").withColumn("doc_seq", -1 - F.col("doc_seq")))
+    index = VersionedIndex(spark, f"{shared_dir(spark)}/tables/index-{uuid.uuid4().hex}", lambda d: chunking.fixed_size(d, 1000, 200))
+    remove(spark, index.folder, later=True)
+    index.write(old)
+    index.write(now, whole=True)
+    return index.chunks()
+
+
+@query("index_changes", """SELECT doc_id AS doc_seq, CASE WHEN doc_id % 7 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 3 = 0 AND text <> reverse(text))
+    UNION ALL SELECT -1 - doc_id, 'removed' FROM documents WHERE doc_id % 5 = 0""")
+def _(spark, sf):
+    now = docs(spark, sf).select("doc_seq", "text")
+    old = now.where("doc_seq % 7 <> 0").withColumn("text", F.when(F.col("doc_seq") % 3 == 0, F.reverse("text")).otherwise(F.col("text")))
+    gone = now.where("doc_seq % 5 = 0").withColumn("doc_seq", -1 - F.col("doc_seq"))
+    index = VersionedIndex(spark, f"{shared_dir(spark)}/tables/index-{uuid.uuid4().hex}", lambda d: chunking.fixed_size(d, 1000, 200))
+    remove(spark, index.folder, later=True)
+    index.write(old.unionByName(gone))
+    index.write(now.where("doc_seq % 7 = 0 or doc_seq % 3 = 0"), gone.select("doc_seq"))
+    return index.changes(1, 2)
+
+
 # preparation
 
 
