@@ -17,6 +17,7 @@ from lodestrata.operators import chunking, context, generate, prepare
 from lodestrata.operators import retrieval as R
 from lodestrata.operators.calls import Calls, Record
 from lodestrata.plans import analysis, experiments, summary
+from lodestrata.plans.grid import Setting, grid_contexts
 from lodestrata.sources import html as H
 from lodestrata.sources.readers import entries_of_documents
 from lodestrata.sources.tables import remove, shared_dir
@@ -403,6 +404,30 @@ def _(spark, sf):
     return answers(spark, sf).select("conv_id", "turn", context.prompt(F.col("context"), F.col("question")).alias("prompt"))
 
 
+#: Settings of one grid: number, k, threshold, budget, as in _GRID_SETTINGS below.
+GRID_SETTINGS = [Setting(n, k, t, b) for n, (k, t, b) in enumerate(((1, 0.0, 4000), (3, 0.0, 500), (5, 0.0, 1100), (5, 0.05, 1100), (7, 0.1, 300), (7, 0.9, 4000)))]
+_GRID_SETTINGS = "g AS (SELECT * FROM (VALUES " + ", ".join(f"({s.number}, {s.k}, CAST({s.threshold} AS DOUBLE), {s.budget})" for s in GRID_SETTINGS) + ") AS x(setting, k, threshold, budget))"
+
+
+@query("grid_retrieval", f"""WITH {_GRID_SETTINGS}, q AS (SELECT item_id AS q_id, list_transform(range(1, 65), lambda i: CASE WHEN i <= 16 THEN CAST(('0x' || substr(md5(text), 2 * i - 1, 2)) AS INTEGER) / CAST(255 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS qv FROM benchmark),
+    c AS (SELECT doc_id AS chunk_seq, text, CAST(embedding AS DOUBLE[]) AS cv FROM documents JOIN embeddings ON vec_id = doc_id),
+    s AS (SELECT q_id, chunk_seq, text, round(list_cosine_similarity(qv, cv), 6) AS score FROM q, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_seq DESC) AS rank FROM s WHERE score >= 0),
+    h AS (SELECT *, length(text) // 4 AS tok FROM r JOIN g ON rank <= k AND score >= threshold),
+    u AS (SELECT *, sum(tok) OVER (PARTITION BY q_id, setting ORDER BY rank) AS upto FROM h),
+    o AS (SELECT *, coalesce(max(CASE WHEN upto > budget THEN 1 ELSE 0 END) OVER (PARTITION BY q_id, setting ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ob FROM u),
+    n AS (SELECT *, CASE WHEN ob = 1 THEN NULL WHEN upto <= budget THEN 'full' WHEN budget - (upto - tok) > 50 THEN 'cut' END AS kept FROM o),
+    a AS (SELECT q_id, setting, CAST(coalesce(sum(tok) FILTER (kept = 'full'), 0) AS BIGINT) AS tokens_used, count(kept) AS chunks_used, count(*) AS chunks_total, bool_or(ob = 0 AND upto > budget) AS truncated,
+        md5(coalesce(string_agg(CASE kept WHEN 'full' THEN text ELSE left(text, CAST((budget - (upto - tok)) * 4 AS BIGINT)) || '...' END, chr(10) || chr(10) ORDER BY rank) FILTER (kept IS NOT NULL), '')) AS context FROM n GROUP BY q_id, setting)
+    SELECT q.q_id, g.setting, tokens_used, chunks_used, chunks_total, truncated, round(tokens_used / budget, 9) AS context_utilization, coalesce(context, md5('')) AS context_md5
+    FROM q CROSS JOIN g LEFT JOIN a ON a.q_id = q.q_id AND a.setting = g.setting""")
+def _(spark, sf):
+    """Contexts of every question under every setting of a grid, from one scoring pass."""
+    chunks = docs(spark, sf).select(F.col("doc_seq").alias("chunk_seq"), "text").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_seq"), F.col("embedding").alias("vec")), "chunk_seq")
+    found = grid_contexts(R.query_vectors(asked(spark, sf), 64), chunks, GRID_SETTINGS, digits=6)
+    return found.select("q_id", "setting", "tokens_used", "chunks_used", "chunks_total", "truncated", F.round("context_utilization", 9).alias("context_utilization"), F.md5("context").alias("context_md5"))
+
+
 @query("rag_pipeline")
 def _(spark, sf):
     chunks = generate.index(docs(spark, sf), lambda d: chunking.fixed_size(d, 1500, 225))

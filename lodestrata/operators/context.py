@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 
 
-def budget(rows: DataFrame, most: int = 4000, *, question: str = "q_id", rank: str = "rank", text: str = "text") -> DataFrame:
-    """Chunks of each question that fit ``most`` tokens (a quarter of the characters), in rank order: kept whole while the running sum
+def budget(rows: DataFrame, most: int | Column = 4000, *, question: str = "q_id", rank: str = "rank", text: str = "text") -> DataFrame:
+    """Chunks of each question that fit ``most`` tokens, a number or a column of the ``question``'s key (a token is a quarter of the characters), in rank order: kept whole while the running sum
     fits; the first that does not is cut to what remains if that is over 50 tokens. Adds tokens, kept ('full' or 'cut'), part."""
     order = Window.partitionBy(question).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("tokens", T.estimated_tokens(F.col(text))).withColumn("upto", F.sum("tokens").over(order))
@@ -23,7 +23,7 @@ def budget(rows: DataFrame, most: int = 4000, *, question: str = "q_id", rank: s
     return rows.withColumn("part", F.when(F.col("kept") == "full", F.col(text)).when(F.col("kept") == "cut", F.concat(F.substr(F.col(text), F.lit(1), (left * 4).cast("int")), F.lit("..."))))
 
 
-def assemble(rows: DataFrame, most: int = 4000, *, question: str = "q_id", rank: str = "rank", text: str = "text") -> DataFrame:
+def assemble(rows: DataFrame, most: int | Column = 4000, *, question: str = "q_id", rank: str = "rank", text: str = "text") -> DataFrame:
     """One row for each question: context, chunks, tokens_used, chunks_used, chunks_total, truncated, context_utilization."""
     parts = F.array_sort(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct(F.col(rank).alias("r"), F.col("part").alias("p")))))
     return budget(rows, most, question=question, rank=rank, text=text).groupBy(question).agg(

@@ -34,14 +34,19 @@ def extractive(best_chunk: Column) -> Column:
     return F.struct(F.coalesce(best_chunk, F.lit("")).alias("answer"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, *, k: int = 5, threshold: float = 0.0, budget: int = 4000, make: Callable[[], Model] | None = None, method: str = "vector-similarity", record: Record | None = None, settings: dict | None = None, calls: Calls | None = None) -> DataFrame:
-    """All questions at once: retrieve, assemble the context, generate. questions (q_id, question, q_vec), chunks (chunk_seq, text, vec). With a ``record`` no
-    prompt is asked twice."""
-    hits = R.vector_top_k(questions, chunks, k, threshold) if method == "vector-similarity" else R.method(method)(questions, chunks, k)
+def answer(questions: DataFrame, chunks: DataFrame, *, k: int = 5, threshold: float = 0.0, budget: int = 4000, make: Callable[[], Model] | None = None, method: str = "vector-similarity", with_context: bool = True, record: Record | None = None, settings: dict | None = None, calls: Calls | None = None, **how) -> DataFrame:
+    """All questions at once: retrieve, assemble the context, generate. questions (q_id, question, q_vec), chunks (chunk_seq, text, vec). ``how`` are the weights of
+    hybrid retrieval. Without ``with_context`` the bare question is asked. With a ``record`` no prompt is asked twice."""
+    hits = R.vector_top_k(questions, chunks, k, threshold) if method == "vector-similarity" else R.method(method)(questions, chunks, k, **how)
     contexts = C.assemble(hits, budget)
     rows = questions.select("q_id", "question").join(contexts, "q_id", "left")
     rows = rows.withColumns({"context": F.coalesce("context", F.lit("")), "chunks": F.coalesce("chunks", F.array().cast("array<string>"))})
-    rows = rows.withColumn("prompt", C.prompt(F.col("context"), F.col("question")))
+    rows = rows.withColumn("prompt", C.prompt(F.col("context") if with_context else F.lit(""), F.col("question")))
+    return answered(rows, make, record, settings, calls)
+
+
+def answered(rows: DataFrame, make: Callable[[], Model] | None = None, record: Record | None = None, settings: dict | None = None, calls: Calls | None = None) -> DataFrame:
+    """Rows of (prompt, chunks) with actual, error and seconds; without a model the best chunk is the answer."""
     rows = rows.withColumn("reply", extractive(F.get("chunks", F.lit(0)))) if make is None else replies(rows, F.col("prompt"), make, record, settings, calls)
     return rows.withColumns({"actual": F.col("reply.answer"), "error": F.col("reply.error"), "seconds": F.col("reply.seconds")}).drop("reply")
 

@@ -51,6 +51,11 @@ def post_json(url: str, body: dict, headers: dict, timeout: float) -> dict:
         return json.load(reply)
 
 
+def status(url: str, timeout: float) -> int:
+    with urllib.request.urlopen(url, timeout=timeout) as reply:
+        return reply.status
+
+
 def bearer(key: str | None) -> dict:
     key = key or os.environ.get("OPENAI_API_KEY")
     return {"Authorization": f"Bearer {key}"} if key else {}
@@ -98,6 +103,13 @@ class LocalService:
         ask = lambda p: self.post(f"{self.endpoint}/api/generate", {"model": self.model, "prompt": p, "stream": False, "options": options}, {}, self.timeout)
         return [ask(p).get("response", "").strip() for p in prompts]
 
+    def reachable(self, get: Callable[[str, float], int] | None = None) -> bool:
+        """Whether the service answers; a call that it does not answer is that call's own error."""
+        try:
+            return (get or status)(f"{self.endpoint}/api/tags", 5.0) == 200
+        except OSError:
+            return False
+
     def info(self) -> dict:
         return {"name": self.model, "provider": "local", "endpoint": self.endpoint, "temperature": self.temperature, "max_tokens": self.max_tokens}
 
@@ -159,6 +171,8 @@ class HashingEmbedding:
         return {"name": "hashing", "provider": "offline", "model": "hashing", "dimensions": self.dimensions}
 
 
+#: The lengths of published models' vectors.
+DIMENSIONS = {"text-embedding-ada-002": 1536, "text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "all-MiniLM-L6-v2": 384, "all-mpnet-base-v2": 768}
 LLMS = {"openai": ChatService, "local": LocalService}
 EMBEDDERS = {"openai": EmbeddingService, "sentence-transformers": LocalEmbedding, "hashing": HashingEmbedding}
 
@@ -167,6 +181,7 @@ def made(kinds: dict, kind: str, settings: dict):
     if kind not in kinds:
         raise ValueError(f"unknown type: {kind}")
     named = {"model": settings["model_name"]} if settings.get("model_name") else {}
+    named |= {"batch": settings["batch_size"]} if settings.get("batch_size") else {}
     return kinds[kind](**{k: v for k, v in (settings | named).items() if k in kinds[kind].__dataclass_fields__ and v is not None})
 
 
@@ -179,6 +194,9 @@ def embedder(settings: dict):
     """An embedding model from its settings. On a GPU the batch is 128 unless given."""
     if settings.get("device") == "cuda":
         settings = {"batch": 128} | settings
+    name = settings.get("model_name") or settings.get("model")
+    if name in DIMENSIONS and not settings.get("dimensions"):
+        settings = settings | {"dimensions": DIMENSIONS[name]}
     return made(EMBEDDERS, settings.get("type", "openai"), settings)
 
 
@@ -205,13 +223,14 @@ def embed(c: Column, model: Embedder, compat: bool = False, calls: Calls | None
 
 
 def vectors_of(model: Embedder) -> Callable[[list[str]], list[list[float]]]:
-    """The model with every vector as floats; a vector of another length than the model's, or with a number that is none, raises."""
+    """The model with every vector as floats; a vector of another length than a known model's, or than the others of its call, or with a number that is none, raises."""
 
     def call(texts: list[str]) -> list[list[float]]:
         found = [list(map(float, v)) for v in model(texts)]
+        size = DIMENSIONS.get(getattr(model, "model", "")) or len(found[0])
         for v in found:
-            if len(v) != model.dimensions or not np.isfinite(v).all():
-                raise ValueError(f"a vector of {len(v)} numbers, not {model.dimensions} finite ones")
+            if len(v) != size or not np.isfinite(v).all():
+                raise ValueError(f"a vector of {len(v)} numbers, not {size} finite ones")
         return found
 
     return call

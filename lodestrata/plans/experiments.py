@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions import metrics as M
 from lodestrata.functions import vectors as V
 from lodestrata.operators import chunking, generate, prepare
-from lodestrata.operators.models import embed
+from lodestrata.operators.calls import Calls, Record
+from lodestrata.operators.models import embed, embedded
 from lodestrata.plans.config import Experiment
 from lodestrata.plans.summary import context_diagnostics, summarise
 from lodestrata.sources import sinks
@@ -26,20 +27,30 @@ def chunk_documents(docs: DataFrame, e: Experiment) -> DataFrame:
     return chunking.chunker(c.type)(docs, c.chunk_size, c.chunk_overlap)
 
 
-def indexed(docs: DataFrame, e: Experiment, embedder=None, cache=None) -> DataFrame:
-    """The index of an experiment; with a cache it is shared by all that chunk and embed alike."""
+def indexed(docs: DataFrame, e: Experiment, embedder=None, cache=None, vectors: Record | None = None) -> DataFrame:
+    """The index of an experiment; with a cache it is shared by all that chunk and embed alike, with a record of vectors the texts that are alike are."""
     c = e.chunking
-    return generate.index(docs, lambda d: chunk_documents(d, e), embedder=embedder, cache=cache, config={**c.__dict__})
+    return generate.index(docs, lambda d: chunk_documents(d, e), embedder=embedder, cache=cache, config={**c.__dict__}, vectors=vectors)
 
 
-def evaluate(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None, *, embedder=None, cache=None) -> DataFrame:
+def question_vectors(questions: DataFrame, embedder=None, vectors: Record | None = None) -> DataFrame:
+    """Questions with q_vec. With a record a question that cannot be embedded has a null vector, and so no similar chunk; without one that raises."""
+    if embedder is None:
+        return questions.withColumn("q_vec", V.hashing_embedding(F.col("question")))
+    if vectors is None:
+        return questions.withColumn("q_vec", embed(F.col("question"), embedder))
+    return embedded(questions, "question", embedder, vectors, name="q_vec").drop("q_vec_error")
+
+
+def evaluate(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None, *, embedder=None, cache=None, vectors: Record | None = None, record: Record | None = None, calls: Calls | None = None) -> DataFrame:
     """Evaluated rows of one experiment, all questions in one plan, written once. docs (doc_seq, text), qa (qa_seq, question, ground_truth).
     ``make`` gives the language model, ``embedder`` is the embedding model of chunks and questions; without them the offline stand-ins answer."""
     asked = prepare.seeded_sample(qa, e.subset) if e.subset else qa
-    chunks = indexed(docs, e, embedder, cache)
-    vector = V.hashing_embedding(F.col("question")) if embedder is None else embed(F.col("question"), embedder)
-    questions = asked.select(F.col("qa_seq").alias("q_id"), "question", vector.alias("q_vec"))
-    answers = generate.answer(questions, chunks, k=e.retrieval.k, threshold=e.retrieval.similarity_threshold, budget=e.max_context_length, make=make, method=e.retrieval.type)
+    chunks = indexed(docs, e, embedder, cache, vectors)
+    questions = question_vectors(asked.select(F.col("qa_seq").alias("q_id"), "question"), embedder, vectors)
+    r = e.retrieval
+    how = {} if r.type == "vector-similarity" else {"weight": r.vector_weight, "word_weight": r.keyword_weight}
+    answers = generate.answer(questions, chunks, k=r.k, threshold=r.similarity_threshold, budget=e.max_context_length, make=make, method=r.type, with_context=e.include_context, record=record, calls=calls, **how)
     rows = answers.join(asked.select(F.col("qa_seq").alias("q_id"), F.col("ground_truth").alias("expected")), "q_id")
     return materialise(docs.sparkSession, M.evaluate(rows.withColumn("query_time", F.col("seconds")), list(e.metrics)), "evaluated")
 
@@ -60,19 +71,21 @@ def pipeline_info(docs: DataFrame, e: Experiment, llm=None, embedder=None, chunk
     }
 
 
-def run(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None, *, llm=None, embedder=None, cache=None, folder: str | None = None) -> DataFrame:
+def run(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None, *, llm=None, embedder=None, cache=None, folder: str | None = None, vectors: Record | None = None, record: Record | None = None, calls: Calls | None = None) -> DataFrame:
     """One summary row, with the experiment's name, status and wall time. With a ``folder``, details and the nested summary are written there."""
     began = time.monotonic()
     spark = docs.sparkSession
-    rows = evaluate(docs, qa, e, make or (None if llm is None else lambda: llm), embedder=embedder, cache=cache)
-    flat, diagnostics = summarise(rows).first().asDict(), context_diagnostics(rows).first().asDict()
+    rows = evaluate(docs, qa, e, make or (None if llm is None else lambda: llm), embedder=embedder, cache=cache, vectors=vectors, record=record, calls=calls)
+    tables = summarise(rows), context_diagnostics(rows)
+    flat, diagnostics = (t.first().asDict() for t in tables)
     took = time.monotonic() - began
     if folder:
         info = {k: v for k, v in M.evaluation_info(list(e.metrics)).items() if k != "metrics"}
         nested = {**flat, "pipeline_info": pipeline_info(docs, e, llm, embedder, indexed(docs, e, embedder, cache) if cache else None), "context_optimization": diagnostics, "evaluation_info": info, "total_evaluation_time": took, "random_seed": 42}
         sinks.write_results(rows, nested, folder, e.name)
     found = {**flat, **diagnostics}
-    return spark.createDataFrame([(e.name, "SUCCESS", took, *found.values())], ["name", "status", "total_evaluation_time", *found])
+    types = ", ".join(f"{c} {t}" for own in tables for c, t in own.dtypes)
+    return spark.createDataFrame([(e.name, "SUCCESS", took, *found.values())], f"name string, status string, total_evaluation_time double, {types}")
 
 
 def compare(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], make: Callable | None = None, clients: Callable[[Experiment], tuple] | None = None) -> DataFrame:
