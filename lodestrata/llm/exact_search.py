@@ -10,8 +10,8 @@ Queries travel in blocks of about ``block`` rows at most, one pass over the cand
 its results written before the next, so what the driver and a task hold is bounded by a block however many queries there are.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id; vectors of
-different lengths are not compared. Repeated rows count each time as candidates; of query rows that repeat an id one is asked, the last in the order of their vectors' text. A row with the query's own id is
-never its candidate. Where a component is beyond
+different lengths are not compared. Repeated rows count each time as candidates. Query rows that are equal in id and vector are one query; rows that share an id and differ in their vectors are each asked,
+and their answers stand under the same query_id. A row with the query's own id is never its candidate. Where a component is beyond
 2**20 in size after scaling, all rows of the shard are compared, in whole numbers of any size; a score beyond 64 bits is held at the largest or smallest
 that a long can hold. An empty table, or one without queries, gives no rows. Extra columns are not read.
 """
@@ -157,18 +157,21 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     """query_id, rank (from 1), vec_id, score: the k best candidates of every query. ``is_query`` is over the column vec_id."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).where("vec_id is not null and vector is not null")
-    queries = rows.where(is_query)
+    queries = rows.where(is_query).distinct()
     total = queries.count()
     n = max(1, -(-2 * total // block)) if total > block else 1
     pilot = rows.limit(PILOT).collect()
     pilot = {size: Tree(*own) for size, own in integers([r[0] for r in pilot], [r[1] for r in pilot], scale).items()}
-    found = []
+    found, before = [], 0
     for part in range(n):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == part).collect()  # bounded: about half a block
-        asked = integers(*zip(*{r[0]: r for r in sorted(own, key=lambda r: str(r[1]))}.values(), strict=True), scale) if own else {}
+        own = queries.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)) == part).collect()  # bounded: about half a block
+        ids = np.array([r[0] for r in own], np.int64)
+        # by length: the numbers of the queries, their ids and vectors
+        asked = {size: (place + before, ids[place], q) for size, (place, q) in integers(range(len(own)), [r[1] for r in own], scale).items()}
+        before += len(own)
         floors = {}
-        for size, (ids, q) in asked.items():
-            start = Best(ids, q, k)
+        for size, (_, own_ids, q) in asked.items():
+            start = Best(own_ids, q, k)
             if size in pilot:
                 start.search(pilot[size])
             floors[size] = start.floor
@@ -176,17 +179,17 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked, floors = shared.value
-            best = {size: Best(ids, q, k, floors[size]) for size, (ids, q) in asked.items()}
+            best = {size: Best(ids, q, k, floors[size]) for size, (_, ids, q) in asked.items()}
             for ids, vectors in shards(batches):
                 for size, (own, rows) in integers(ids, vectors, scale).items():
                     if size in best:
                         best[size].search(Tree(own, rows))
-            for b in best.values():
+            for size, b in best.items():
                 q, at = np.nonzero((b.score > LOW) & (b.score >= b.floor[:, None]))
                 if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(b.found[q, at]), pa.array(b.score[q, at])], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[size][0][q]), pa.array(b.ids[q]), pa.array(b.found[q, at]), pa.array(b.score[q, at])], ["query", "query_id", "vec_id", "score"])
 
-        hits = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        hits = rows.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score bigint")
         if n > 1:
             hits = materialise(spark, best_of(hits, k), "hits")
             shared.destroy()
@@ -199,7 +202,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
 
 def best_of(hits: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ranked."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
