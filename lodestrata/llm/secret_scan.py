@@ -2,10 +2,11 @@
 
 Base kinds are found by pattern, leftmost and without overlap for each kind: ``assign`` (a credential's name, a separator and a value
 of 12 or more characters), ``access`` (AKIA keys of 18 or more) and ``hex`` (16 or more lower-case hexadecimal digits).
-The token-efficiency test then looks at every run of ``[A-Za-z0-9+/_=-]`` of ``MIN_RUN`` characters or more that mixes digits with letters:
+The token-efficiency test then looks at every run of ``[A-Za-z0-9+/_=-]`` of ``MIN_RUN`` characters or more:
 prose compresses to three or more characters a token, random strings do not. A run with fewer than ``RATIO`` characters a token is reported as
-``random``, unless it is a known digest (hexadecimal, of a common digest's length) or identifier (UUID, a number with separators, or
-words and numbers joined by ``-``, ``_``, ``/`` or ``=``), or lies inside a base span.
+``random``, unless it is a known digest (hexadecimal, of a common digest's length) or identifier (a UUID, or a number with separators), or lies inside a base span. A run of
+letters, or of words and numbers joined by ``-``, ``_``, ``/``, ``+`` or ``=``, is judged by its words: each of ``MIN_WORD`` letters or more by itself, against ``WORD_RATIO``; one that fails
+makes the run random.
 
 Null text counts as empty: no spans. Very long texts are scanned whole. Null ids, repeated rows and empty tables are ordinary;
 only the id and text columns are read. Spans are half-open, in code points.
@@ -29,10 +30,14 @@ HINT = re.compile(r"(?ai:passw|secret|token|api_?key)")
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
 RATIO = 2.2
+#: Of words of letters alone: random ones of 20 letters have 1.1 to 2.0 characters a token, the longest words of prose 2.2 and more.
+MIN_WORD, WORD_RATIO = 16, 2.0
 #: Hexadecimal lengths of md5, sha1, sha224, sha256, sha384 and sha512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 HEX_RUN = re.compile(r"[0-9a-fA-F]+")
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*")
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+")
+JOINED = re.compile(r"[-_/=+]*(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*")
+WORD = re.compile(f"[A-Za-z]{{{MIN_WORD},}}")
 _HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN = bytes(120 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-") else 32 for b in range(256))
 OUT = pa.schema([("doc_id", pa.int64()), ("kinds", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -73,10 +78,10 @@ def base_spans(text: str, image: bytes) -> list[tuple[int, int, str]]:
 
 def looks_random(word: str, tokens) -> bool:
     """The token-efficiency test, after the exclusions."""
-    if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-        return False
     if HEX_RUN.fullmatch(word) and len(word) in DIGESTS or IDENTIFIER.fullmatch(word):
         return False
+    if JOINED.fullmatch(word):
+        return any(len(part) < WORD_RATIO * tokens(part) for part in WORD.findall(word))
     return len(word) < RATIO * tokens(word)
 
 
