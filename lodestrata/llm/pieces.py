@@ -16,6 +16,7 @@ word. Null ids, repeated rows and empty tables are ordinary. Only the id and tex
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -33,8 +34,8 @@ CACHE = 400_000
 WORDS = re.compile(" +[^ \n]*|\n[^ \n]*")
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("decoded", pa.string())])
 OUT_DDL = "doc_id bigint, ids array<int>, begins array<int>, ends array<int>, decoded string"
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("n_covered", pa.int64())])
-DIGEST_DDL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint, n_covered bigint"
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("n_covered", pa.int64()), ("spans_sha256", pa.string())])
+DIGEST_DDL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint, n_covered bigint, spans_sha256 string"
 
 
 class CharMap:
@@ -270,15 +271,17 @@ def encode(docs: DataFrame, path: str, *, doc: str = "doc_id", text: str = "text
 
 def encode_digests(docs: DataFrame, path: str, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The same encoding with digests in place of the lists, taken where the pieces are made: n_tokens, ids_sha256, decoded_sha256,
-    n_bytes of the source and n_covered, those that the spans of the pieces cover."""
+    n_bytes of the source, n_covered, those that the spans of the pieces cover, and spans_sha256, of begin and end of every piece as 32-bit numbers, the low byte first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in blocks(batches, 1_500_000):
             out = encoder(path).encode(texts)
             covered = np.concatenate([[0], np.cumsum(out.ends - out.begins)])[out.edges]
+            spans, cuts = np.stack([out.begins, out.ends], axis=1).astype("<i4"), out.edges.tolist()
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array(np.diff(out.edges), pa.int64()), pa.array([sha256_hex(x) for x in out.joined]),
                 pa.array([sha256_hex(x) for x in out.decoded]), pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array(np.diff(covered), pa.int64()),
+                pa.array([hashlib.sha256(spans[a:b].tobytes()).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)], pa.string()),
             ], schema=DIGEST)
 
     return _rows(docs, doc, text).mapInArrow(run, DIGEST_DDL)
