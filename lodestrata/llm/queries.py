@@ -70,7 +70,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_bucket("doc_id", 3) != 1)
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), F.size("starts").alias("n_spans"))
+    spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.concat_ws(":", s["starts"].cast("string"), s["ends"].cast("string")))
+    return scored.select("doc_id", F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), F.size("starts").alias("n_spans"), F.array_join(spans, ",").alias("spans"))
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +116,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(k.slot AS INTEGER) AS slot, k.doc_id, CAST(t.shard AS INTEGER) AS shard FROM keyed k JOIN tab t USING (slot)""",
         "op6_exact_top_k": """
             WITH v AS (
-                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            q AS (SELECT row_number() OVER () AS query, vec_id, e FROM (SELECT DISTINCT vec_id, embedding, e FROM v WHERE vec_id % 50 = 0)),
             scored AS (
-                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-                FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
-            ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+                SELECT q.query, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+                FROM q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scored)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
         "op11_mixing": """
             WITH m AS (

@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, *, doc: str = "doc_i
 
 
 def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, and starts and ends of the offending words (code points of the lower-cased text)."""
+    """doc_id, score, and starts and ends of the offending words (code points of the text as it is, half-open)."""
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
@@ -316,10 +316,13 @@ def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "te
             hot = np.flatnonzero(p >= SPAN)
             for d in np.unique(np.searchsorted(edges, hot, side="right") - 1).tolist():
                 chosen = set((hot[(hot >= edges[d]) & (hot < edges[d + 1])] - edges[d]).tolist())
-                for k, (a, b) in enumerate(places_of(texts[d].lower())):
+                low = texts[d].lower()
+                # a few letters are longer in lower case
+                origin = None if len(low) == len(texts[d]) else [at for at, c in enumerate(texts[d]) for _ in c.lower()]
+                for k, (a, b) in enumerate(places_of(low)):
                     if k in chosen:
-                        starts[d].append(a)
-                        ends[d].append(b)
+                        starts[d].append(origin[a] if origin else a)
+                        ends[d].append(origin[b - 1] + 1 if origin else b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores), pa.array(starts, OUT.field(2).type), pa.array(ends, OUT.field(3).type)], schema=OUT)
 
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, OUT_DDL)
