@@ -166,5 +166,8 @@ class Record:
     def answer(self, rows: DataFrame, column: str, make: Callable[[], Model], settings: dict, *, name: str = "reply", size: int = 1, calls: Calls | None = None) -> DataFrame:
         """``rows`` with ``name``, a struct (value, error, tries, seconds), after asking for what is missing."""
         self.ask(rows, column, make, settings, size=size, calls=calls)
-        found = self.latest().select(F.col("key").alias("_key"), F.struct("value", "error", "tries", "seconds").alias(name))
-        return rows.withColumn("_key", self.key(F.col(column), settings)).join(found, "_key", "left").drop("_key")
+        keyed = rows.withColumn("_key", self.key(F.col(column), settings))
+        found = self.latest().join(keyed.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
+        # written, so the join below stands on two plain shuffles, of which an input that many rows share can be split
+        found = materialise(self.spark, found.select(F.col("key").alias("_key"), F.struct("value", "error", "tries", "seconds").alias(name)), "outcomes")
+        return keyed.join(found, "_key", "left").drop("_key")
