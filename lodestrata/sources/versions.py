@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources.sinks import names_in, put_json
-from lodestrata.sources.tables import make_folder, materialise, remove, rename_new
+from lodestrata.sources.tables import make_folder, remove, rename_new
 
 #: Chunks that a document may have.
 PLACES = 1 << 20
@@ -93,7 +93,19 @@ class VersionedIndex:
         ``docs`` is the whole collection, and what it does not hold goes. Returns the new manifest; the old one if nothing changes. If another writer makes the version
         first, starts again up to ``tries`` times, then raises ``Conflict``."""
         digest = F.sha2(F.concat_ws(":", F.when(F.col("text").isNull(), "null").otherwise("text"), "text").cast("binary"), 256)
-        given = materialise(self.spark, docs.select(F.col("doc_seq").cast("long").alias("doc_seq"), "text", digest.alias("digest")), "given")
+        docs = docs.select(F.col("doc_seq").cast("long").alias("doc_seq"), "text", digest.alias("digest"))
+        draft = f"{self.folder}/drafts/{uuid.uuid4().hex}"
+        try:
+            return self._write(docs, self._keys(docs.select("doc_seq", "digest"), f"{draft}/given"), deleted, whole, stamps or {}, tries, draft)
+        finally:
+            remove(self.spark, draft)
+
+    def _keys(self, rows: DataFrame, path: str) -> DataFrame:
+        """Numbers and digests, written: texts are only read again where they have to be cut."""
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _write(self, docs: DataFrame, given: DataFrame, deleted: DataFrame | None, whole: bool, stamps: dict, tries: int, draft: str) -> dict:
         seen = given.agg(F.count("*").alias("n"), F.count("doc_seq").alias("some"), F.count_distinct("doc_seq").alias("own")).first()
         if not seen["n"] == seen["some"] == seen["own"]:
             raise ValueError("document numbers must be unique and not null")
@@ -101,24 +113,26 @@ class VersionedIndex:
             state = self.manifest()
             if stamps and all(state["stamps"].get(k) == v for k, v in stamps.items()):
                 return state
-            done = self._attempt(state, given, deleted, whole, stamps or {})
+            done = self._attempt(state, docs, given, deleted, whole, stamps, draft)
             if done is not None:
                 return done
         raise Conflict(f"version {state['version'] + 1} is another writer's")
 
-    def _attempt(self, state: dict, given: DataFrame, deleted: DataFrame | None, whole: bool, stamps: dict) -> dict | None:
+    def _attempt(self, state: dict, docs: DataFrame, given: DataFrame, deleted: DataFrame | None, whole: bool, stamps: dict, draft: str) -> dict | None:
         held = self.documents(state["version"]).select("doc_seq", F.col("digest").alias("old"))
-        fresh = materialise(self.spark, given.join(held, "doc_seq", "left").where("old is null or old <> digest"), "fresh")
+        fresh = self._keys(given.join(held, "doc_seq", "left").where("old is null or old <> digest"), f"{draft}/fresh")
         gone = fresh.where("old is not null").select("doc_seq")
         if whole:
             gone = gone.unionByName(held.select("doc_seq").join(given.select("doc_seq"), "doc_seq", "left_anti"))
         if deleted is not None:
             leave = deleted.select(F.col("doc_seq").cast("long").alias("doc_seq")).distinct().join(given.select("doc_seq"), "doc_seq", "left_anti")
             gone = gone.unionByName(held.select("doc_seq").join(leave, "doc_seq", "left_semi"))
-        gone = materialise(self.spark, gone.distinct(), "gone")
+        gone = self._keys(gone.distinct(), f"{draft}/gone")
         if fresh.isEmpty() and gone.isEmpty() and not stamps:
             return state
-        parts = {"docs": fresh.select("doc_seq", "digest"), "removed": gone, "chunks": self._made(fresh.select("doc_seq", "text"))}
+        # by the digest as well, so a document that has changed since it was first read is not taken for what it was
+        texts = docs.join(fresh.select("doc_seq", "digest"), ["doc_seq", "digest"], "left_semi").select("doc_seq", "text")
+        parts = {"docs": fresh.select("doc_seq", "digest"), "removed": gone, "chunks": self._made(texts)}
         return self._commit(state, state["segments"], parts, stamps)
 
     def _commit(self, state: dict, kept: list, parts: dict[str, DataFrame], stamps: dict) -> dict | None:

@@ -107,9 +107,9 @@ def test_two_writers(spark, tmp_path):
     state = two.manifest()
     one.write(frame(spark, {1: "changed by one"}))
     given = frame(spark, {2: "changed by two"}).withColumn("digest", F.lit("d"))
-    assert two._attempt(state, given, None, False, {}) is None  # the version is taken: nothing of it stays
+    assert two._attempt(state, given, given.drop("text"), None, False, {}, f"{tmp_path}/drafts/own") is None  # the version is taken: nothing of it stays
     assert rows(one.chunks()) == fresh(spark, {1: "changed by one", 2: "second"})
-    assert len(names_in(spark, f"{tmp_path}/segments")) == 2 and not names_in(spark, f"{tmp_path}/drafts")
+    assert len(names_in(spark, f"{tmp_path}/segments")) == 2 and names_in(spark, f"{tmp_path}/drafts") == ["own"]
     two._attempt = lambda *a: None
     with pytest.raises(Conflict):
         two.write(frame(spark, {2: "x"}), tries=2)
