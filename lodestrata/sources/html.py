@@ -8,16 +8,21 @@ from __future__ import annotations
 import re
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.sources.tables import materialise
+from lodestrata.sources.frontier import Frontier
+from lodestrata.sources.tables import materialise, shared_dir
 
+#: Bytes of a page that is parsed; a larger one is an error.
+MOST_BYTES = 20_000_000
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -218,6 +223,47 @@ def parse_pages(pages: DataFrame, parser: Callable[[str | None], list[tuple]], c
     return pages.select(F.col(key).cast("long").alias("_key"), F.col(html).alias("_html")).mapInPandas(run, f"doc_seq bigint, {columns}")
 
 
+class Parsed(NamedTuple):
+    """What parsing gave: the rows of all pages; and for each page its key, stage, number of rows and error, which is null where there is none."""
+
+    rows: DataFrame
+    pages: DataFrame
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.pages.where("error is not null")
+
+
+def parse_checked(pages: DataFrame, parser: Callable[[str | None], list[tuple]], columns: str, stage: str, *, key: str = "page_id", html: str = "html", most: int = MOST_BYTES) -> Parsed:
+    """Rows of ``parser`` for every page, and a row for every page itself, from one pass that is written. A page that the parser cannot read, or of more than ``most`` bytes, has an
+    error and no rows, so pages in and pages out agree; pages too large are not sent to Python. A null page has no rows and no error."""
+    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    empty = (None,) * len(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for own, body, size in zip(batch["_key"], batch["_html"], batch["_size"], strict=True):
+                found, error = [], None
+                if size > most:
+                    error = f"a page of {int(size)} bytes"
+                else:
+                    try:
+                        found = parser(body)
+                    except Exception as e:  # noqa: BLE001 - whatever a page does to a parser is an error of that page
+                        error = f"{type(e).__name__}: {e}"[:500]
+                out += [(own, False, None, None, *r) for r in found]
+                out.append((own, True, len(found), error, *empty))
+            frame = pd.DataFrame(out, columns=["doc_seq", "_page", "_n", "_error", *names], dtype=object)
+            yield frame.astype({"_page": bool})
+
+    size = F.coalesce(F.octet_length(html), F.lit(0)).cast("long")
+    sent = pages.select(F.col(key).cast("long").alias("_key"), F.when(size <= most, F.col(html)).alias("_html"), size.alias("_size"))
+    found = sent.mapInPandas(run, f"doc_seq bigint, _page boolean, _n bigint, _error string, {columns}")
+    found = materialise(pages.sparkSession, found, "parsed")
+    return Parsed(found.where("not _page").select("doc_seq", *names), found.where("_page").select("doc_seq", F.lit(stage).alias("stage"), F.col("_n").alias("n_rows"), F.col("_error").alias("error")))
+
+
 def act_rows(parts: DataFrame) -> DataFrame:
     """Structural walk of the act: elements (doc_seq, pos, tag, text) to paragraphs with section, subsection and article carried forward.
 
@@ -257,19 +303,34 @@ def http_get(url: str, timeout: float = 10.0) -> str:
         return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace")
 
 
+class Crawl(NamedTuple):
+    """Entries with the chapter and section of their article; and a row (stage, key, error) for every page that could not be had or read."""
+
+    entries: DataFrame
+    errors: DataFrame
+
+
 def crawl(spark: SparkSession, overview_url: str, get: Callable[[str], str] = http_get, *, tries: int = 3, pause: float = 1.0) -> DataFrame:
     """Entries of all articles of an overview page, with the chapter and section carried to each: overview, article links, article pages."""
+    return crawl_checked(spark, overview_url, f"{shared_dir(spark)}/tables/crawl-{uuid.uuid4().hex}", get, tries=tries, pause=pause).entries
+
+
+def crawl_checked(spark: SparkSession, overview_url: str, folder: str, get: Callable[[str], str] = http_get, **how) -> Crawl:
+    """The same over a frontier in ``folder``, from which a crawl that was stopped goes on; lost pages are rows. ``how``: tries, pause, backoff, per_host, tasks."""
     from lodestrata.operators.prepare import carried_context
 
-    wait = {"tries": tries, "pause": pause}
-    overview = fetch(spark.createDataFrame([(overview_url,)], "url string"), get, **wait)
-    overview = materialise(spark, overview.select(F.lit(0).alias("page_id"), "html"), "overview")
-    events = parse_pages(overview, overview_events, "pos int, kind string, nr int, name string")
-    articles = carried_context(events).select(F.col("pos").cast("long").alias("page_id"), F.col("name").alias("url"), "kapitel_nr", "kapitel_name", "abschnitt_nr", "abschnitt_name")
+    frontier = Frontier(spark, folder, get, follow=lambda page: [u for (u,) in article_urls(page)], **how)
+    frontier.add(spark.createDataFrame([(overview_url,)], "url string"))
+    frontier.run()
+    pages = materialise(spark, frontier.pages(), "pages")
+    overview = parse_checked(pages.where(F.col("url") == overview_url).withColumn("page_id", F.lit(0)), overview_events, "pos int, kind string, nr int, name string", "overview")
+    articles = carried_context(overview.rows).select(F.col("pos").cast("long").alias("page_id"), F.col("name").alias("url"), "kapitel_nr", "kapitel_name", "abschnitt_nr", "abschnitt_name")
     articles = materialise(spark, articles, "articles")
-    pages = materialise(spark, fetch(articles.select("url").distinct(), get, **wait), "pages")
-    entries = parse_pages(articles.join(pages, "url"), article_entries, "artikel_nr int, artikel_name string, absatz_nr int, unterabsatz_nr int, satz_nr int, text string")
-    return articles.withColumnRenamed("page_id", "doc_seq").join(entries, "doc_seq")
+    found = parse_checked(articles.join(pages, "url"), article_entries, "artikel_nr int, artikel_name string, absatz_nr int, unterabsatz_nr int, satz_nr int, text string", "article")
+    entries = articles.withColumnRenamed("page_id", "doc_seq").join(found.rows, "doc_seq")
+    lost = frontier.failures().select(F.lit("fetch").alias("stage"), F.col("url").alias("key"), "error")
+    unread = overview.errors.select("stage", F.lit(overview_url).alias("key"), "error").unionByName(found.errors.join(articles, found.errors["doc_seq"] == articles["page_id"]).select("stage", F.col("url").alias("key"), "error"))
+    return Crawl(entries, lost.unionByName(unread))
 
 
 def fetch(urls: DataFrame, get: Callable[[str], str] = http_get, *, tries: int = 3, pause: float = 1.0, column: str = "url") -> DataFrame:
