@@ -16,6 +16,7 @@ from lodestrata.functions import vectors as V
 from lodestrata.operators import chunking, context, generate, prepare
 from lodestrata.operators import retrieval as R
 from lodestrata.operators.calls import Calls, Record
+from lodestrata.operators.clusters import ClusterIndex
 from lodestrata.plans import analysis, experiments, summary
 from lodestrata.plans.grid import Setting, grid_contexts
 from lodestrata.sources import html as H
@@ -344,6 +345,15 @@ def _(spark, sf):
     return R.top_hits(*q_and_c(spark, sf), 7, threshold=0.3, digits=6)
 
 
+@query("clustered_topk", top_sql(-2, 5))
+def _(spark, sf):
+    """The rows of a full pass, from an index in clusters that is read in part."""
+    q, c = q_and_c(spark, sf)
+    folder = f"{shared_dir(spark)}/tables/clusters-{uuid.uuid4().hex}"
+    remove(spark, folder, later=True)
+    return ClusterIndex.build(c, folder).top_hits(q, 5, threshold=-2.0, digits=6)[0]
+
+
 @query("md5_query_vector", "SELECT item_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS first, round(v[16], 6) AS last, len(v) AS dims FROM (SELECT item_id, list_transform(range(1, 65), lambda i: CASE WHEN i <= 16 THEN CAST(('0x' || substr(md5(text), 2 * i - 1, 2)) AS INTEGER) / 255.0 ELSE 0 END) AS v FROM benchmark)")
 def _(spark, sf):
     v = table(spark, sf, "benchmark").select("item_id", V.md5_vector(F.col("text"), 64).alias("v"))
