@@ -109,7 +109,7 @@ def _(spark, sf):
 
 @query("grouped_scan", f"WITH {ENTRIES} SELECT artikel_nr, count(*) AS n_entries, min(doc_seq) AS first_seq FROM entries GROUP BY artikel_nr")
 def _(spark, sf):
-    return entries(spark, sf).groupBy("artikel_nr").agg(F.count("*").alias("n_entries"), F.min("doc_seq").alias("first_seq"))
+    return prepare.article_counts(entries(spark, sf))
 
 
 @query("entry_ids", f"WITH {ENTRIES} SELECT doc_seq, 'law_art_' || artikel_nr || '_abs_' || absatz_nr || CASE WHEN unterabsatz_nr > 0 THEN '(' || unterabsatz_nr || ')' ELSE '' END || '_satz_' || satz_nr AS entry_id FROM entries")
@@ -138,7 +138,7 @@ def _(spark, sf):
 
 @query("status_filter", "SELECT o_orderstatus AS status, count(*) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS failed FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
+    return analysis.status_counts(table(spark, sf, "orders"), "o_orderstatus", failed="F", without=["P"])
 
 
 @query("length_filter", f"WITH {ENTRIES} SELECT doc_seq FROM entries WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 100")
@@ -250,13 +250,19 @@ def _(spark, sf):
     return H.parse_pages(overview_html(spark, sf), H.article_urls, "url string")
 
 
-@query("sup_sentences")
+@query("sup_sentences", """WITH m AS (SELECT page_id, replace(html, '<li>', '<sup>1</sup>') AS h FROM pages),
+    s AS (SELECT page_id, h, regexp_extract_all(h, '<sup[^>]*>\\s*(\\d+)\\s*</sup>', 1) AS n, regexp_split_to_array(h, '<sup[^>]*>\\s*\\d+\\s*</sup>')[2:] AS t FROM m),
+    p AS (SELECT page_id, CASE WHEN contains(h, '<sup>') THEN list_transform(list_zip(n, t), lambda x: {'nr': TRY_CAST(x[1] AS INTEGER), 'text': x[2]}) ELSE [{'nr': 1, 'text': h}] END AS l FROM s),
+    c AS (SELECT page_id, list_filter(list_transform(l, lambda x: {'nr': x.nr, 'text': regexp_replace(regexp_replace(x.text, '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g')}), lambda x: x.text <> '') AS l FROM p)
+    SELECT page_id, CAST(pos AS INTEGER) AS pos, l[pos + 1].nr AS nr, l[pos + 1].text AS text FROM (SELECT page_id, l, unnest(range(len(l))) AS pos FROM c)""")
 def _(spark, sf):
     marked = F.regexp_replace("html", "<li>", "<sup>1</sup>")
     return table(spark, sf, "pages").select("page_id", F.posexplode(H.sentences(marked)).alias("pos", "s")).select("page_id", "pos", "s.nr", "s.text")
 
 
-@query("digit_sentences")
+@query("digit_sentences", """WITH m AS (SELECT doc_id AS doc_seq, text, regexp_extract_all(text, '([0-9]+)[^0-9]+', 1) AS n, regexp_extract_all(text, '[0-9]+([^0-9]+)', 1) AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_seq, CASE WHEN len(n) > 1 THEN list_transform(list_zip(n, t), lambda x: {'nr': TRY_CAST(x[1] AS INTEGER), 'text': x[2]}) ELSE [{'nr': 1, 'text': text}] END AS l FROM m)
+    SELECT doc_seq, CAST(pos AS INTEGER) AS pos, l[pos + 1].nr AS nr, regexp_replace(l[pos + 1].text, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT doc_seq, l, unnest(range(len(l))) AS pos FROM p)""")
 def _(spark, sf):
     return docs(spark, sf).select("doc_seq", F.posexplode(H.digit_sentences(F.col("text"))).alias("pos", "s")).select("doc_seq", "pos", "s.nr", "s.text")
 
@@ -521,7 +527,8 @@ def _(spark, sf):
 
 @query("article_context", f"WITH {ENTRIES}, c AS (SELECT artikel_nr, string_agg(text, ' ' ORDER BY doc_seq) AS article_context FROM entries GROUP BY 1) SELECT doc_seq, artikel_nr, md5(article_context) AS context_md5 FROM entries JOIN c USING (artikel_nr)")
 def _(spark, sf):
-    return prepare.article_context(entries(spark, sf)).select("doc_seq", "artikel_nr", F.md5("article_context").alias("context_md5"))
+    e = entries(spark, sf)
+    return e.select("doc_seq", "artikel_nr").join(prepare.article_texts(e).select("artikel_nr", F.md5("article_context").alias("context_md5")), "artikel_nr", "left")
 
 
 @query("qa_summary", f"WITH {ENTRIES} SELECT count(*) AS total_qa_pairs, count(DISTINCT artikel_nr) AS articles_covered, array_to_string(list_sort(list(DISTINCT artikel_nr)), ',') AS articles, round(avg(length(text)), 6) AS avg_answer_length, CAST(1 AS DOUBLE) AS context_coverage FROM entries")
@@ -530,9 +537,9 @@ def _(spark, sf):
     return rounded(prepare.dataset_summary(qa).withColumn("articles", F.array_join("articles_list", ",")).drop("articles_list"))
 
 
-@query("question_types", "SELECT role AS question_type, count(*) AS n FROM conversations GROUP BY 1")
+@query("question_types", "SELECT coalesce(role, 'unknown') AS question_type, count(*) AS n FROM conversations GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "conversations").groupBy(F.col("role").alias("question_type")).agg(F.count("*").alias("n"))
+    return prepare.type_counts(table(spark, sf, "conversations").withColumnRenamed("role", "question_type"))
 
 
 @query("answerable", f"WITH {ENTRIES} SELECT doc_seq FROM entries WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10")
@@ -676,10 +683,8 @@ def _(spark, sf):
 
 @query("table_sort", f"WITH {OUTCOMES}, g AS (SELECT llm_model, top_k, round(avg(avg_dsgvo_score), 6) AS score FROM runs GROUP BY ALL) SELECT *, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, llm_model, top_k) AS INTEGER) AS pos FROM g")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     g = outcomes(spark, sf).groupBy("llm_model", "top_k").agg(F.round(F.avg("avg_dsgvo_score"), 6).alias("score"))
-    return g.withColumn("pos", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "llm_model", "top_k")))  # one row a group
+    return analysis.positions(g, ["score"], ["llm_model", "top_k"])
 
 
 @query("numeric_order", "SELECT p_size, coalesce(try_cast(CASE WHEN p_size % 7 = 0 THEN 'variable' ELSE CAST(p_size AS VARCHAR) END AS DOUBLE), CAST('inf' AS DOUBLE)) AS sort_key, count(*) AS n FROM part GROUP BY 1, 2")
@@ -696,13 +701,13 @@ def _(spark, sf):
 
 @query("two_metric_series", f"WITH {OUTCOMES} SELECT top_k, round(avg(avg_f1), 6) AS avg_f1, round(avg(avg_dsgvo_score), 6) AS avg_dsgvo_score FROM runs GROUP BY 1")
 def _(spark, sf):
-    return outcomes(spark, sf).groupBy("top_k").agg(F.round(F.avg("avg_f1"), 6).alias("avg_f1"), F.round(F.avg("avg_dsgvo_score"), 6).alias("avg_dsgvo_score"))
+    return analysis.series(outcomes(spark, sf), "top_k", ["avg_f1", "avg_dsgvo_score"])
 
 
 @query("union_rows", "SELECT n_name AS name, n_nationkey AS k, NULL::VARCHAR AS error FROM nation UNION ALL SELECT r_name, NULL, 'failed' FROM region")
 def _(spark, sf):
     good = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
-    return good.unionByName(table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("failed").alias("error")), allowMissingColumns=True)
+    return experiments.all_results(good, table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("failed").alias("error")))
 
 
 _GRID = "g AS (SELECT t AS chunking_type, s AS chunk_size, k AS top_k, h AS similarity_threshold, least(s - 1, CAST(round_even(s * 0.15, 0) AS INTEGER)) AS chunk_overlap FROM (SELECT t, s FROM (SELECT unnest(['fixedsize', 'recursive']) AS t), (SELECT unnest([1200, 1800, 2000]) AS s) UNION ALL SELECT 'semantic', NULL), (SELECT unnest([3, 5, 7]) AS k), (SELECT unnest([CAST(0 AS DOUBLE), CAST(0.1 AS DOUBLE)]) AS h))"

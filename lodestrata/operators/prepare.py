@@ -60,8 +60,23 @@ def by_article(entries: DataFrame, compat: bool = False) -> DataFrame:
     """One document for each chapter, section and article, in first-seen order, texts joined by blank lines. ``compat`` sets the section to 0."""
     rows = prefixed(entries.withColumn("abschnitt_nr", F.lit(0)) if compat else entries)
     key = F.concat(F.lit("kap_"), F.col("kapitel_nr").cast("string"), F.lit("_abs_"), F.col("abschnitt_nr").cast("string"), F.lit("_art_"), F.col("artikel_nr").cast("string"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_seq", "text"))), lambda x: x["text"])
-    return rows.groupBy(key.alias("id")).agg(F.min("doc_seq").alias("doc_seq"), F.array_join(texts, "\n\n").alias("text"), F.min_by("artikel_name", "doc_seq").alias("artikel_name"), F.count("*").alias("n_rows")).withColumn("grouped", F.lit(True))
+    more = {"doc_seq": (F.min("doc_seq"), F.min), "artikel_name": (F.min_by("artikel_name", "doc_seq"), lambda c: F.min_by(c, "_range")), "n_rows": (F.count("*"), F.sum)}
+    return joined_texts(rows.withColumn("id", key), "id", "\n\n", more).select("id", "doc_seq", "text", "artikel_name", "n_rows").withColumn("grouped", F.lit(True))
+
+
+def joined_texts(rows: DataFrame, key: str, separator: str, more: dict[str, tuple] | None = None) -> DataFrame:
+    """(key, text and ``more``): the texts of each key in the order of doc_seq. First within ranges of ``RANGE`` places, in as many tasks as there are, then the ranges in their order: what a task
+    sorts is a range, and a key's rows are one for each range when they meet, with its text once. Null texts are left out. ``more`` gives by name an aggregate of the rows and one of the
+    ranges' values."""
+    inner = lambda a, b: F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: x[b])
+    ranged = rows.withColumn("_range", F.floor(F.col("doc_seq") / RANGE))
+    parts = ranged.groupBy(key, "_range").agg(F.when(F.count("text") > 0, F.array_join(inner("doc_seq", "text"), separator)).alias("_part"), *(f.alias(n) for n, (f, _) in (more or {}).items()))
+    return parts.groupBy(key).agg(F.array_join(inner("_range", "_part"), separator).alias("text"), *(f(n).alias(n) for n, (_, f) in (more or {}).items()))
+
+
+def article_counts(entries: DataFrame) -> DataFrame:
+    """(artikel_nr, n_entries, first_seq): the groups of a grouped scan."""
+    return entries.groupBy("artikel_nr").agg(F.count("*").alias("n_entries"), F.min("doc_seq").alias("first_seq"))
 
 
 def grouped_if(entries: DataFrame, enabled: bool, compat: bool = False) -> DataFrame:
@@ -81,11 +96,19 @@ def template_questions(entries: DataFrame, law: str = "DSGVO") -> DataFrame:
     return numbered.select("qa_seq", F.concat("document_id", F.lit("_qa_"), F.col("qa_seq").cast("string")).alias("id"), "question", "ground_truth", "document_id", "doc_seq")
 
 
+def article_texts(entries: DataFrame) -> DataFrame:
+    """(artikel_nr, article_context): all texts of each article, joined by a space. Entries refer to it by artikel_nr, so its bytes are those of the entries."""
+    return joined_texts(entries.select("artikel_nr", "doc_seq", "text"), "artikel_nr", " ").withColumnRenamed("text", "article_context")
+
+
 def article_context(entries: DataFrame) -> DataFrame:
-    """Each entry with all texts of its article, joined by a space."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_seq", "text"))), lambda x: x["text"])
-    whole = entries.groupBy("artikel_nr").agg(F.array_join(texts, " ").alias("article_context"))
-    return entries.join(whole, "artikel_nr", "left")
+    """Each entry with all texts of its article: for prompts, which hold them. The bytes grow with the square of an article; ``article_texts`` has each once."""
+    return entries.join(article_texts(entries), "artikel_nr", "left")
+
+
+def type_counts(qa: DataFrame, column: str = "question_type", unknown: str = "unknown") -> DataFrame:
+    """(column, n): how often each kind stands, null as ``unknown``."""
+    return qa.groupBy(F.coalesce(column, F.lit(unknown)).alias(column)).agg(F.count("*").alias("n"))
 
 
 def answerable(entries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -151,7 +174,7 @@ def dataset_summary(qa: DataFrame) -> DataFrame:
     )
     for column, name in (("question_type", "question_types"), ("difficulty", "difficulties")):
         if column in qa.columns:
-            counts = qa.groupBy(F.coalesce(column, F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"))
+            counts = type_counts(qa, column).withColumnRenamed(column, "k")
             found = found.crossJoin(counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)))  # one row each, an entry for each kind
     return found
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -30,7 +30,28 @@ def results_table(summaries: DataFrame) -> DataFrame:
         F.col(i + "retrieval.chunks_indexed").alias("chunks_indexed"), *(f"context_optimization.{m}" for m in ("truncation_rate", "avg_context_utilization", "avg_chunks_used", "total_chunks_wasted")),
         "qa_pairs_evaluated", "total_evaluation_time", "random_seed",
     )
-    return flat.orderBy(F.desc_nulls_last("avg_dsgvo_score"), F.desc_nulls_last("avg_f1"))
+    return flat.orderBy(*best_first("avg_dsgvo_score", "avg_f1"))
+
+
+def best_first(*metrics: str) -> list[Column]:
+    """The order of a results table: the largest first, null last, by one metric after the other."""
+    return [F.desc_nulls_last(m) for m in metrics]
+
+
+def positions(df: DataFrame, metrics: Iterable[str], ties: Iterable[str] = ()) -> DataFrame:
+    """A results table (bounded: a row for each run or group) with ``pos``, its place in that order."""
+    return df.withColumn("pos", F.row_number().over(Window.orderBy(*best_first(*metrics), *ties)))
+
+
+def status_counts(df: DataFrame, status: str = "status", failed: str = "FAILED", without: Iterable[str] = ()) -> DataFrame:
+    """(status, n, failed) of runs; those whose status is in ``without``, or null, are left out."""
+    own = df.where(F.col(status).isNotNull() & ~F.col(status).isin(*without)) if without else df
+    return own.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col(status) == failed).alias("failed"))
+
+
+def series(df: DataFrame, x: str, metrics: Iterable[str], digits: int = 6) -> DataFrame:
+    """Means of several metrics by one column, for a plot of their lines."""
+    return df.groupBy(x).agg(*(F.round(F.avg(m), digits).alias(m) for m in present(df, metrics)))
 
 
 def present(df: DataFrame, columns: Iterable[str]) -> list[str]:
@@ -96,7 +117,8 @@ def nan_max(column: str) -> Column:
 def report(df: DataFrame, metrics: tuple[str, ...] = ("avg_f1", "avg_query_time", "avg_faithfulness")) -> str:
     """Text report of a comparison: counts, the best three by each metric, failures. df: seq, name, status, metrics."""
     good = df.where("status = 'SUCCESS'")
-    n, bad = good.count(), [r["name"] for r in df.where("status <> 'SUCCESS'").orderBy("seq").select("name").collect()]
+    n = next((r["n"] for r in status_counts(df).collect() if r["status"] == "SUCCESS"), 0)
+    bad = [r["name"] for r in df.where("status <> 'SUCCESS'").orderBy("seq").select("name").collect()]
     lines = [f"Successful: {n}", f"Failed: {len(bad)}"]
     for m in metrics if n > 1 else ():
         lines.append(f"By {m}:")

@@ -99,7 +99,15 @@ def compare(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], m
         except Exception as error:  # noqa: BLE001 - isolation is the feature
             row = spark.createDataFrame([(e.name, "FAILED", str(error)[:500])], ["name", "status", "error"])
         row = row.withColumn("seq", F.lit(k))
-        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+        out = row if out is None else all_results(out, row)
+    return out
+
+
+def all_results(*tables: DataFrame) -> DataFrame:
+    """Results that succeeded and results that failed as one table; what a table does not have is null."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
     return out
 
 

@@ -24,7 +24,7 @@ from lodestrata.operators import generate, prepare
 from lodestrata.operators import retrieval as R
 from lodestrata.operators.calls import Calls, Model, Record
 from lodestrata.plans.config import Experiment
-from lodestrata.plans.experiments import indexed, question_vectors
+from lodestrata.plans.experiments import all_results, indexed, question_vectors
 from lodestrata.plans.summary import context_diagnostics, summarise
 from lodestrata.sources.tables import materialise
 
@@ -104,7 +104,7 @@ def run_grid(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment],
             part = materialise(spark, part, "summaries").withColumn("total_evaluation_time", F.lit(time.monotonic() - began)).withColumnRenamed("setting", "seq")
         except Exception as error:  # noqa: BLE001 - isolation is the feature
             part = spark.createDataFrame([(seq, e.name, "FAILED", str(error)[:500]) for seq, e in own], "seq int, name string, status string, error string")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        out = part if out is None else all_results(out, part)
     return out
 
 
