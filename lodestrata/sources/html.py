@@ -264,16 +264,26 @@ def parse_checked(pages: DataFrame, parser: Callable[[str | None], list[tuple]],
     return Parsed(found.where("not _page").select("doc_seq", *names), found.where("_page").select("doc_seq", F.lit(stage).alias("stage"), F.col("_n").alias("n_rows"), F.col("_error").alias("error")))
 
 
-def act_rows(parts: DataFrame) -> DataFrame:
-    """Structural walk of the act: elements (doc_seq, pos, tag, text) to paragraphs with section, subsection and article carried forward.
+def carried(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """For each column c the last value that is not null: ``c_upto`` a row and ``c_before`` it, in the order of pos on each page. A page is cut into independent parts of ``size`` places; a part begins
+    with what the parts before it leave, of which there is one row each, so a page of any length is followed by many tasks."""
+    cut = rows.withColumn("_part", F.floor(F.col("pos") / size))
+    ends = cut.groupBy("doc_seq", "_part").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"_{c}") for c in columns))
+    earlier = Window.partitionBy("doc_seq").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    left = ends.select("doc_seq", "_part", *(F.last(f"_{c}", True).over(earlier).alias(f"_{c}") for c in columns))
+    own = Window.partitionBy("doc_seq", "_part").orderBy("pos")
+    upto, before = (own.rowsBetween(Window.unboundedPreceding, at) for at in (0, -1))
+    found = cut.join(left, ["doc_seq", "_part"]).withColumns({f"{c}_{n}": F.coalesce(F.last(c, True).over(w), F.col(f"_{c}")) for c in columns for n, w in (("upto", upto), ("before", before))})
+    return found.drop("_part", *(f"_{c}" for c in columns))
+
+
+def act_rows(parts: DataFrame, size: int = 10_000) -> DataFrame:
+    """Structural walk of the act: elements (doc_seq, pos, tag, text) to paragraphs with section, subsection and article carried forward, over parts of ``size`` places.
 
     Headings set the article, else the section (which empties the subsection), else the subsection. A paragraph of more than ten characters
     may switch them too: 'Artikel n' the article and, only if it is another one, its title; 'KAPITEL n', or a text with KAPITEL and no number, the section, and only
     if it is another one that empties the subsection; 'ABSCHNITT n' the subsection. What is not known is 'Unknown'.
     """
-    steps = Window.partitionBy("doc_seq").orderBy("pos")
-    order = steps.rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, True).over(order)
     text, heading = F.col("text"), F.col("tag").rlike("^h[1-6]$")
     body = ~heading & (F.length(text) > 10)
     found = lambda pattern, group=1: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -285,16 +295,15 @@ def act_rows(parts: DataFrame) -> DataFrame:
     chapter = found(r"(?i)KAPITEL\s+(\d+)")
     named = F.when(section, text).when(body & text.contains("KAPITEL") & ~text.rlike(r"KAPITEL\s+\d+"), text).when(body & chapter.isNotNull(), F.concat(F.lit("KAPITEL "), chapter))
     part = found(r"(?i)ABSCHNITT\s+(\d+)")
-    rows = parts.withColumns({"number": number, "named": named}).withColumns({"a": last("number"), "s": last("named")})
-    rows = rows.withColumns({"a0": F.lag("a").over(steps), "s0": F.lag("s").over(steps)})
-    other = F.col("number").isNotNull() & ~F.col("a0").eqNullSafe(F.col("number"))
+    rows = carried(parts.withColumns({"number": number, "named": named}), ["number", "named"], size)
+    other = F.col("number").isNotNull() & ~F.col("number_before").eqNullSafe(F.col("number"))
     title = F.when(article & F.col("number").isNotNull(), F.coalesce(T.article_title(text), F.lit(""))).when(body & other, T.strip(F.regexp_extract(text, r"(?i)Artikel\s+\d+[:\s]+(.+)", 1)))
-    emptied = section | (body & F.col("named").isNotNull() & ~F.col("s0").eqNullSafe(F.col("named")))
+    emptied = section | (body & F.col("named").isNotNull() & ~F.col("named_before").eqNullSafe(F.col("named")))
     under = F.when(subsection, text).when(body & part.isNotNull(), F.concat(F.lit("ABSCHNITT "), part)).when(emptied, F.lit(""))
-    rows = rows.withColumns({"title": title, "under": under}).withColumns({"t": last("title"), "u": last("under")})
+    rows = carried(rows.withColumns({"title": title, "under": under}), ["title", "under"], size)
     known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
     kept = rows.where(body & ~T.any_of(text, T.NAVIGATION_ACT))
-    return kept.select("doc_seq", "pos", known("s").alias("section"), known("u").alias("subsection"), known("a").alias("article_number"), known("t").alias("article_title"), T.paragraph_number(text).alias("paragraph_number"), T.letter_number(text).alias("subparagraph_number"), "text")
+    return kept.select("doc_seq", "pos", known("named_upto").alias("section"), known("under_upto").alias("subsection"), known("number_upto").alias("article_number"), known("title_upto").alias("article_title"), T.paragraph_number(text).alias("paragraph_number"), T.letter_number(text).alias("subparagraph_number"), "text")
 
 
 def http_get(url: str, timeout: float = 10.0) -> str:
@@ -333,6 +342,16 @@ def crawl_checked(spark: SparkSession, overview_url: str, folder: str, get: Call
     return Crawl(entries, lost.unionByName(unread))
 
 
+def crawl_act(spark: SparkSession, url: str, folder: str, get: Callable[[str], str] = http_get, *, size: int = 10_000, **how) -> Crawl:
+    """The act's page, from request to rows: a page that cannot be had or read is a row of the errors. Write the entries with ``sinks.write_jsonl``."""
+    frontier = Frontier(spark, folder, get, **how)
+    frontier.add(spark.createDataFrame([(url,)], "url string"))
+    frontier.run()
+    found = parse_checked(frontier.pages().where(F.col("url") == url).withColumn("page_id", F.lit(0)), act_elements, "pos int, tag string, text string", "act")
+    lost = frontier.failures().select(F.lit("fetch").alias("stage"), F.col("url").alias("key"), "error")
+    return Crawl(act_rows(found.rows, size), lost.unionByName(found.errors.select("stage", F.lit(url).alias("key"), "error")))
+
+
 def fetch(urls: DataFrame, get: Callable[[str], str] = http_get, *, tries: int = 3, pause: float = 1.0, column: str = "url") -> DataFrame:
     """Pages by a client function, with a pause after each and a doubling wait after failures; html is null after the last try.
     The number of partitions bounds how many requests run at once."""
