@@ -88,14 +88,14 @@ def run(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = N
     return spark.createDataFrame([(e.name, "SUCCESS", took, *found.values())], f"name string, status string, total_evaluation_time double, {types}")
 
 
-def compare(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], make: Callable | None = None, clients: Callable[[Experiment], tuple] | None = None) -> DataFrame:
+def compare(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment], make: Callable | None = None, clients: Callable[[Experiment], tuple] | None = None, **given) -> DataFrame:
     """Summaries of all experiments by name; one that fails becomes a row with its error and does not stop the others."""
     spark = docs.sparkSession
     out = None
     for k, e in enumerate(experiments):
         try:
             llm, embedder = clients(e) if clients else (None, None)
-            row = run(docs, qa, e, make, llm=llm, embedder=embedder)
+            row = run(docs, qa, e, make, llm=llm, embedder=embedder, **given)
         except Exception as error:  # noqa: BLE001 - isolation is the feature
             row = spark.createDataFrame([(e.name, "FAILED", str(error)[:500])], ["name", "status", "error"])
         row = row.withColumn("seq", F.lit(k))

@@ -161,10 +161,12 @@ def test_command_lines(spark, tmp_path, monkeypatch, capsys):
     cli.main(["evaluate", "-c", str(settings), "-d", docs, "--offline", "--no-save"])
     cli.main(["compare", "--configs", str(settings), "-d", docs, "-n", "2", "-o", str(tmp_path / "cmp"), "--offline"])
     assert "Successful: 1" in capsys.readouterr().out and len(sinks.names_in(spark, str(tmp_path / "cmp"))) == 3
+    cli.main(["compare", "--configs", str(settings), str(settings), "-d", docs, "-n", "2", "-o", str(tmp_path / "grid"), "--offline", "--grid"])
+    assert "Successful: 2" in capsys.readouterr().out
     monkeypatch.delenv("OPENAI_API_KEY", raising=False)
     with pytest.raises(SystemExit):
         cli.main(["questions", "-d", docs, "-o", out, "--env", "/nowhere"])
-    args = cli.parser().parse_args(["questions", "-d", docs, "-o", f"{out}/pairs.jsonl", "--check"])
+    args = cli.parser().parse_args(["questions", "-d", docs, "-o", f"{out}/pairs.jsonl", "--check", "--record", str(tmp_path / "record")])
     assert cli.questions(spark, args, Writer())["total_qa_pairs"] == 2
     assert json.loads((tmp_path / "out" / "pairs_summary.json").read_text())["question_types"] == {"rights": 2}
     own = Dataset(spark, docs, f"{out}/pairs.jsonl")
