@@ -66,9 +66,13 @@ class VersionedIndex:
         return out
 
     def _live(self, state: dict, rows: DataFrame) -> DataFrame:
-        """The rows whose document no later segment removes."""
+        """The rows whose document no later segment removes. Those of the last segment all count, and are not joined."""
+        if len(state["segments"]) < 2:
+            return rows
+        last = state["segments"][-1][0]
         gone = self._read(state, "removed", "doc_seq bigint").groupBy("doc_seq").agg(F.max("segment").alias("_gone"))
-        return rows.join(gone, "doc_seq", "left").where("_gone is null or _gone <= segment").drop("_gone")
+        older = rows.where(F.col("segment") < last).join(gone, "doc_seq", "left").where("_gone is null or _gone <= segment").drop("_gone")
+        return older.unionByName(rows.where(F.col("segment") == last))
 
     def documents(self, version: int | None = None) -> DataFrame:
         """(doc_seq, digest) of a version."""
