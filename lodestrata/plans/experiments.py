@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable, Iterable
 from itertools import product
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,23 @@ def evaluate(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | Non
     how = {} if r.type == "vector-similarity" else {"weight": r.vector_weight, "word_weight": r.keyword_weight}
     answers = generate.answer(questions, chunks, k=r.k, threshold=r.similarity_threshold, budget=e.max_context_length, make=make, method=r.type, with_context=e.include_context, record=record, calls=calls, **how)
     rows = answers.join(asked.select(F.col("qa_seq").alias("q_id"), F.col("ground_truth").alias("expected")), "q_id")
-    return materialise(docs.sparkSession, M.evaluate(rows.withColumn("query_time", F.col("seconds")), list(e.metrics)), "evaluated")
+    return measured(rows.withColumn("query_time", F.col("seconds")), e.metrics)
+
+
+def measured(rows: DataFrame, families: Iterable[str]) -> DataFrame:
+    """The rows with the metrics of the families, written once. Where that fails in a task, the rows are written and each family is tried by itself: one that fails is left out with a
+    warning, and the others still are there."""
+    spark, families = rows.sparkSession, list(families)
+    try:
+        return materialise(spark, M.evaluate(rows, families), "evaluated")
+    except PySparkException:
+        out = materialise(spark, rows, "answers")
+        for name in (n for n in M.FAMILIES if n in families):
+            try:
+                out = materialise(spark, M.evaluate(out, [name]), "evaluated")
+            except PySparkException as error:
+                warnings.warn(f"metrics of the family {name} are left out: {str(error)[:500]}", stacklevel=2)
+        return out
 
 
 def pipeline_info(docs: DataFrame, e: Experiment, llm=None, embedder=None, chunks: DataFrame | None = None) -> dict:

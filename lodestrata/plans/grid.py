@@ -18,13 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions import metrics as M
 from lodestrata.operators import context as C
 from lodestrata.operators import generate, prepare
 from lodestrata.operators import retrieval as R
 from lodestrata.operators.calls import Calls, Model, Record
 from lodestrata.plans.config import Experiment
-from lodestrata.plans.experiments import all_results, indexed, question_vectors
+from lodestrata.plans.experiments import all_results, indexed, measured, question_vectors
 from lodestrata.plans.summary import context_diagnostics, summarise
 from lodestrata.sources.tables import materialise
 
@@ -116,4 +115,4 @@ def evaluated(docs: DataFrame, qa: DataFrame, e: Experiment, settings: list[Sett
     how = {} if e.retrieval.type == "vector-similarity" else {"weight": e.retrieval.vector_weight, "word_weight": e.retrieval.keyword_weight}
     rows = grid_answers(questions, chunks, settings, make, method=e.retrieval.type, record=record, calls=calls, **how)
     rows = rows.join(asked.select(F.col("qa_seq").alias("q_id"), F.col("ground_truth").alias("expected")), "q_id")
-    return materialise(docs.sparkSession, M.evaluate(rows.withColumn("query_time", F.col("seconds")), list(e.metrics)), "evaluated")
+    return measured(rows.withColumn("query_time", F.col("seconds")), e.metrics)

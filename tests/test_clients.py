@@ -144,6 +144,19 @@ def test_failing_family_is_left_out(spark):
     assert "f1" in got.columns and "faithfulness" not in got.columns
 
 
+def test_family_that_fails_in_a_task_is_left_out(spark, monkeypatch):
+    from lodestrata.functions import metrics as M
+
+    broken = lambda df: df.withColumn("bad", F.raise_error(F.concat(F.lit("broken on "), "actual")))
+    monkeypatch.setitem(M.FAMILIES, "timing", broken)
+    df = spark.createDataFrame([("a b", "a c", 1.0)], "expected string, actual string, seconds double")
+    with pytest.warns(UserWarning, match="timing are left out"):
+        got = experiments.measured(df, ("timing", "overlap"))
+    assert "bad" not in got.columns and got.first()["word_precision"] == 0.5
+    with pytest.raises(Exception, match="no rows today"):  # what the metrics stand on is not theirs to leave out
+        experiments.measured(df.withColumn("x", F.raise_error(F.lit("no rows today"))), ("overlap",))
+
+
 def jsonl(path, rows):
     path.write_text("\n".join(json.dumps(r) for r in rows))
     return str(path)
