@@ -19,7 +19,7 @@ from lodestrata.operators.models import embed, embedded
 from lodestrata.plans.config import Experiment
 from lodestrata.plans.summary import context_diagnostics, summarise
 from lodestrata.sources import sinks
-from lodestrata.sources.tables import materialise
+from lodestrata.sources.tables import materialise, scope
 
 
 def chunk_documents(docs: DataFrame, e: Experiment) -> DataFrame:
@@ -91,6 +91,11 @@ def pipeline_info(docs: DataFrame, e: Experiment, llm=None, embedder=None, chunk
 
 def run(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | None = None, *, llm=None, embedder=None, cache=None, folder: str | None = None, vectors: Record | None = None, record: Record | None = None, calls: Calls | None = None) -> DataFrame:
     """One summary row, with the experiment's name, status and wall time. With a ``folder``, details and the nested summary are written there."""
+    with scope(docs.sparkSession):  # an index without a cache, hits and evaluated rows go with the run
+        return _run(docs, qa, e, make, llm, embedder, cache, folder, vectors, record, calls)
+
+
+def _run(docs, qa, e, make, llm, embedder, cache, folder, vectors, record, calls) -> DataFrame:
     began = time.monotonic()
     spark = docs.sparkSession
     rows = evaluate(docs, qa, e, make or (None if llm is None else lambda: llm), embedder=embedder, cache=cache, vectors=vectors, record=record, calls=calls)

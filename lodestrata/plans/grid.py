@@ -25,7 +25,7 @@ from lodestrata.operators.calls import Calls, Model, Record
 from lodestrata.plans.config import Experiment
 from lodestrata.plans.experiments import all_results, indexed, measured, question_vectors
 from lodestrata.plans.summary import context_diagnostics, summarise
-from lodestrata.sources.tables import materialise
+from lodestrata.sources.tables import scope
 
 MAX_SETTINGS = 10_000
 
@@ -96,11 +96,12 @@ def run_grid(docs: DataFrame, qa: DataFrame, experiments: Iterable[Experiment],
         began, first = time.monotonic(), own[0][1]
         try:
             settings = [Setting(seq, e.retrieval.k, e.retrieval.similarity_threshold if e.retrieval.type == "vector-similarity" else None, e.max_context_length, e.include_context) for seq, e in own]
-            rows = evaluated(docs, qa, first, settings, make(first) if make else None, embedder(first) if embedder else None, cache, vectors, record, calls)
-            found = summarise(rows, by=["setting"]).join(context_diagnostics(rows, by=["setting"]), "setting")
-            names = spark.createDataFrame([(seq, e.name) for seq, e in own], "setting int, name string")
-            part = found.join(F.broadcast(names), "setting").withColumns({"status": F.lit("SUCCESS"), "error": F.lit(None).cast("string")})  # at most MAX_SETTINGS rows
-            part = materialise(spark, part, "summaries").withColumn("total_evaluation_time", F.lit(time.monotonic() - began)).withColumnRenamed("setting", "seq")
+            with scope(spark):  # only the summaries stay: at most MAX_SETTINGS rows
+                rows = evaluated(docs, qa, first, settings, make(first) if make else None, embedder(first) if embedder else None, cache, vectors, record, calls)
+                found = summarise(rows, by=["setting"]).join(context_diagnostics(rows, by=["setting"]), "setting").withColumnRenamed("setting", "seq")
+                kept, schema = found.collect(), found.schema
+            names = spark.createDataFrame([(seq, e.name, "SUCCESS", None, time.monotonic() - began) for seq, e in own], "seq int, name string, status string, error string, total_evaluation_time double")
+            part = spark.createDataFrame(kept, schema).join(F.broadcast(names), "seq")  # at most MAX_SETTINGS rows
         except Exception as error:  # noqa: BLE001 - isolation is the feature
             part = spark.createDataFrame([(seq, e.name, "FAILED", str(error)[:500]) for seq, e in own], "seq int, name string, status string, error string")
         out = part if out is None else all_results(out, part)

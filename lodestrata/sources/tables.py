@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +54,29 @@ def rename_new(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
+_OPEN = threading.local()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that this thread writes inside go at its end, also after an error: for work whose result is not a table that reads them."""
+    _OPEN.scopes = [*getattr(_OPEN, "scopes", []), []]
+    try:
+        yield
+    finally:
+        own = _OPEN.scopes.pop()
+        for path in own:
+            remove(spark, path)
+
+
 def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at a file that outlives executors.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or with the ``scope`` that they were written in.
     """
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    if scopes := getattr(_OPEN, "scopes", []):
+        scopes[-1].append(path)
     df.write.parquet(path)
     remove(spark, path, later=True)
     return spark.read.schema(df.schema).parquet(path)

@@ -124,6 +124,21 @@ def test_every_setting_is_used(tmp_path, monkeypatch):
             config.from_dict(bad)
 
 
+def test_intermediate_tables_go_with_a_run(spark, corpus):
+    from lodestrata.sources.sinks import names_in
+    from lodestrata.sources.tables import materialise, scope, shared_dir
+
+    folder = f"{shared_dir(spark)}/tables"
+    materialise(spark, corpus[1], "stays")
+    before = names_in(spark, folder)
+    experiments.run(*corpus, ALL[0])
+    assert grid.run_grid(*corpus, ALL[:2]).count() == 2
+    with pytest.raises(ValueError, match="own"), scope(spark):
+        materialise(spark, corpus[1], "goes")
+        raise ValueError("own")
+    assert names_in(spark, folder) == before and any(n.startswith("stays") for n in before)
+
+
 def test_local_service_is_reachable():
     s = models.LocalService(endpoint="http://h")
     asked = []
