@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import warnings
+from typing import Protocol
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -103,6 +104,20 @@ INFO = {
 }
 
 
+class Family(Protocol):
+    """Takes answered rows (question, expected, actual, context, chunks, seconds) and adds its columns."""
+
+    def __call__(self, df: DataFrame) -> DataFrame: ...
+
+
+def register(family: str, own: Family, description: str, metrics: list[str]) -> None:
+    """Make a family of metrics known under a name of its own, which settings can then enable."""
+    if family in FAMILIES:
+        raise ValueError(f"there is a metric family {family}")
+    FAMILIES[family] = own
+    INFO[family] = {"name": family, "description": description, "metrics": metrics}
+
+
 def evaluation_info(enabled: list[str]) -> dict:
     own = [n for n in FAMILIES if n in enabled]
     return {"enabled_evaluators": [INFO[n]["name"] for n in own], "total_metrics": sum(len(INFO[n]["metrics"]) for n in own), "metrics": {INFO[n]["name"]: INFO[n] for n in own}}

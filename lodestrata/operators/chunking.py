@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,9 +101,22 @@ def with_global_ids(chunks: DataFrame, prefix: str = "chunk_") -> DataFrame:
     return rows.withColumn("chunk_id", F.concat(F.lit(prefix), F.col("chunk_no").cast("string")))
 
 
+class Chunker(Protocol):
+    """Takes documents (doc_seq, text), a size and an overlap, and gives chunks (doc_seq, chunk_seq from 0, text, and what else it knows)."""
+
+    def __call__(self, docs: DataFrame, size: int, overlap: int) -> DataFrame: ...
+
+
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {"fixedsize": fixed_size, "fixed-size": fixed_size, "semantic": semantic, "recursive": recursive}
 
 
+def register(kind: str, own: Chunker) -> None:
+    """Make a chunker known under a name of its own, which settings can then give as their type."""
+    if kind in CHUNKERS:
+        raise ValueError(f"there is a chunking type {kind}")
+    CHUNKERS[kind] = own
+
+
 def chunker(kind: str) -> Callable[..., DataFrame]:
     if kind not in CHUNKERS:
         raise ValueError(f"unknown chunking type: {kind}")

@@ -9,6 +9,7 @@ k rows for each question, ids and scores only. Texts are joined to those that su
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -277,9 +278,22 @@ def index_info(chunks: DataFrame, k: int, threshold: float) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks_indexed"), F.max(F.size("vec")).alias("embedding_dims")).withColumns({"top_k": F.lit(k), "similarity_threshold": F.lit(threshold)})
 
 
+class Retriever(Protocol):
+    """Takes questions (q_id, question, q_vec), chunks (chunk_seq, text, vec) and k, and gives the columns of both but for the vectors, with score and rank (from 1) in each question."""
+
+    def __call__(self, questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame: ...
+
+
 METHODS = {"vector-similarity": vector_top_k, "hybrid": hybrid_top_k}
 
 
+def register(kind: str, own: Retriever) -> None:
+    """Make a retrieval known under a name of its own, which settings can then give as their type."""
+    if kind in METHODS:
+        raise ValueError(f"there is a retrieval type {kind}")
+    METHODS[kind] = own
+
+
 def method(kind: str):
     if kind not in METHODS:
         raise ValueError(f"unknown retrieval type: {kind}")

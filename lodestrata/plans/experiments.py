@@ -51,7 +51,7 @@ def evaluate(docs: DataFrame, qa: DataFrame, e: Experiment, make: Callable | Non
     chunks = indexed(docs, e, embedder, cache, vectors)
     questions = question_vectors(asked.select(F.col("qa_seq").alias("q_id"), "question"), embedder, vectors)
     r = e.retrieval
-    how = {} if r.type == "vector-similarity" else {"weight": r.vector_weight, "word_weight": r.keyword_weight}
+    how = {} if r.type != "hybrid" else {"weight": r.vector_weight, "word_weight": r.keyword_weight}
     answers = generate.answer(questions, chunks, k=r.k, threshold=r.similarity_threshold, budget=e.max_context_length, make=make, method=r.type, with_context=e.include_context, record=record, calls=calls, **how)
     rows = answers.join(asked.select(F.col("qa_seq").alias("q_id"), F.col("ground_truth").alias("expected")), "q_id")
     return measured(rows.withColumn("query_time", F.col("seconds")), e.metrics)

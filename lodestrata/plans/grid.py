@@ -113,7 +113,7 @@ def evaluated(docs: DataFrame, qa: DataFrame, e: Experiment, settings: list[Sett
     asked = prepare.seeded_sample(qa, e.subset) if e.subset else qa
     chunks = indexed(docs, e, embedder, cache, vectors)
     questions = question_vectors(asked.select(F.col("qa_seq").alias("q_id"), "question"), embedder, vectors)
-    how = {} if e.retrieval.type == "vector-similarity" else {"weight": e.retrieval.vector_weight, "word_weight": e.retrieval.keyword_weight}
+    how = {} if e.retrieval.type != "hybrid" else {"weight": e.retrieval.vector_weight, "word_weight": e.retrieval.keyword_weight}
     rows = grid_answers(questions, chunks, settings, make, method=e.retrieval.type, record=record, calls=calls, **how)
     rows = rows.join(asked.select(F.col("qa_seq").alias("q_id"), F.col("ground_truth").alias("expected")), "q_id")
     return measured(rows.withColumn("query_time", F.col("seconds")), e.metrics)

@@ -124,6 +124,25 @@ def test_every_setting_is_used(tmp_path, monkeypatch):
             config.from_dict(bad)
 
 
+def test_own_chunking_retrieval_and_metrics(spark, corpus):
+    from lodestrata.functions import metrics as M
+    from lodestrata.operators import chunking
+
+    chunking.register("words", lambda docs, size, overlap: docs.select("doc_seq", F.posexplode(F.slice(F.split("text", " "), 1, size)).alias("chunk_seq", "text")))
+    R.register("first", lambda q, c, k: c.where(F.col("chunk_seq") < k).crossJoin(q.drop("q_vec")).withColumns({"score": F.lit(1.0), "rank": (F.col("chunk_seq") + 1).cast("int")}).drop("vec"))
+    M.register("length", lambda df: df.withColumn("f1", F.length("actual").cast("double")), "Length of the answer", ["f1"])
+    try:
+        e = Experiment("own", chunking=Chunking("words", 3, 0), retrieval=Retrieval("first", 2), metrics=("length",))
+        one, many = experiments.run(*corpus, e).first(), grid.run_grid(*corpus, [e]).first()
+        assert one["avg_f1"] == many["avg_f1"] == 5.0 and one["avg_chunks_used"] == 2.0  # the first word of all is "Recht"
+        assert M.evaluation_info(["length"])["total_metrics"] == 1
+        for again in (lambda: chunking.register("words", None), lambda: R.register("first", None), lambda: M.register("length", None, "", [])):
+            with pytest.raises(ValueError):
+                again()
+    finally:
+        chunking.CHUNKERS.pop("words"), R.METHODS.pop("first"), M.FAMILIES.pop("length"), M.INFO.pop("length")
+
+
 def test_intermediate_tables_go_with_a_run(spark, corpus):
     from lodestrata.sources.sinks import names_in
     from lodestrata.sources.tables import materialise, scope, shared_dir
