@@ -96,7 +96,7 @@ def grounding(df: DataFrame) -> DataFrame:
 FAMILIES = {"overlap": combined, "timing": lambda df: df.withColumns(timing(F.col("actual"), F.col("seconds"))), "grounding": grounding}
 
 
-#: Name, purpose and columns of each family.
+#: Name, purpose and columns of each family; names and columns are fixed values.
 INFO = {
     "overlap": {"name": "precision-recall", "description": "Precision, recall and F1 from words, sequences and stems", "metrics": ["precision", "recall", "f1", "word_precision", "word_recall", "sequence_similarity", "semantic_similarity"]},
     "timing": {"name": "performance", "description": "Length and speed of answers", "metrics": ["response_length", "estimated_tokens", "word_count", "avg_word_length", "tokens_per_second"]},

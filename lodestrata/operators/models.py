@@ -1,7 +1,8 @@
 """Language and embedding models behind two protocols, with clients for HTTP services and factories by type.
 
 A client is made once in each Python worker, from a plain record that travels with the plan. Keys come from the environment of the worker, or from
-the record; they are never part of a table. ``post`` may be replaced, which the tests do.
+the record; they are never part of a table. ``post`` may be replaced, which the tests do. Request bodies, default names of models and the keys of ``info`` are fixed
+values: the interfaces of public services, and names that summaries must have.
 """
 
 from __future__ import annotations

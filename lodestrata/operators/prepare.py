@@ -20,6 +20,7 @@ from lodestrata.sources.tables import materialise
 
 #: Places of the source that are followed in one task.
 RANGE = 10_000
+#: Kinds and difficulties of questions, the shape of an answer, and the wording of template questions, which results must equal.
 QUESTION_TYPES = ("rights", "obligations", "purpose", "scope", "definition", "principles", "general")
 DIFFICULTIES = ("easy", "medium", "hard")
 #: What a model that writes questions must answer with.
@@ -84,7 +85,7 @@ def grouped_if(entries: DataFrame, enabled: bool, compat: bool = False) -> DataF
 
 
 def template_questions(entries: DataFrame, law: str = "DSGVO") -> DataFrame:
-    """Up to four questions a document: on its article, on its first two topics, on its chapter; ids run over all of them."""
+    """Up to four questions a document: on its article, on its first two topics, on its chapter; ids run over all of them. Their wording is fixed."""
     article, chapter = F.col("artikel_nr").cast("string"), F.col("kapitel_nr").cast("string")
     asked = F.concat(
         F.array(F.concat(F.lit(f"Was besagt {law} Artikel "), article, F.lit("?"))),
